@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, simhash, sstable
+from quire.llm import bpe, decontam, hnsw, htmltext, langid, lm_score, quality, simhash, sstable, suffix
+from quire.llm.scratch import materialize
 
 END_ID = 2
 
@@ -37,6 +38,78 @@ def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash, "op5_sstable": op5_sstable}
-
-ORACLE_SQL: dict[str, str] = {}
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = materialize(quality.with_statistics(table(spark, sf_dir, "documents")), "statistics")
+    model = quality.train(stats, table(spark, sf_dir, "labels"), quality.learnable())
+    scored = stats.select("doc_id", (~quality.learnable()).alias("held_out"), model.score().alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.THRESHOLD).cast("int"))
+
+
+def op6_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+def op7_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), kept=F.sha2("kept", 256)).withColumnRenamed("kept", "kept_sha256")
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    usable = langid.learnable()
+    found = langid.predict(docs, langid.train(docs, usable))
+    return found.select("doc_id", (~usable).alias("held_out"), "lang_pred", "score")
+
+
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_simhash": op2_simhash,
+    "op3_html": op3_html,
+    "op4_quality": op4_quality,
+    "op5_sstable": op5_sstable,
+    "op6_hnsw": op6_hnsw,
+    "op7_suffix": op7_suffix,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_language": op9_language,
+    "op10_lm_score": op10_lm_score,
+}
+
+#: DuckDB's SQL for the operators that SQL can express.
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontaminate": r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), bw AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS len, array_to_string(w[i:i + 12], ' ') AS key
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT len FROM bw),
+dw AS (
+  SELECT doc_id, len, i, array_to_string(w[i:i + len - 1], ' ') AS key
+  FROM (SELECT doc_id, w, len, unnest(range(1, len(w) - len + 2)) AS i FROM d, sizes WHERE len(w) >= len)
+), hit AS (SELECT dw.doc_id, dw.i, dw.len, bw.item_id FROM dw JOIN bw USING (key, len)),
+n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + len)) AS p FROM (SELECT DISTINCT doc_id, i, len FROM hit)) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+}
