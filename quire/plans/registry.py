@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from quire.plans import alignments, entities, listening, quality, retrieval, segments, sources, streams, timelines, vectors  # noqa: F401
+from quire.plans.base import QUERIES, SQL, Query
 
-def queries():
-    return {}
+FLAGSHIP: Query = QUERIES["rag_chunks"]
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def FLAGSHIP(spark, sf_dir):  # noqa: N802
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
