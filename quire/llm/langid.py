@@ -134,7 +134,7 @@ def fit(texts: Sequence[str], langs: Sequence[str]) -> Model:
 
 def learnable(id_col: str = "doc_id") -> Column:
     """Whether a row may be learnt from, by its identifier."""
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
 def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> Model:

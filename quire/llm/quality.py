@@ -143,4 +143,5 @@ def train(stats: DataFrame, labels: DataFrame, usable: Column, id_col: str = "do
 
 
 def learnable(id_col: str = "doc_id", folds: int = 5) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != 0
+    """Whether a row may be learnt from, by its identifier; a row without one is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds != 0, F.lit(False))

@@ -68,7 +68,7 @@ def library_encoder(path: str) -> ChunkEncoder:
     def encode(pieces: list[str]) -> list[bytes]:
         out = []
         for p in pieces:
-            shown = p if p.isascii() else p.encode("utf-8", "replace").decode("latin-1").translate(table)
+            shown = p if p.isascii() and p.isprintable() else p.encode("utf-8", "replace").decode("latin-1").translate(table)
             found = [t.id for t in model.tokenize(shown)]
             out.append(struct.pack(f"<{len(found)}I", *found))
         return out
