@@ -81,7 +81,7 @@ def is_boilerplate(title: Column | str) -> Column:
 def sentences(text: Column | str) -> Column:
     """Sentences that end at . ! ? or a line break, marks kept (SEG4)."""
     cut = F.split(F.regexp_replace(_col(text), r"([.!?])", "$1\n"), r"\n")
-    return F.array_remove(F.transform(cut, F.trim), "")
+    return F.array_remove(F.transform(cut, lambda s: F.trim(s)), "")
 
 
 def ends_sentence(text: Column | str) -> Column:
