@@ -19,10 +19,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.synthetic(table(spark, sf_dir, "documents"))
 
 
-@query(f"SELECT doc_id, count(*) AS words, round(max(e), 3) AS duration, round(avg(conf), 4) AS conf FROM {_W} GROUP BY 1")
+@query(f"SELECT doc_id, count(*) AS words, round(max(e), 3) AS duration, CAST(sum(round(conf * 100)) AS BIGINT) AS conf FROM {_W} GROUP BY 1")
 def timeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Length and mean confidence of each timeline."""
-    return words(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("words"), F.round(F.max("e"), 3).alias("duration"), F.round(F.avg("conf"), 4).alias("conf"))
+    """Length and summed confidence (in hundredths) of each timeline."""
+    return words(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("words"), F.round(F.max("e"), 3).alias("duration"), F.sum(F.round(F.col("conf") * 100).cast("long")).alias("conf"))
 
 
 @query(f"SELECT doc_id, pos, gap FROM (SELECT doc_id, pos, round(lead(s) OVER (PARTITION BY doc_id ORDER BY pos) - e, 3) AS gap FROM {_W}) WHERE gap >= 3")
