@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Titles of chapters that are not part of the work.
-BOILERPLATE_TITLES = ("contents", "table of contents", "copyright", "title page", "cover", "dedication", "about the author", "index", "glossary", "acknowledgments", "acknowledgements")
-#: Words that do not tell one title from another.
-TITLE_NOISE = ("unabridged", "abridged", "audiobook", "audio book", "ebook", "retail")
-STOP_WORDS = ("the", "and", "for", "that", "this", "with", "what", "who", "how", "why", "when", "where", "was", "are", "is", "of", "in", "to", "on", "at", "by", "an", "a", "does", "did", "do")
+BOILERPLATE_TITLES = (
+    "contents", "table of contents", "index", "notes", "end notes", "endnotes", "footnotes", "references", "bibliography", "acknowledgments", "acknowledgements",
+    "about the author", "copyright", "colophon", "a note on the type", "illustration permissions", "permissions", "title page", "cover", "dedication", "epigraph", "imprint", "frontispiece",
+)
+#: Words that do not tell one title from another.  Volume numbers are not among them, so volumes stay apart.
+TITLE_NOISE = ("unabridged", "audiobook", "ebook", "hd", "remastered")
+#: Words that are no keyword of a question.
+STOP_WORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "what", "who", "where", "when", "why", "how", "does", "did", "do", "has", "have", "had", "this",
+    "that", "these", "those", "it", "its", "in", "on", "at", "to", "for", "of", "with", "by", "from", "about",
+)
 
 
 def _col(c: Column | str) -> Column:
@@ -59,7 +66,7 @@ def author_key(author: Column | str) -> Column:
     """Family name of "First Last" or "Last, First" (SCA7); empty stays empty."""
     a = F.lower(F.trim(_col(author)))
     turned = F.when(F.instr(a, ",") > 0, F.substring_index(a, ",", 1)).otherwise(F.substring_index(a, " ", -1))
-    return F.regexp_replace(turned, r"^[.,;: ]+|[.,;: ]+$", "")
+    return F.regexp_replace(turned, r"[.,;: ]+$", "")
 
 
 def word_overlap(a: Column, b: Column, longer_than: int = 2) -> Column:
@@ -89,9 +96,11 @@ def ends_sentence(text: Column | str) -> Column:
 
 
 def keyword(text: Column | str) -> Column:
-    """The longest word that is not a stop word, the first of equals (SCA29)."""
-    words = F.filter(tokenize(text), lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
-    return F.aggregate(words, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    """The longest word of over two characters that is not a stop word, the first of equals; the text itself if none (SCA29)."""
+    words = F.transform(fields(F.lower(_col(text))), lambda w: F.regexp_replace(w, "^[?.,!;:'\"]+|[?.,!;:'\"]+$", ""))
+    good = F.filter(words, lambda w: (F.length(w) > 2) & ~w.isin(*STOP_WORDS))
+    best = F.aggregate(good, F.lit(""), lambda best, w: F.when(F.length(w) > F.length(best), w).otherwise(best))
+    return F.when(best == "", _col(text)).otherwise(best)
 
 
 def is_pure_repetition(words: Column, least: int = 4) -> Column:
@@ -175,10 +184,10 @@ def number_word(word: Column | str) -> Column:
 
 
 def chapter_number(title: Column | str) -> Column:
-    """Number of "Chapter 7", "Chapter VII" or "7." (SCA16); null if none."""
+    """Number of "Chapter 7", "Ch. 7" or a title that ends in "Part XII" (SCA16); null if none."""
     t = _col(title)
-    arabic = F.nullif(F.regexp_extract(t, r"(?i)^\s*(?:chapter|part|book)?\s*([0-9]{1,3})\b", 1), F.lit("")).try_cast("int")
-    roman = roman_value(F.upper(F.nullif(F.regexp_extract(t, r"(?i)^\s*(?:chapter|part|book)\s+([ivxlc]+)\b", 1), F.lit(""))))
+    arabic = F.nullif(F.regexp_extract(t, r"(?i)(?:chapter|ch\.?|letter|part)\s*(\d+)", 1), F.lit("")).try_cast("int")
+    roman = roman_value(F.upper(F.nullif(F.regexp_extract(t, r"(?i)(?:chapter|ch\.?|part)\s+([ivx]+)$", 1), F.lit(""))))
     return F.coalesce(arabic, roman)
 
 
@@ -197,22 +206,47 @@ def title_from_filename(path: Column | str) -> Column:
     return F.trim(F.regexp_replace(base, "[_-]+", " "))
 
 
-#: British endings and the American ones they become.
-SPELLING_SUFFIXES = (("isation", "ization"), ("ising", "izing"), ("ised", "ized"), ("ise", "ize"), ("our", "or"), ("ours", "ors"), ("oured", "ored"), ("ouring", "oring"), ("yse", "yze"), ("ogue", "og"), ("ence", "ense"), ("tre", "ter"))
-#: Words of these endings that keep their spelling, and words with a spelling of their own.
-SPELLING_KEPT = ("our", "four", "hour", "hours", "your", "pour", "tour", "sour", "flour", "wise", "rise", "raise", "noise", "promise", "exercise", "otherwise", "likewise", "surprise", "advertise", "precise", "paradise", "enterprise", "raised", "promised", "surprised", "rising", "raising")
-SPELLING_WORDS = (("grey", "gray"), ("colour", "color"), ("centre", "center"), ("theatre", "theater"), ("defence", "defense"), ("offence", "offense"), ("licence", "license"), ("travelled", "traveled"), ("towards", "toward"), ("whilst", "while"), ("plough", "plow"), ("tyre", "tire"), ("cheque", "check"), ("mould", "mold"))
-_ENCE = {"ence", "tre"}
+#: British words with a spelling of their own, and the American one.
+SPELLING_WORDS = (
+    "grey gray greyer grayer greyest grayest greyish grayish tyre tire tyres tires mould mold moulds molds moulded molded moulding molding mouldy moldy "
+    "plough plow ploughs plows ploughed plowed ploughing plowing kerb curb kerbs curbs programme program programmes programs cheque check cheques checks "
+    "storey story storeys stories aluminium aluminum pyjamas pajamas sceptic skeptic sceptics skeptics sceptical skeptical scepticism skepticism "
+    "moustache mustache moustaches mustaches moustached mustached draught draft draughts drafts draughty drafty cosy cozy cosier cozier cosiest coziest cosily cozily "
+    "smoulder smolder smouldered smoldered smouldering smoldering woollen woolen woollens woolens gaol jail gaoler jailer "
+    "practise practice practised practiced practises practices practising practicing encyclopaedia encyclopedia encyclopaedias encyclopedias foetus fetus foetuses fetuses foetal fetal "
+    "paediatric pediatric paediatrics pediatrics paediatrician pediatrician anaemia anemia anaemic anemic oestrogen estrogen diarrhoea diarrhea coeliac celiac "
+    "archaeology archeology archaeological archeological gynaecology gynecology haemorrhage hemorrhage haemoglobin hemoglobin leukaemia leukemia oesophagus esophagus "
+    "orthopaedic orthopedic faeces feces anaesthesia anesthesia anaesthetic anesthetic amoeba ameba manoeuvre maneuver manoeuvres maneuvers manoeuvred maneuvered "
+    "aesthetic esthetic aesthetics esthetics mediaeval medieval"
+).split()
+#: Words of the endings below that keep their spelling.
+KEEP_WARDS = ("rewards", "awards", "cowards")
+KEEP_OUR = ("flour", "scour", "velour", "detour", "contour", "devour", "pour", "sour", "tour", "dour")
+KEEP_RE = ("genre", "genres", "acre", "acres", "ogre", "ogres", "massacre", "massacres", "mediocre", "lucre", "nacre", "macabre", "cadre", "cadres", "euchre", "timbre", "timbres", "oeuvre", "oeuvres")
+#: Endings in the order in which they are tried, each a pattern of the whole word and what it becomes.
+SPELLING_RULES = (
+    (r"^(?!(?:" + "|".join(KEEP_WARDS) + r")$)(.+)wards$", "$1ward"),
+    (r"^(.*)isation(s?)$", "$1ization$2"),
+    (r"^(.+)is(ing|ers)$", "$1iz$2"),
+    (r"^(.+)is(ed|es|er|e)$", "$1iz$2"),
+    (r"^(.*)ys(ing|ed|es|e)$", "$1yz$2"),
+    (r"^(?!(?:" + "|".join(KEEP_OUR) + r")(?:s|ed|ing|er|ers|ite|ites|able|ables|ably|ful|fully|hood|less|ism|ous|y)?$)(..+)our(s?)$", "$1or$2"),
+    (r"^(?!(?:" + "|".join(KEEP_OUR) + r")(?:ed|ing|er|ers|ite|ites|able|ables|ably|ful|fully|hood|less|ism|ous|y)$)(.+)our(ed|ing|er|ers|ite|ites|able|ables|ably|ful|fully|hood|less|ism|ous|y)$", "$1or$2"),
+    (r"^(?!(?:" + "|".join(KEEP_RE) + r")$)(.+[^aeiou])re$", "$1er"),
+    (r"^(.*)ogue(s?)$", "$1og$2"),
+    (r"^(.+)ence(s?)$", "$1ense$2"),
+    (r"^(.+)ll(ing|ed|ers|er)$", "$1l$2"),
+    (r"^(.*)ll(ors|or|ous)$", "$1l$2"),
+)
 
 
 def canonical_spelling(word: Column | str) -> Column:
-    """American spelling of a British word in lower case (SCA21)."""
+    """American spelling of a British word in lower case (SCA21): its own entry, else the first ending that fits."""
     w = _col(word)
-    own = F.create_map(*[F.lit(x) for p in SPELLING_WORDS for x in p])
-    out = F.when(w.isin(*SPELLING_KEPT), w).when(F.try_element_at(own, w).isNotNull(), F.try_element_at(own, w))
-    for old, new in SPELLING_SUFFIXES:
-        if old not in _ENCE:
-            out = out.when((F.length(w) > len(old) + 2) & w.endswith(old), F.concat(F.left(w, F.length(w) - len(old)), F.lit(new)))
+    own = F.create_map(*[F.lit(x) for x in SPELLING_WORDS])
+    out = F.when(F.length(w) < 4, w).when(F.try_element_at(own, w).isNotNull(), F.try_element_at(own, w))
+    for pattern, new in SPELLING_RULES:
+        out = out.when(w.rlike(pattern), F.regexp_replace(w, pattern, new))
     return out.otherwise(w)
 
 

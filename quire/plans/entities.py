@@ -10,7 +10,7 @@ from quire.operators import entity
 from quire.operators import relational as rel
 from quire.plans.base import query, table
 
-_KEY = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({c}), '[(\\[{{].*$', ''), '\\b(unabridged|abridged|audiobook|audio book|ebook|retail)\\b', ' ', 'g')), '^(the|an|a) ', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_KEY = "regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(lower({c}), '[(\\[{{].*$', ''), '\\b(unabridged|audiobook|ebook|hd|remastered)\\b', ' ', 'g')), '^(the|an|a) ', ''), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _NORM = "trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
 _P = "(SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'The ' || p_name || ' (Unabridged)' WHEN p_partkey % 3 = 1 THEN p_name || ' [Retail]' ELSE p_name END AS title, CASE WHEN p_partkey % 4 = 0 THEN '' ELSE p_brand END AS author, p_brand, p_type, p_size FROM part)"
 
@@ -104,7 +104,7 @@ def author_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", tx.author_key(n).alias("author_key"))
 
 
-@query("SELECT l_orderkey, l_linenumber, title, CASE WHEN regexp_matches(title, '(?i)^\\s*(chapter|part|book)?\\s*[0-9]') THEN CAST(regexp_extract(title, '([0-9]+)', 1) AS INT) END AS number FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'Chapter ' || l_linenumber || ': ' || l_returnflag ELSE 'Notes ' || l_linenumber END AS title FROM lineitem)")
+@query("SELECT l_orderkey, l_linenumber, title, TRY_CAST(regexp_extract(title, '(?i)(?:chapter|ch\\.?|letter|part)\\s*([0-9]+)', 1) AS INT) AS number FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 'Chapter ' || l_linenumber || ': ' || l_returnflag ELSE 'Notes ' || l_linenumber END AS title FROM lineitem)")
 def chapter_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCA16: numbers of chapter titles."""
     n = F.col("l_linenumber").cast("string")

@@ -73,11 +73,16 @@ def largest_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumn("rank", r).where("rank <= 12")
 
 
-@query("""SELECT o_orderkey, CASE WHEN n = 0 THEN 'none' WHEN bool_share = 1 THEN 'word' WHEN bool_share >= 0.5 THEN 'paragraph' ELSE 'chapter' END AS tier FROM (
-SELECT o_orderkey, count(l_orderkey) AS n, coalesce(avg(CASE WHEN l_linestatus = 'F' THEN 1.0::DOUBLE WHEN l_linestatus IS NOT NULL THEN 0.0::DOUBLE END), 0) AS bool_share FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1)""")
+def timing_tier(verified: Column, generated: Column, has_text: Column, aligned: Column) -> Column:
+    """How far the word times of a narration can be trusted (SCA32); empty where they were not verified."""
+    return F.when(~F.coalesce(verified, F.lit(False)), "").when(generated, "verified_construction").when(has_text & aligned, "timing_text_verified").otherwise("timing_self_consistent")
+
+
+@query("""SELECT o_orderkey, CASE WHEN n IS NULL OR passed < n THEN '' WHEN o_orderpriority LIKE '1%' THEN 'verified_construction' WHEN has_text AND aligned THEN 'timing_text_verified' ELSE 'timing_self_consistent' END AS tier FROM orders
+LEFT JOIN (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_quantity < 45) AS passed, bool_or(l_returnflag = 'N') AS has_text, bool_or(l_linestatus = 'O') AS aligned FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey""")
 def timing_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCA32: ladder of timing precision by what a work has."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.avg(F.when(F.col("l_linestatus") == "F", 1.0).otherwise(0.0)).alias("share"))
-    j = table(spark, sf_dir, "orders").select("o_orderkey").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-    tier = F.when(F.col("n").isNull(), "none").when(F.col("share") == 1, "word").when(F.col("share") >= 0.5, "paragraph").otherwise("chapter")
-    return j.select("o_orderkey", tier.alias("tier"))
+    """SCA32: tier of each work by its probe windows, origin and texts."""
+    is_ = lambda c, v: F.bool_or(F.col(c) == v)
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_if(F.col("l_quantity") < 45).alias("passed"), is_("l_returnflag", "N").alias("has_text"), is_("l_linestatus", "O").alias("aligned"))
+    j = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").join(li, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    return j.select("o_orderkey", timing_tier(F.col("passed") >= F.col("n"), F.col("o_orderpriority").like("1%"), F.col("has_text"), F.col("aligned")).alias("tier"))

@@ -29,7 +29,7 @@ def keyword_search_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).where(contains(F.col("content"), "the and")).orderBy("doc_id", "chunk_idx").limit(20).select("doc_id", "chunk_idx")
 
 
-@query(f"SELECT doc_id, coalesce(list_reduce(list_prepend('', list_filter({_TOK}, lambda w: len(w) > 2 AND w NOT IN ({STOPS}))), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END), '') AS keyword FROM documents")
+@query(f"SELECT doc_id, CASE WHEN k = '' THEN text ELSE k END AS keyword FROM (SELECT doc_id, text, list_reduce(list_prepend('', list_filter(list_transform(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '^[?.,!;:''\"]+|[?.,!;:''\"]+$', '', 'g')), lambda w: len(w) > 2 AND w NOT IN ({STOPS}))), lambda a, b: CASE WHEN len(b) > len(a) THEN b ELSE a END) AS k FROM documents)")
 def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCA29: keyword of each text, longest first, earliest of equals."""
     return table(spark, sf_dir, "documents").select("doc_id", tx.keyword("text").alias("keyword"))

@@ -39,8 +39,8 @@ def cases():
         (tx.number_word(F.lit("42")), 42),
         (tx.number_word(F.lit("twelve")), 12),
         (tx.number_word(F.lit("banana")), None),
-        (tx.chapter_number(F.lit("Chapter XII: Home")), 12),
-        (tx.chapter_number(F.lit("7. The End")), 7),
+        (tx.chapter_number(F.lit("Chapter XII")), 12),
+        (tx.chapter_number(F.lit("Ch. 7: The End")), 7),
         (tx.chapter_number(F.lit("Epilogue")), None),
         (tx.series_of(F.lit("The Expanse, Book 3"))["name"], "The Expanse"),
         (tx.series_of(F.lit("Dune #2"))["index"], 2),
@@ -59,8 +59,14 @@ def cases():
         (vec.cosine(F.array(F.lit(1.0)), F.array(F.lit(1.0), F.lit(0.0))), 0.0),
         (vec.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0))), 0.0),
         (vec.model_of(F.lit(768)), "text-768"),
-        (edition_verdict(F.lit(0.9)), "same_edition"),
-        (near_boundary(F.lit(0.774)), True),
+        (edition_verdict(F.lit(0.9), F.lit(None).cast("double")), "same_edition"),
+        (edition_verdict(F.lit(0.049), F.lit(0.774)), "different_edition"),
+        (tx.canonical_spelling(F.lit("travelled")), "traveled"),
+        (tx.canonical_spelling(F.lit("pouring")), "pouring"),
+        (tx.canonical_spelling(F.lit("centre")), "center"),
+        (tx.canonical_spelling(F.lit("towards")), "toward"),
+        (tx.canonical_spelling(F.lit("favourite")), "favorite"),
+        (near_boundary(F.lit(0.049), F.lit(0.774), F.lit(0.93)), True),
         (trust_state(F.lit(None).cast("int"), F.lit(0)), "unchecked"),
         (trust_state(F.lit(100), F.lit(3)), "significant"),
         (trust_state(F.lit(1000), F.lit(29)), "minor"),
