@@ -6,7 +6,7 @@ documents.  Since a window has to occur whole, the necessary prefix is its
 rarest shingle alone.  Documents' shingles join these prefix tokens; the
 positional bound places the window, the length bound drops places at which it
 would not fit, and the words of the document at that place are compared with
-the window's one by one.
+the window's.  Rows are told apart by identifier and a hash of the text.
 
 Only DataFrame functions are used.  Tables of the benchmark's own size are
 broadcast while their row count is at most ``BROADCAST_ROWS`` and joined by
@@ -70,28 +70,34 @@ def overlaps(
     window, in words), ``items`` (sorted as strings), ``n_hit`` and ``contaminated``
     (at least a twentieth of the words are hit)."""
     windows = materialize(item_windows(benchmark, item_col, item_text_col, window), "windows")
-    sizes = [r[0] for r in windows.select(F.least("len", F.lit(SHINGLE))).distinct().collect()]  # at most SHINGLE values
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sizes = sorted(r[0] for r in windows.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE values
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), words_of(F.col(text_col)).alias("words"))
     grams = None
-    for k in sorted(sizes):
-        own = windows.where(F.least("len", F.lit(SHINGLE)) == k)
-        part = own.select("key", "len", "items", F.posexplode(_shingles(F.col("words"), k)).alias("off", "gram")).withColumn("k", F.lit(k))
+    for k in sizes:
+        own = windows.where(F.least("len", F.lit(SHINGLE)) == k).withColumn("grams", _shingles(F.col("words"), k))
+        part = own.select("key", "len", "items", F.posexplode("grams").alias("off", "gram")).withColumn("k", F.lit(k))
         grams = part if grams is None else grams.unionByName(part)
     if grams is None:
-        found = rows.select("id", F.lit(None).cast("array<struct<s:int,len:int,key:string,items:array<bigint>>>").alias("cands")).where("false")
+        found = rows.select("id", "th", F.lit(None).cast("array<struct<s:int,len:int,items:array<bigint>>>").alias("hit")).where("false")
     else:
-        found = _candidates(rows, materialize(grams, "grams"), sorted(sizes))
-    return _verified(rows, materialize(found, "candidates"), id_col)
+        found = _occurring(rows, materialize(grams, "grams"), sizes, window)
+    return _listed(rows, materialize(found, "occurring"), id_col)
+
 
+def _occurring(rows: DataFrame, grams: DataFrame, sizes: list[int], window: int) -> DataFrame:
+    """Windows that occur in each text: a text's shingle is the prefix token of a window that fits there and whose words are all there.
 
-def _candidates(rows: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFrame:
-    """Places at which a document's shingle is the prefix token of a window that fits there."""
+    Shingles are looked up in the pass that reads the texts; what goes on has
+    the words near the shingle with it, so no text is moved between machines.
+    """
     n = grams.count()
-    worded = rows.select("id", words_of(F.col("text")).alias("words"))
     seen = None
     for k in sizes:
-        own = worded.select("id", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), k)).alias("pos", "gram"))
-        own = own.join(_small(grams.where(f"k = {k}").select("gram").distinct(), n), "gram", "left_semi").withColumn("k", F.lit(k))
+        own = rows.withColumn("grams", _shingles(F.col("words"), k)).select("id", "th", "words", F.posexplode_outer("grams").alias("pos", "gram"))  # outer: else a filter that computes the array again is pushed to the scan
+        own = own.join(_small(grams.where(f"k = {k}").select("gram").distinct(), n), "gram", "left_semi")
+        first = F.greatest(F.col("pos") - (window - 1), F.lit(0))
+        near = F.slice("words", first + 1, F.col("pos") + window - first)
+        own = own.select("id", "th", F.size("words").alias("n"), "pos", "gram", F.lit(k).alias("k"), first.alias("first"), near.alias("near"))
         seen = own if seen is None else seen.unionByName(own)
     seen = materialize(seen, "shingles")
     rarity = seen.groupBy("k", "gram").count()
@@ -99,14 +105,14 @@ def _candidates(rows: DataFrame, grams: DataFrame, sizes: list[int]) -> DataFram
     prefix = materialize(ranked.where("p.c > 0").select("key", "p.gram", "p.off", "p.k", "p.len", "p.items"), "prefix")
     placed = seen.join(_small(prefix, n), ["k", "gram"]).withColumn("s", F.col("pos") - F.col("off"))
     fit = placed.where((F.col("s") >= 0) & (F.col("s") + F.col("len") <= F.col("n")))
-    return fit.groupBy("id").agg(F.collect_list(F.struct("s", "len", "key", "items")).alias("cands"))
+    same = fit.where(F.array_join(F.slice("near", F.col("s") - F.col("first") + 1, F.col("len")), " ") == F.col("key"))
+    return same.groupBy("id", "th").agg(F.collect_list(F.struct("s", "len", "items")).alias("hit"))
 
 
-def _verified(rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
-    found = found.withColumnRenamed("id", "found_id")
-    worded = rows.join(found, rows["id"].eqNullSafe(found["found_id"]), "left").select("id", words_of(F.col("text")).alias("words"), "cands")
-    same = lambda c: F.array_join(F.slice("words", c["s"] + 1, c["len"]), " ") == c["key"]
-    hit = worded.select("id", F.size("words").cast("long").alias("n_words"), F.filter("cands", same).alias("hit"))
+def _listed(rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    found = found.select(F.col("id").alias("found_id"), F.col("th").alias("found_th"), "hit")
+    sized = rows.select("id", "th", F.size("words").cast("long").alias("n_words"))
+    hit = sized.join(found, sized["id"].eqNullSafe(found["found_id"]) & (sized["th"] == found["found_th"]), "left")
     spans = F.array_sort(F.array_distinct(F.transform("hit", lambda c: F.struct(c["s"].alias("start"), (c["s"] + c["len"]).alias("end")))))
     items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hit", lambda c: c["items"])), lambda i: i.cast("string"))))
     listed = hit.select("id", "n_words", F.coalesce(spans, F.array()).alias("hits"), F.coalesce(items, F.array()).alias("items"))
