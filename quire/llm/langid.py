@@ -7,7 +7,7 @@ fitted in numpy: one a family against the rest, and one for each pair of
 languages in a family, which vote by margin.
 
 The learner takes at most ``PER_LANG`` documents a language, those with the
-smallest hash of the identifier; everything else is over all rows.
+smallest hash of identifier and text; everything else is over all rows.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0,
 as is every text if there was nothing to learn from.  Rows are independent;
@@ -141,8 +141,14 @@ def train(docs: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
     """Model fitted on at most ``per_lang`` documents of each language."""
     rows = docs.where(usable if usable is not None else F.lit(True)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where("lang is not null and text is not null and text <> ''")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "text")
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).orderBy("lang", "n").select("text", "lang").collect()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if not counts:
+        return fit([], [])
+    # A share of each language that is near three times the sample keeps the ranking small at any size.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 3 * per_lang / n))])
+    near = rows.withColumn("h", F.xxhash64("id", "text")).where(F.pmod("h", F.lit(1 << 40)) < F.element_at(share, F.col("lang")) * (1 << 40))
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "id", "text")
+    sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_lang).orderBy("lang", "n").select("text", "lang").collect()
     sample = [r for r in sample if has_letter(r["text"])]
     return fit([r["text"] for r in sample], [r["lang"] for r in sample])
 

@@ -6,8 +6,8 @@ A lasso logistic regression weighs the rules and drops most.  What is left is
 compiled into one Spark column expression over the statistics, so scoring
 needs no model object.
 
-The learner takes at most ``SAMPLE`` labelled rows, those with the smallest
-hash of the identifier.
+The learner takes the labelled rows whose hash is under a bound that leaves
+about ``SAMPLE`` of them, or all if there are fewer.
 
 Defined results: a null text has the statistics of the empty text and is
 scored; rows are independent, so repeated rows repeat; of several labels of an
@@ -135,10 +135,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, n_trees: int = 30, depth: int = 3, s
 
 
 def train(stats: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> RuleModel:
-    """Rules learnt from rows of ``stats`` that are ``usable`` and have a label of 0 or 1."""
+    """Rules learnt from about ``sample`` rows of ``stats`` that are ``usable`` and have a label of 0 or 1."""
     marked = labels.select(F.col(id_col), F.col(label_col).alias("__label")).where("__label in (0, 1)")
-    rows = stats.where(usable).join(marked, id_col).orderBy(F.xxhash64(id_col), id_col, *STATS).limit(sample)
-    data = np.array([tuple(r) for r in rows.select("__label", *STATS).collect()], dtype=float).reshape(-1, len(STATS) + 1)
+    known = stats.where(usable).join(marked, id_col)
+    # A share that is near the sample's size keeps what is sent and ranked small at any size.
+    share = min(1.0, sample / max(1, known.count()))
+    near = known.where(F.pmod(F.xxhash64(id_col, *STATS), F.lit(1 << 40)) < share * (1 << 40))
+    rows = near.select("__label", *STATS).collect()
+    data = np.array(sorted(tuple(r) for r in rows), dtype=float).reshape(-1, len(STATS) + 1)
     return fit_rules(data[:, 1:], data[:, 0])
 
 

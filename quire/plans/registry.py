@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import alignments, entities, listening, quality, retrieval, segments, sources, streams, timelines, vectors  # noqa: F401
+from quire.plans import alignments, entities, listening, quality, retrieval, segments, sources, streams, timelines, upkeep, vectors  # noqa: F401
 from quire.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP: Query = QUERIES["rag_chunks"]

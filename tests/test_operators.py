@@ -163,3 +163,18 @@ def test_streams_with_late_and_double_rows(spark, tmp_path):
     source = spark.readStream.schema(kind).parquet(f"{tmp_path}/in").select("user_id", "event_id", "value")
     events.upsert_latest(source, f"{tmp_path}/pos", f"{tmp_path}/pos-state", ["user_id"], "event_id")
     assert rows(spark.read.schema("user_id long, event_id long, value double").parquet(f"{tmp_path}/pos/v=0"), "user_id") == [(1, 2, 7.0), (2, 3, 1.0)]
+
+
+def test_spoken_chapters_and_greedy_pairs(spark):
+    from quire.operators import chapters
+
+    said = [(0.0, "Chapter"), (0.4, "one,"), (60.0, "chapter"), (60.4, "two"), (90.0, "chapter"), (90.4, "seventeen"), (120.0, "Chapter"), (120.4, "three")]
+    words = spark.createDataFrame([(1, i, s, w) for i, (s, w) in enumerate(said)], "doc_id long, pos int, s double, w string")
+    quiet = spark.createDataFrame([(1, 59.5, 3.0), (1, 119.5, 3.0)], "doc_id long, end_sec double, duration double")
+    found = chapters.detected(chapters.announcements(words, quiet))
+    assert [(r["number"], r["s"], round(r["confidence"], 3)) for r in found.orderBy("s").collect()] == [(1, 0.0, 0.8), (2, 60.0, 1.0), (3, 120.0, 1.0)]
+    assert {(r["pos"], r["number"]) for r in chapters.word_ranges(words, found).collect() if r["pos"] in (1, 5, 7)} == {(1, 1), (5, 2), (7, 3)}
+    assert chapters.best_run([17], [True]) == [] and chapters.best_run([1, 3, 4], [False, False, True]) == [1, 2]
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    scores = spark.createDataFrame([("a", "x", 5), ("a", "y", 4), ("b", "x", 5), ("b", "y", 1), ("c", "y", 4)], "a string, b string, n int")
+    assert rows(chapters.greedy_pairs(scores, "a", "b", "n"), "a") == [("a", "x", 5), ("c", "y", 4)]
