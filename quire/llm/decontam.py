@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.scratch import materialize
+from quire.llm.scratch import materialize, text_hash
 
 WINDOW, SHINGLE = 13, 3
 BROADCAST_ROWS = 200_000
@@ -67,11 +67,11 @@ def overlaps(
     window: int = WINDOW,
 ) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_words``, ``hits`` (start and end of each occurring
-    window, in words), ``items`` (sorted as strings), ``n_hit`` and ``contaminated``
-    (at least a twentieth of the words are hit)."""
+    window, in words), ``items`` (sorted as strings), ``text_hash``, ``n_hit`` and
+    ``contaminated`` (at least a twentieth of the words are hit)."""
     windows = materialize(item_windows(benchmark, item_col, item_text_col, window), "windows")
     sizes = sorted(r[0] for r in windows.select(F.least("len", F.lit(SHINGLE))).distinct().collect())  # at most SHINGLE values
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), words_of(F.col(text_col)).alias("words"))
+    rows = docs.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("th"), words_of(F.col(text_col)).alias("words"))
     grams = None
     for k in sizes:
         own = windows.where(F.least("len", F.lit(SHINGLE)) == k).withColumn("grams", _shingles(F.col("words"), k))
@@ -115,7 +115,7 @@ def _listed(rows: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     hit = sized.join(found, sized["id"].eqNullSafe(found["found_id"]) & (sized["th"] == found["found_th"]), "left")
     spans = F.array_sort(F.array_distinct(F.transform("hit", lambda c: F.struct(c["s"].alias("start"), (c["s"] + c["len"]).alias("end")))))
     items = F.array_sort(F.array_distinct(F.transform(F.flatten(F.transform("hit", lambda c: c["items"])), lambda i: i.cast("string"))))
-    listed = hit.select("id", "n_words", F.coalesce(spans, F.array()).alias("hits"), F.coalesce(items, F.array()).alias("items"))
+    listed = hit.select("id", "n_words", F.coalesce(spans, F.array()).alias("hits"), F.coalesce(items, F.array()).alias("items"), F.col("th").alias("text_hash"))
     zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end"))
     fresh = lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["end"] - F.greatest(a["end"], x["start"]))).alias("n"), F.greatest(a["end"], x["end"]).alias("end"))
     counted = listed.withColumn("n_hit", F.aggregate("hits", zero, fresh, lambda a: a["n"]))

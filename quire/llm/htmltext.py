@@ -289,7 +289,7 @@ def training_page(seed: int) -> tuple[str, str]:
 
 @lru_cache(1)
 def model(pages: int = 300) -> trees.Forest:
-    """Trees fitted on generated pages; the label of an element is whether most of the text below it is main text."""
+    """Trees fitted on generated pages; the label of an element is whether any text below it is main text."""
     xs, ys = [], []
     for seed in range(pages):
         nodes, runs = parse(training_page(seed)[0])

@@ -30,7 +30,7 @@ def bpe_digest(encoded: DataFrame) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
 def op5_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
 
@@ -54,3 +55,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def text_hash(text: Column) -> Column:
+    """Tells rows of one identifier apart by their text; null counts as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import connected_components
-from quire.llm.scratch import materialize, partitions
+from quire.llm.scratch import materialize, partitions, text_hash
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -66,16 +66,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col`` and the fingerprint ``fp`` as a signed 64-bit integer."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    """``id_col``, ``text_hash`` and the fingerprint ``fp`` as a signed 64-bit integer."""
+    rows = df.select(F.col(id_col).alias("id"), text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "fp"])
+            found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long").withColumnRenamed("id", id_col)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -187,11 +187,17 @@ def _indexed(dealt: DataFrame, n: int) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits) and ``component_id`` of every row."""
+    """``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` and ``text_hash`` of every row, and ``root``, its group's smallest fingerprint."""
     marks = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     codes = materialize(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "codes")
     groups = connected_components(near_links(codes.select("fp"), hot))
     rooted = codes.join(groups, codes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
+    return marks.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
+
+
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """``id_col`` and ``text_hash`` of one row of each group: that of the smallest identifier, null last, then of the smallest hash."""
+    first = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col), F.col("text_hash"))).alias("first")
+    return near_duplicates(df, id_col, text_col, hot).groupBy("root").agg(first).select(f"first.{id_col}", "first.text_hash")
