@@ -21,9 +21,9 @@ _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 _EXTRA = re.compile("[\x1c-\x1f]")
 #: Chunks and pieces remembered by a Python worker before it starts afresh;
 #: it bounds memory and never changes a result.
-MEMO = 600_000
+MEMO = 150_000
 #: Characters of text handled together.
-GROUP_CHARS = 8_000_000
+GROUP_CHARS = 2_000_000
 
 
 def split_chunks(text: str) -> list[str]:
