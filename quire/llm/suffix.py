@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from quire.llm.scratch import materialize, new_path, partitions
 
 LENGTH, GRAM = 400, 64
-HOT_BYTES = 8_000_000
+HOT_BYTES = 2_000_000
 #: Bytes of joined runs that a task sorts together.
-SORT_BYTES = 2_000_000
+SORT_BYTES = 1_000_000
 
 
 # --- windows by their smallest hash
