@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import bpe, decontam, hnsw, htmltext, langid, lm_score, quality, simhash, sstable, suffix
-from quire.llm.scratch import materialize
+from quire.llm.scratch import bounded_batches, materialize
 
 END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

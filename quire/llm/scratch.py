@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _roots: dict[str, str] = {}
+#: Bytes of rows that Spark hands to a Python worker at once; long texts make batches by row count very large.
+BATCH_BYTES = 4_000_000
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+_set_for: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -60,3 +64,12 @@ def partitions(spark: SparkSession) -> int:
 def text_hash(text: Column) -> Column:
     """Tells rows of one identifier apart by their text; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the bytes of Arrow batches, once an application, unless it was started with a bound of its own."""
+    app = spark.sparkContext.applicationId
+    if app not in _set_for:
+        _set_for.add(app)
+        if not spark.sparkContext.getConf().contains(_BATCH_KEY):
+            spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
