@@ -200,3 +200,16 @@ def test_word_counts_cover_every_text(docs):
 
     want = Counter(w for _, t, _ in edge_texts() for w in lm_score.words_of(t))
     assert {bytes(r["word"]): r["n"] for r in lm_score.word_counts(docs).collect()} == dict(want)
+
+
+def test_training_covers_every_position(spark, docs):
+    from .conftest import edge_texts
+
+    net = lm_score.Network.create([(b"one", 3), (b"two", 1)], 10)
+    shared = spark.sparkContext.broadcast(net)
+    kind = "block long, task long, seen long, part binary"
+    short = [("one",), ("one two",), ("one two three",), ("a b c d e f",), ("a b c d e f g h",)]
+    for df, want in ((docs, sum(len(lm_score.words_of(t)) for _, t, _ in edge_texts())), (spark.createDataFrame(short, "text string"), 20)):
+        for round_ in range(lm_score.ROUNDS):
+            parts = df.select("text").mapInArrow(lm_score._train_batches(shared, round_, 1 << 30), kind)
+            assert parts.agg(F.sum("seen")).first()[0] == want
