@@ -74,7 +74,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs))
+    return lm_score.score(docs, lm_score.train(docs, spell=True))
 
 
 QUERIES = {

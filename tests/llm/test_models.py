@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,3 +214,32 @@ def test_training_covers_every_position(spark, docs):
         for round_ in range(lm_score.ROUNDS):
             parts = df.select("text").mapInArrow(lm_score._train_batches(shared, round_, 1 << 30), kind)
             assert parts.agg(F.sum("seen")).first()[0] == want
+
+
+def test_words_outside_the_vocabulary_have_probabilities_of_their_own(spark):
+    rows = [(i, t) for i, t in enumerate(["the cat and the dog", "the catan and the dog", "the xqzv and the dog", "the the and and", "the the and and catan cat"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    net = lm_score.train(df, vocabulary=2, spell=True)
+    assert set(net.words) == {b"the", b"and"} and np.exp(net.table.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+    counts = Counter()
+    for w in ["cat", "dog", "catan", "dog", "xqzv", "dog", "catan", "cat"]:
+        for x, y, z in zip("  " + w, " " + w, w + " ", strict=False):
+            counts[ord(y), (ord(x) ^ ord(x) >> 4) & 15, ord(z)] += 1
+    totals = Counter()
+    for (y, x, _), n in counts.items():
+        totals[y, x] += n
+
+    def spell(w):
+        keys = [(ord(y), (ord(x) ^ ord(x) >> 4) & 15, ord(z)) for x, y, z in zip("  " + w, " " + w, w + " ", strict=False)]
+        return sum(math.log((counts[k] + 1 / 256) / (totals[k[:2]] + 1)) for k in keys)
+
+    got = {r["doc_id"]: r["log_prob"] for r in lm_score.score(df, net).collect()}
+    for i, t in rows:
+        words = [lm_score.words_of(t)]
+        ids, context = net.ids_and_context(words)
+        at = np.arange(lm_score.SPAN, lm_score.SPAN + len(words[0]))
+        want = net.log_probability(ids, at, context).sum() + sum(spell(w) for w in t.split() if w not in ("the", "and"))
+        assert got[i] == pytest.approx(want, abs=1e-3)
+    assert len({round(x, 3) for x in got.values()}) == len(rows)
+    a, b = (net.ids_and_context([lm_score.words_of(t)])[1] for _, t in rows[:2])
+    assert not np.allclose(net.hidden(a, np.array([2])), net.hidden(b, np.array([2])))
