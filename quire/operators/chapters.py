@@ -26,21 +26,21 @@ def announcements(words: DataFrame, silences: DataFrame, least: float = 2.0) ->
 
 def best_run(numbers: list[int], quiet: list[bool], step: int = 3) -> list[int]:
     """Places of the longest run of rising numbers (WIN19): steps of one to ``step``, one over one only after a silence; of equals the one that starts lowest."""
-    best, link = [1] * len(numbers), [-1] * len(numbers)
+    best, link, start = [1] * len(numbers), [-1] * len(numbers), list(range(len(numbers)))
+    longest: dict[int, int] = {}  # of each number the place where its longest run ends, the first of equals
     for i, n in enumerate(numbers):
-        for j in range(i):
-            d = n - numbers[j]
-            if (d == 1 or 1 < d <= step and quiet[i]) and best[j] + 1 > best[i]:
-                best[i], link[i] = best[j] + 1, j
-    runs = []
-    for i in range(len(numbers)):
-        run, k = [], i
-        while k >= 0:
-            run.append(k)
-            k = link[k]
-        runs.append(run[::-1])
-    good = [r for r in runs if len(r) >= 2]
-    return min(good, key=lambda r: (-len(r), numbers[r[0]], r[0])) if good else []
+        before = [longest[n - d] for d in range(1, (step if quiet[i] else 1) + 1) if n - d in longest]
+        if before:
+            j = min(before, key=lambda k: (-best[k], k))
+            best[i], link[i], start[i] = best[j] + 1, j, start[j]
+        if n not in longest or best[i] > best[longest[n]]:
+            longest[n] = i
+    good = [i for i in range(len(numbers)) if best[i] >= 2]
+    run, k = [], min(good, key=lambda i: (-best[i], numbers[start[i]], start[i])) if good else -1
+    while k >= 0:
+        run.append(k)
+        k = link[k]
+    return run[::-1]
 
 
 def detected(found: DataFrame) -> DataFrame:

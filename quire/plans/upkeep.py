@@ -131,7 +131,7 @@ def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spoken_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEG6, WIN19: chapters announced in stated transcripts; the run of numbers is found by dynamic programming."""
-    w = words(spark, sf_dir).where("doc_id % 4 = 0")
+    w = words(spark, sf_dir)
     spoken = F.when(F.col("pos") % 40 == 10, F.lit("chapter")).when(F.col("pos") % 40 == 11, ((F.col("pos") / 40).cast("int") + 1).cast("string")).otherwise(F.col("w"))
     said = w.withColumn("w", spoken)
     quiet = said.where("pos % 40 = 10 and pos % 80 <> 10").select("doc_id", F.col("s").alias("end_sec"), F.lit(2.5).alias("duration"))
@@ -142,7 +142,7 @@ def spoken_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chapter_word_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SEG11, SEG13: words in each spoken chapter."""
     found = spoken_chapters(spark, sf_dir)
-    w = words(spark, sf_dir).where("doc_id % 4 = 0").select("doc_id", "pos", "s")
+    w = words(spark, sf_dir).select("doc_id", "pos", "s")
     return chapters.word_ranges(w, found).groupBy("doc_id", "number").agg(F.count("*").alias("words"), F.min("pos").alias("first_pos"))
 
 
