@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark: SparkSession, folder: str, schema, per_trigger: int = 64) -> DataFrame:
-    """A stream of event files; times are given a zone so they can carry a watermark."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def read_events(spark: SparkSession, folder: str, schema, per_trigger: int | None = None) -> DataFrame:
+    """A stream of event files; times are given a zone so they can carry a watermark.
+
+    With ``per_trigger`` files a batch, files must come in order of time: a later
+    batch's rows behind the watermark of an earlier one are dropped.
+    """
+    s = spark.readStream.schema(schema)
+    s = (s if per_trigger is None else s.option("maxFilesPerTrigger", per_trigger)).parquet(folder)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

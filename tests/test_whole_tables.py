@@ -39,3 +39,19 @@ def test_best_run_as_by_looking_at_all_pairs():
         n = r.randrange(15)
         numbers, quiet = [r.randint(1, 8) for _ in range(n)], [r.random() < 0.5 for _ in range(n)]
         assert best_run(numbers, quiet) == brute(numbers, quiet)
+
+
+def test_daily_of_many_files_out_of_time_order(spark, tmp_path):
+    import datetime as dt
+    from collections import Counter
+
+    from quire.plans import streams
+
+    start = dt.datetime(2024, 1, 1, 12)
+    days = [(i * 37) % 70 for i in range(70)]
+    folder = tmp_path / "events.parquet"
+    rows = [(i, start + dt.timedelta(days=d), 1.0) for i, d in enumerate(days)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, value double").repartitionByRange(70, "event_id").write.option("maxRecordsPerFile", 1).parquet(str(folder))
+    assert len(list(folder.glob("*.parquet"))) == 70
+    got = {r["day"]: r["n"] for r in streams.streamed_daily(spark, str(tmp_path)).collect()}
+    assert got == dict(Counter(str((start + dt.timedelta(days=d)).date()) for d in days if d < 68))
