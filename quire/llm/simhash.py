@@ -21,6 +21,13 @@ fingerprints at distance two or less meet at one they both reach by turning at
 most one bit, at most 65 fingerprints can meet there, and all that meet are
 within two of each other.  It needs no pair search and finds the same links.
 
+Fingerprints of texts whose sets of shingles are alike but not nearly equal
+differ in more bits than blocks can find (3 to 11 at a Jaccard similarity of
+0.8).  ``similar_links`` finds such texts by ``BANDS`` bands of ``BAND_ROWS``
+min-hashes (a pair at 0.8 shares one with probability 0.9996), links each text
+to the first and last of its band and keeps the links whose exact similarity
+is high enough.  They can be given to ``near_duplicates`` beside its own links.
+
 Defined results: a null text counts as empty; copies of a text share a
 fingerprint and so a group; repeated rows repeat; the component of a row is
 the smallest non-null identifier of its group (null if there is none).
@@ -49,6 +56,8 @@ BLOCKS = (22, 21, 21)
 HOT = 4096
 #: Children of a node of the hierarchy, and pairs of nodes looked at together.
 FANOUT, AT_ONCE = 16, 1 << 18
+#: Min-hash bands of ``similar_links`` and min-hashes in each.
+BANDS, BAND_ROWS = 20, 5
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -186,18 +195,76 @@ def _indexed(dealt: DataFrame, n: int) -> DataFrame:
     return dealt.repartition(n, "block", "value").select("block", "fp").mapInArrow(_link_batches, "src long, dst long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` and ``text_hash`` of every row, and ``root``, its group's smallest fingerprint."""
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct hashes of the text's runs of ``size`` words; a shorter text is one run, no words give none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    k = min(size, len(words))
+    digest = xxhash.xxh64_intdigest
+    return np.array(sorted({digest(b" ".join(words[i : i + k]), SEED) for i in range(len(words) - k + 1)} if k else ()), dtype=np.uint64)
+
+
+def band_values(hashes: np.ndarray) -> np.ndarray:
+    """One value for each band of min-hashes."""
+    rng = np.random.default_rng(SEED)
+    n = BANDS * BAND_ROWS
+    times, plus = rng.integers(0, 1 << 64, n, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    least = np.full(n, ~np.uint64(0))
+    for i in range(0, len(hashes), 4096):
+        mixed = hashes[i : i + 4096, None] * times + plus
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=0))
+    raw = least.reshape(BANDS, BAND_ROWS)
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in raw], dtype=np.uint64)
+
+
+def _hashed(rows: DataFrame, size: int, make) -> DataFrame:
+    """``h`` (hash of the text) and ``x``, what ``make`` gives for the hashes of its shingles; texts without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(h, make(x).view(np.int64)) for h, x in zip(batch.column(0).to_pylist(), (shingle_hashes(t.as_py(), size) for t in batch.column(1)), strict=True) if len(x)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["h", "x"])
+
+    return rows.mapInArrow(run, "h long, x array<long>")
+
+
+def similar_links(df: DataFrame, size: int, least: float, text_col: str = "text", fewest: int = 1) -> DataFrame:
+    """Links ``src``, ``dst`` of hashes of texts whose sets of ``size``-word shingles, of ``fewest`` or more, have a Jaccard similarity of ``least`` or more."""
+    rows = df.select(text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
+    bands = _hashed(rows, size, band_values).groupBy("h").agg(F.first("x").alias("x"))
+    bands = materialize(bands.select("h", F.posexplode("x").alias("band", "value")), "bands")
+    ends = bands.groupBy("band", "value").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high")
+    met = bands.join(ends, ["band", "value"]).select("h", F.explode(F.array("low", "high")).alias("other")).where("h != other")
+    pairs = materialize(met.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "met")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+    sets = _hashed(rows.join(nodes, "h", "left_semi"), size, lambda x: x).groupBy("h").agg(F.first("x").alias("x"))
+    sets = materialize(sets, "sets")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
+    shared = F.size(F.array_intersect("xa", "xb"))
+    both = both.where((F.size("xa") >= fewest) & (F.size("xb") >= fewest))
+    return both.where(shared >= least * (F.size("xa") + F.size("xb") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, similar: DataFrame | None = None) -> DataFrame:
+    """``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` and ``text_hash`` of every row, and ``root``, its group's smallest fingerprint.
+
+    ``similar``: further links, of hashes of texts.
+    """
     marks = materialize(fingerprints(df, id_col, text_col), "fingerprints")
     codes = materialize(marks.groupBy("fp").agg(F.min(id_col).alias("least")), "codes")
-    groups = connected_components(near_links(codes.select("fp"), hot))
+    links = near_links(codes.select("fp"), hot)
+    if similar is not None:
+        named = marks.groupBy("text_hash").agg(F.first("fp").alias("fp"))
+        ends = similar.join(named.select(F.col("text_hash").alias("src"), F.col("fp").alias("a")), "src").join(named.select(F.col("text_hash").alias("dst"), F.col("fp").alias("b")), "dst")
+        links = links.unionByName(ends.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    groups = connected_components(links)
     rooted = codes.join(groups, codes["fp"] == groups["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(rooted.join(least, "root").select("fp", "component_id", "root"), "named")
     return marks.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "text_hash", "root")
 
 
-def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def representatives(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, similar: DataFrame | None = None) -> DataFrame:
     """``id_col`` and ``text_hash`` of one row of each group: that of the smallest identifier, null last, then of the smallest hash."""
     first = F.min(F.struct(F.col(id_col).isNull().alias("absent"), F.col(id_col), F.col("text_hash"))).alias("first")
-    return near_duplicates(df, id_col, text_col, hot).groupBy("root").agg(first).select(f"first.{id_col}", "first.text_hash")
+    return near_duplicates(df, id_col, text_col, hot, similar).groupBy("root").agg(first).select(f"first.{id_col}", "first.text_hash")
