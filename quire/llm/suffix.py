@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +73,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs_of(raw: bytes) -> tuple[np.ndarray, ...]:
+def runs_of(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """(hash, first window, last window, whether the hash occurs twice inside) of each run of windows."""
-    if len(raw) < LENGTH:
+    if len(raw) < length:
         empty = np.zeros(0, dtype=np.int64)
         return empty.astype(np.uint64), empty, empty, empty.astype(bool)
     h = gram_hashes(np.frombuffer(raw, dtype=np.uint8))
-    width = LENGTH - GRAM + 1
+    width = length - GRAM + 1
     least = sliding_min(h, width)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     last = np.concatenate([first[1:], [len(least)]]) - 1
@@ -87,18 +88,18 @@ def runs_of(raw: bytes) -> tuple[np.ndarray, ...]:
     return value, first, last, twice
 
 
-def _emit_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parts = []
         for h1, h2, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            value, first, last, twice = runs_of(text.encode("utf-8", "replace"))
+            value, first, last, twice = runs_of(text.encode("utf-8", "replace"), length)
             if len(value):
                 parts.append((value.view(np.int64), np.full(len(value), h1), np.full(len(value), h2), first, last, twice))
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["m", "h1", "h2", "first", "last", "twice"])
 
 
-def _emit_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _emit_bytes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Bytes of each run that is looked at."""
     for whole in batches:
         for at in range(0, whole.num_rows, 256):
@@ -106,7 +107,7 @@ def _emit_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for h1, h2, text, runs in zip(*(c.to_pylist() for c in whole.slice(at, 256).columns), strict=True):
                 raw = text.encode("utf-8", "replace")
                 for r in runs:
-                    part = raw[r["first"] : r["last"] + LENGTH]
+                    part = raw[r["first"] : r["last"] + length]
                     c1 = int.from_bytes(xxhash.xxh3_128_digest(part)[:8], "big", signed=True)
                     out.append((r["m"], c1, part, h1, h2, r["first"]))
             if out:
@@ -202,38 +203,38 @@ def repeated_starts(strings: Sequence[bytes], length: int = LENGTH) -> list[np.n
     return [marked[b : b + max(0, s - length)] for b, s in zip(begins, sizes, strict=True)]
 
 
-def _spans(hit: np.ndarray) -> list[dict]:
+def _spans(hit: np.ndarray, length: int) -> list[dict]:
     """Byte spans covered by windows that start where ``hit`` is set."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    return [{"s": int(a), "e": int(b) - 1 + LENGTH} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return [{"s": int(a), "e": int(b) - 1 + length} for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _search(rows: list[tuple[int, int, bytes, int]]) -> pa.RecordBatch:
-    found = repeated_starts([r[2] for r in rows])
-    spans = [_spans(np.ones(len(f), dtype=bool) if r[3] > 1 else f) for r, f in zip(rows, found, strict=True)]
+def _search(rows: list[tuple[int, int, bytes, int]], length: int) -> pa.RecordBatch:
+    found = repeated_starts([r[2] for r in rows], length)
+    spans = [_spans(np.ones(len(f), dtype=bool) if r[3] > 1 else f, length) for r, f in zip(rows, found, strict=True)]
     kind = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(spans, kind)], ["m", "c", "spans"])
 
 
-def _search_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _search_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by hash, so a hash is never cut apart."""
     held: list[tuple[int, int, bytes, int]] = []
     size = 0
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if size >= SORT_BYTES and row[0] != held[-1][0]:
-                yield _search(held)
+                yield _search(held, length)
                 held, size = [], 0
             held.append(row)
             size += len(row[2])
     if held:
-        yield _search(held)
+        yield _search(held, length)
 
 
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _window_hashes(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for m, c, part, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            digest = [xxhash.xxh3_128_digest(part[i : i + LENGTH]) for i in range(len(part) - LENGTH + 1)]
+            digest = [xxhash.xxh3_128_digest(part[i : i + length]) for i in range(len(part) - length + 1)]
             w = np.frombuffer(b"".join(digest), dtype=np.int64).reshape(-1, 2)
             k = len(w)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(w[:, 0])), pa.array(np.ascontiguousarray(w[:, 1])), pa.array(np.full(k, m)), pa.array(np.full(k, c)), pa.array(np.full(k, n)), pa.array(np.arange(k))], ["w1", "w2", "m", "c", "n", "s"])
@@ -244,12 +245,12 @@ def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 _SPAN_LIST = "array<struct<s:bigint,e:bigint>>"
 
 
-def _hot_spans(rows: DataFrame) -> DataFrame:
+def _hot_spans(rows: DataFrame, length: int) -> DataFrame:
     """As ``_search`` for rows of crowded hashes, through counts of window hashes."""
-    windows = materialize(rows.mapInArrow(_window_hashes, "w1 long, w2 long, m long, c long, n long, s long"), "windows")
+    windows = materialize(rows.mapInArrow(partial(_window_hashes, length=length), "w1 long, w2 long, m long, c long, n long, s long"), "windows")
     again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
     hit = windows.join(again, ["w1", "w2"], "left_semi")
-    return hit.groupBy("m", "c").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s.alias("s"), (s + LENGTH).alias("e"))).alias("spans"))
+    return hit.groupBy("m", "c").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s.alias("s"), (s + length).alias("e"))).alias("spans"))
 
 
 def _texts(df: DataFrame, text_col: str) -> tuple[Column, Column, Column]:
@@ -264,19 +265,39 @@ def _bucketed(texts: DataFrame) -> DataFrame:
     return spark.table(name)
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _covered(spans: list[dict] | None, raw: bytes, least_words: int) -> list[tuple[int, int]]:
+    """Sorted spans; with ``least_words``, joined and without those that hold fewer whole words."""
+    found = sorted((x["s"], x["e"]) for x in spans or ())
+    if not least_words:
+        return found
+    joined: list[tuple[int, int]] = []
+    for s, e in found:
+        if joined and s <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(e, joined[-1][1]))
+        else:
+            joined.append((s, e))
+
+    def whole(s: int, e: int) -> int:
+        torn = s > 0 and not raw[s - 1 : s].isspace() and not raw[s : s + 1].isspace()
+        torn += e < len(raw) and not raw[e - 1 : e].isspace() and not raw[e : e + 1].isspace()
+        return len(raw[s:e].split()) - torn
+
+    return [(s, e) for s, e in joined if whole(s, e) >= least_words]
+
+
+def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, least_words: int) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 1024):
             batch = whole.slice(at, 1024)
             out = []
             for text, n, spans in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True):
                 raw = text.encode("utf-8", "replace")
-                if n > 1 and len(raw) >= LENGTH:
+                if n > 1 and (len(raw.split()) >= least_words if least_words else len(raw) >= length):
                     out.append((len(raw), len(raw), 1, b""))
                     continue
                 kept, here, removed, count = [], 0, 0, 0
                 reach = -1  # end of the removed run that is open
-                for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+                for s, e in _covered(spans, raw, least_words):
                     if s > reach:
                         kept.append(raw[here:s])
                         count += 1
@@ -292,40 +313,42 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *longs, pa.array(kept, pa.binary())], ["h1", "h2", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def text_spans(texts: DataFrame, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def text_spans(texts: DataFrame, hot_bytes: int = HOT_BYTES, length: int = LENGTH) -> DataFrame:
     """``h1``, ``h2`` and byte spans to remove of the distinct ``texts`` (h1, h2, text, n) that have any."""
     spark = texts.sparkSession
-    runs = materialize(texts.select("h1", "h2", "text").mapInArrow(_emit_runs, "m long, h1 long, h2 long, first long, last long, twice boolean"), "runs")
+    runs = materialize(texts.select("h1", "h2", "text").mapInArrow(partial(_emit_runs, length=length), "m long, h1 long, h2 long, first long, last long, twice boolean"), "runs")
     again = runs.groupBy("m").agg(F.count("*").alias("k"), F.bool_or("twice").alias("twice")).where("k > 1 or twice").select("m")
     looked = runs.join(again, "m", "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("m", "first", "last")).alias("runs"))
-    cut = texts.join(looked, ["h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(_emit_bytes, "m long, c long, bytes binary, h1 long, h2 long, first long")
+    cut = texts.join(looked, ["h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(partial(_emit_bytes, length=length), "m long, c long, bytes binary, h1 long, h2 long, first long")
     cut = materialize(cut, "run-bytes")
     distinct = materialize(cut.groupBy("m", "c").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n")), "distinct-runs")
     crowded = materialize(distinct.groupBy("m").agg(F.sum(F.length("bytes")).alias("b")).where(F.col("b") > hot_bytes).select("m"), "crowded")
     kind = f"m long, c long, spans {_SPAN_LIST}"
     columns = ["m", "c", "bytes", "n"]
-    search = lambda rows: rows.select(*columns).repartition(partitions(spark), "m").sortWithinPartitions("m").mapInArrow(_search_batches, kind)
+    search = lambda rows: rows.select(*columns).repartition(partitions(spark), "m").sortWithinPartitions("m").mapInArrow(partial(_search_batches, length=length), kind)
     if crowded.isEmpty():
         spans = search(distinct)
     else:
-        spans = search(distinct.join(crowded, "m", "left_anti")).unionByName(_hot_spans(distinct.join(crowded, "m", "left_semi").select(*columns)))
+        spans = search(distinct.join(crowded, "m", "left_anti")).unionByName(_hot_spans(distinct.join(crowded, "m", "left_semi").select(*columns), length))
     spans = materialize(spans.where(F.size("spans") > 0), "spans")
     placed = cut.select("m", "c", "h1", "h2", "first").join(spans, ["m", "c"])
     shifted = placed.select("h1", "h2", F.transform("spans", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e"))).alias("spans"))
     return shifted.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), kept: Column | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), kept: Column | None = None, hot_bytes: int = HOT_BYTES, length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """Per row: ``id_col``, the columns ``keep``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (bytes left).
 
     ``kept`` replaces the bytes by an expression over them, computed once a distinct text.
+    ``length``, at least ``GRAM``, takes the place of ``LENGTH``; with ``least_words``, what is
+    found goes only where it covers as many whole words in a row.
     """
     text, h1, h2 = _texts(df, text_col)
     rows = df.select(F.col(id_col), *keep, text.alias("text"), h1.alias("h1"), h2.alias("h2"))
     texts = _bucketed(rows.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("n")))
-    spans = text_spans(texts, hot_bytes)
+    spans = text_spans(texts, hot_bytes, length)
     joined = texts.join(spans, ["h1", "h2"], "left").select("h1", "h2", "text", "n", "spans")
-    result = joined.mapInArrow(_cut_batches, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
+    result = joined.mapInArrow(partial(_cut_batches, length=length, least_words=least_words), "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
     if kept is not None:
         result = result.withColumn("kept", kept)
     return rows.drop("text").join(result, ["h1", "h2"]).drop("h1", "h2")
