@@ -207,18 +207,23 @@ def title_from_filename(path: Column | str) -> Column:
 
 
 #: British words with a spelling of their own, and the American one.
-SPELLING_WORDS = (
-    "grey gray greyer grayer greyest grayest greyish grayish tyre tire tyres tires mould mold moulds molds moulded molded moulding molding mouldy moldy "
-    "plough plow ploughs plows ploughed plowed ploughing plowing kerb curb kerbs curbs programme program programmes programs cheque check cheques checks "
-    "storey story storeys stories aluminium aluminum pyjamas pajamas sceptic skeptic sceptics skeptics sceptical skeptical scepticism skepticism "
-    "moustache mustache moustaches mustaches moustached mustached draught draft draughts drafts draughty drafty cosy cozy cosier cozier cosiest coziest cosily cozily "
-    "smoulder smolder smouldered smoldered smouldering smoldering woollen woolen woollens woolens gaol jail gaoler jailer "
-    "practise practice practised practiced practises practices practising practicing encyclopaedia encyclopedia encyclopaedias encyclopedias foetus fetus foetuses fetuses foetal fetal "
-    "paediatric pediatric paediatrics pediatrics paediatrician pediatrician anaemia anemia anaemic anemic oestrogen estrogen diarrhoea diarrhea coeliac celiac "
-    "archaeology archeology archaeological archeological gynaecology gynecology haemorrhage hemorrhage haemoglobin hemoglobin leukaemia leukemia oesophagus esophagus "
-    "orthopaedic orthopedic faeces feces anaesthesia anesthesia anaesthetic anesthetic amoeba ameba manoeuvre maneuver manoeuvres maneuvers manoeuvred maneuvered "
-    "aesthetic esthetic aesthetics esthetics mediaeval medieval"
-).split()
+SPELLING_WORDS = {
+    "grey": "gray", "greyer": "grayer", "greyest": "grayest", "greyish": "grayish", "tyre": "tire", "tyres": "tires", "mould": "mold",
+    "moulds": "molds", "moulded": "molded", "moulding": "molding", "mouldy": "moldy", "plough": "plow", "ploughs": "plows", "ploughed": "plowed",
+    "ploughing": "plowing", "kerb": "curb", "kerbs": "curbs", "programme": "program", "programmes": "programs", "cheque": "check",
+    "cheques": "checks", "storey": "story", "storeys": "stories", "aluminium": "aluminum", "pyjamas": "pajamas", "sceptic": "skeptic",
+    "sceptics": "skeptics", "sceptical": "skeptical", "scepticism": "skepticism", "moustache": "mustache", "moustaches": "mustaches",
+    "moustached": "mustached", "draught": "draft", "draughts": "drafts", "draughty": "drafty", "cosy": "cozy", "cosier": "cozier",
+    "cosiest": "coziest", "cosily": "cozily", "smoulder": "smolder", "smouldered": "smoldered", "smouldering": "smoldering", "woollen": "woolen",
+    "woollens": "woolens", "gaol": "jail", "gaoler": "jailer", "practise": "practice", "practised": "practiced", "practises": "practices",
+    "practising": "practicing", "encyclopaedia": "encyclopedia", "encyclopaedias": "encyclopedias", "foetus": "fetus", "foetuses": "fetuses",
+    "foetal": "fetal", "paediatric": "pediatric", "paediatrics": "pediatrics", "paediatrician": "pediatrician", "anaemia": "anemia",
+    "anaemic": "anemic", "oestrogen": "estrogen", "diarrhoea": "diarrhea", "coeliac": "celiac", "archaeology": "archeology",
+    "archaeological": "archeological", "gynaecology": "gynecology", "haemorrhage": "hemorrhage", "haemoglobin": "hemoglobin",
+    "leukaemia": "leukemia", "oesophagus": "esophagus", "orthopaedic": "orthopedic", "faeces": "feces", "anaesthesia": "anesthesia",
+    "anaesthetic": "anesthetic", "amoeba": "ameba", "manoeuvre": "maneuver", "manoeuvres": "maneuvers", "manoeuvred": "maneuvered",
+    "aesthetic": "esthetic", "aesthetics": "esthetics", "mediaeval": "medieval",
+}
 #: Words of the endings below that keep their spelling.
 KEEP_WARDS = ("rewards", "awards", "cowards")
 KEEP_OUR = ("flour", "scour", "velour", "detour", "contour", "devour", "pour", "sour", "tour", "dour")
@@ -228,7 +233,8 @@ SPELLING_RULES = (
     (r"^(?!(?:" + "|".join(KEEP_WARDS) + r")$)(.+)wards$", "$1ward"),
     (r"^(.*)isation(s?)$", "$1ization$2"),
     (r"^(.+)is(ing|ers)$", "$1iz$2"),
-    (r"^(.+)is(ed|es|er|e)$", "$1iz$2"),
+    (r"^(.+)is(ed|es|er)$", "$1iz$2"),
+    (r"^(..+)ise$", "$1ize"),
     (r"^(.*)ys(ing|ed|es|e)$", "$1yz$2"),
     (r"^(?!(?:" + "|".join(KEEP_OUR) + r")(?:s|ed|ing|er|ers|ite|ites|able|ables|ably|ful|fully|hood|less|ism|ous|y)?$)(..+)our(s?)$", "$1or$2"),
     (r"^(?!(?:" + "|".join(KEEP_OUR) + r")(?:ed|ing|er|ers|ite|ites|able|ables|ably|ful|fully|hood|less|ism|ous|y)$)(.+)our(ed|ing|er|ers|ite|ites|able|ables|ably|ful|fully|hood|less|ism|ous|y)$", "$1or$2"),
@@ -243,7 +249,7 @@ SPELLING_RULES = (
 def canonical_spelling(word: Column | str) -> Column:
     """American spelling of a British word in lower case (SCA21): its own entry, else the first ending that fits."""
     w = _col(word)
-    own = F.create_map(*[F.lit(x) for x in SPELLING_WORDS])
+    own = F.create_map(*[F.lit(x) for pair in SPELLING_WORDS.items() for x in pair])
     out = F.when(F.length(w) < 4, w).when(F.try_element_at(own, w).isNotNull(), F.try_element_at(own, w))
     for pattern, new in SPELLING_RULES:
         out = out.when(w.rlike(pattern), F.regexp_replace(w, pattern, new))

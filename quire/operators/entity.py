@@ -47,23 +47,52 @@ def edition_key(df: DataFrame) -> DataFrame:
     return df.withColumn("edition_key", F.coalesce(some("edition"), some("album"), some("folder"), some("origin"), F.col("id").cast("string")))
 
 
-def cast_names(df: DataFrame, work: str, text: str = "text", least: int = 3, most: int = 30) -> DataFrame:
-    """Names of a text's cast by a score (AGG24, AGG25): capitalised words inside sentences, two in a row taken together.
+#: Titles before a name.
+HONORIFICS = ("mr", "mrs", "ms", "miss", "dr", "m", "mme", "mlle", "prof", "professor", "capt", "col", "rev")
+PLACE_FACTOR, NAME_FACTOR = 0.02, 1.4
 
-    Words that the texts also write in lower case at least as often are no names; this stands in for a word list.
+
+def name_tokens(df: DataFrame, work: str, doc: str, text: str = "text") -> DataFrame:
+    """Words of texts with what tells a name (AGG24): low, surface, title (capitalised), shout (all capitals), inner (not at the start of a sentence), and the title in front.
+
+    Each document is looked at by itself, so no word has a neighbour in another one.
+    """
+    t = df.select(work, doc, F.posexplode(F.regexp_extract_all(text, F.lit(r"\p{L}[\p{L}'\-]*|[.!?]+"), 0)).alias("pos", "tok"))
+    w = Window.partitionBy(work, doc).orderBy("pos")
+    mark = F.col("tok").rlike("^[.!?]")
+    low = F.regexp_replace(F.lower("tok"), "'s$", "")
+    t = t.withColumn("low", low).withColumn("honorific", ~mark & low.isin(*HONORIFICS))
+    # A single dot after a title is no end of a sentence; it falls away before neighbours are looked at.
+    t = t.withColumn("after_title", F.coalesce(F.lag("honorific").over(w), F.lit(False))).where(~(F.col("after_title") & (F.col("tok") == "."))).withColumn("mark", F.col("tok").rlike("^[.!?]"))
+    shout = F.col("tok").rlike(r"^\p{Lu}[\p{Lu}'\-]+$")
+    t = t.withColumn("shout", ~F.col("mark") & shout).withColumn("title", ~F.col("mark") & ~shout & F.col("tok").rlike(r"^\p{Lu}"))
+    t = t.withColumn("inner", ~F.coalesce(F.lag("mark").over(w), F.lit(True)))
+    t = t.withColumn("prefix", F.when(F.lag("honorific").over(w), F.lag("tok").over(w))).withColumn("next_low", F.when(F.lead("title").over(w), F.lead("low").over(w))).withColumn("next_tok", F.lead("tok").over(w))
+    return t.where(~F.col("mark"))
+
+
+def cast_names(df: DataFrame, work: str, doc: str, text: str = "text", least: int = 3, most: int = 30, noise: tuple[str, ...] = (), places: tuple[str, ...] = ()) -> DataFrame:
+    """Names of each work's cast (AGG25): work, name, mentions, total, in_dictionary, place, score, rank.
+
+    A pair of neighbouring names becomes one where it makes up at least half of
+    both; words mostly in capitals are headings.  Words that the texts also
+    write in lower case at least as often as within sentences in upper case
+    count as dictionary words; the others weigh more, and places very little.
     """
-    t = df.select(work, F.posexplode(F.filter(F.split(text, r"\s+"), lambda x: x != "")).alias("pos", "raw"))
-    w = Window.partitionBy(work).orderBy("pos")
-    clean = F.regexp_replace("raw", r"^[^\p{L}]+|[^\p{L}]+$", "")
-    t = t.withColumn("word", clean).withColumn("inner", ~F.coalesce(tx.ends_sentence(F.lag("raw").over(w)), F.lit(True)))
-    t = t.withColumn("cap", F.col("word").rlike(r"^\p{Lu}\p{Ll}+$"))
-    ahead = F.when(F.lead("cap").over(w) & ~tx.ends_sentence(F.col("raw")), F.lead("word").over(w))
-    t = t.withColumn("next", ahead).where("word <> ''")
-    single = t.groupBy(work, F.lower("word").alias("key")).agg(F.count_if(F.col("cap") & F.col("inner")).alias("caps"), F.count_if(F.col("word") == F.lower("word")).alias("lows"), F.max(F.when(F.col("cap"), F.col("word"))).alias("name"))
-    single = single.where((F.col("caps") >= least) & (F.col("caps") > F.col("lows")))
-    double = t.where("cap and inner and next is not null").groupBy(work, "word", "next").agg(F.count("*").alias("both"))
-    first = single.select(work, F.col("name").alias("word"), F.col("caps").alias("n1"))
-    merged = double.join(first, [work, "word"]).where("2 * both >= n1").select(work, "word", F.concat_ws(" ", "word", "next").alias("name"), F.col("both").alias("caps"))
-    kept = single.join(merged.select(work, F.col("word").alias("name")), [work, "name"], "left_anti").select(work, "name", "caps")
-    scored = kept.unionByName(merged.where(F.col("caps") >= least).select(work, "name", "caps")).withColumn("score", F.round(F.col("caps") * 1.4, 4))
+    t = name_tokens(df, work, doc, text)
+    unwanted = lambda c: F.col(c).isin(*HONORIFICS, *noise)
+    shown = F.when(F.col("title"), F.struct(F.col(doc).alias("d"), "pos", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(". "), "tok")).otherwise(F.col("tok")).alias("name")))
+    n = t.groupBy(work, "low").agg(F.count_if(F.col("title") & F.col("inner")).alias("mid"), F.count_if("title").alias("caps"), F.count("*").alias("total"), F.count_if("shout").alias("shouts"), F.min(shown)["name"].alias("name"))
+    two = t.where(F.col("title") & F.col("next_low").isNotNull() & ~unwanted("low") & ~unwanted("next_low"))
+    first = F.min(F.struct(F.col(doc).alias("d"), "pos", F.concat_ws(" ", "tok", "next_tok").alias("name")))
+    two = two.groupBy(work, "low", "next_low").agg(F.count("*").alias("both"), first["name"].alias("pair")).where(F.col("both") >= least)
+    side = lambda x, key: n.select(work, F.col("low").alias(key), F.col("mid").alias(f"{x}_mid"), F.col("caps").alias(f"{x}_caps"), F.col("total").alias(f"{x}_total"))
+    j = two.join(side("a", "low"), [work, "low"]).join(side("b", "next_low"), [work, "next_low"]).where("2 * both >= a_caps and 2 * both >= b_caps")
+    pairs = j.select(work, F.col("pair").alias("name"), F.greatest("both", "a_mid", "b_mid").alias("mentions"), (F.col("a_total") + F.col("b_total")).alias("total"), F.lit(False).alias("in_dictionary"), (F.col("low").isin(*places) | F.col("next_low").isin(*places)).alias("place"))
+    used = j.select(work, F.explode(F.array("low", "next_low")).alias("low")).distinct()
+    lone = n.join(used, [work, "low"], "left_anti").where((F.length("low") >= 2) & (F.col("mid") >= least) & ~unwanted("low") & (2 * F.col("shouts") <= F.col("total")))
+    lower = F.col("total") - F.col("caps") - F.col("shouts")
+    lone = lone.select(work, "name", F.col("mid").alias("mentions"), "total", (lower >= F.col("mid")).alias("in_dictionary"), F.col("low").isin(*places).alias("place"))
+    score = F.col("mentions") * F.when(F.col("in_dictionary"), 1.0).otherwise(NAME_FACTOR) * F.when(F.col("place"), PLACE_FACTOR).otherwise(1.0)
+    scored = pairs.unionByName(lone).withColumn("score", F.round(score, 4))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(work).orderBy(F.desc("score"), "name"))).where(F.col("rank") <= most)

@@ -14,11 +14,13 @@ def synthetic(docs: DataFrame) -> DataFrame:
 
     Columns: doc_id, pos, line_idx, s, e, w, conf.
     """
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_idx", "line"))
-    words = lines.select("doc_id", "line_idx", F.posexplode(tx.fields("line")).alias("k", "w"))
-    pos = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_idx", "k")) - 1
+    each = docs.select("doc_id", F.transform(F.split("text", "\n"), lambda x: tx.fields(x)).alias("lines"))
+    # Where each line starts follows from the sizes of those before it, inside the row: no word has to be ranked.
+    sums = F.aggregate("lines", F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.size(x))))
+    lines = each.select("doc_id", F.posexplode(F.arrays_zip("lines", F.slice(sums, F.lit(1), F.size("lines")).alias("starts"))).alias("line_idx", "x"))
+    words = lines.select("doc_id", "line_idx", F.col("x.starts").alias("start"), F.posexplode("x.lines").alias("k", "w"))
     s = F.round(F.col("pos") * 0.4 + F.col("line_idx") * 3.0, 3)
-    return words.withColumn("pos", pos).withColumn("s", s).select("doc_id", "pos", "line_idx", "s", F.round(s + 0.3, 3).alias("e"), "w", (((F.col("pos") * 37 + F.col("doc_id") * 11) % 100) / 100.0).alias("conf"))
+    return words.withColumn("pos", F.col("start") + F.col("k")).withColumn("s", s).select("doc_id", "pos", "line_idx", "s", F.round(s + 0.3, 3).alias("e"), "w", (((F.col("pos") * 37 + F.col("doc_id") * 11) % 100) / 100.0).alias("conf"))
 
 
 def by(keys: list[str], order: str = "pos"):
@@ -46,17 +48,72 @@ def buckets(words: DataFrame, width: float = 60.0) -> DataFrame:
     return every.join(have, ["doc_id", "bucket"], "left").select("doc_id", "bucket", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
-def sparse_spans(words: DataFrame, width: float = 60.0, least_words: int = 10) -> DataFrame:
-    """Runs of buckets with few words, as half-open spans of seconds (WIN3)."""
-    runs = rel.islands(buckets(words, width), ["doc_id"], "bucket", F.col("n") < least_words)
-    return runs.groupBy("doc_id", "island").agg((F.min("bucket") * width).alias("start_sec"), ((F.max("bucket") + 1) * width).alias("end_sec"), F.sum("n").alias("words")).drop("island")
+#: Width of a bucket, words below which it is a gap, share of silence that explains one, and the shortest span told of.
+BUCKET, FEW_WORDS, MOSTLY_SILENT, SHORTEST = 60.0, 10, 0.75, 30.0
+#: Seconds at either edge of a track, and the length up to which a hole there is passed over.
+EDGE, EDGE_MOST = 45.0, 90.0
+
+
+def silence_by_bucket(quiet: DataFrame, width: float = BUCKET) -> DataFrame:
+    """Seconds of silence in each bucket (AGG16): a silence that spans several is shared out."""
+    b = quiet.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))))
+    part = F.least(F.col("b"), (F.col("bucket") + 1) * width) - F.greatest(F.col("a"), F.col("bucket") * width)
+    return b.withColumn("part", part).where("part > 0").groupBy("doc_id", "bucket").agg(F.sum("part").alias("quiet"))
+
+
+def transcription_gaps(words: DataFrame, quiet: DataFrame, durations: DataFrame) -> DataFrame:
+    """Runs of buckets with few words and little silence, cut at the duration (WIN3): doc_id, start_sec, end_sec, words."""
+    every = durations.withColumn("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration") / BUCKET) - 1)))
+    have = words.groupBy("doc_id", F.floor(F.col("s") / BUCKET).alias("bucket")).agg(F.count("*").alias("n"))
+    b = every.join(have, ["doc_id", "bucket"], "left").join(silence_by_bucket(quiet), ["doc_id", "bucket"], "left")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    runs = rel.islands(b.withColumn("n", n), ["doc_id"], "bucket", (F.coalesce("quiet", F.lit(0.0)) <= BUCKET * MOSTLY_SILENT) & (n < FEW_WORDS))
+    spans = runs.groupBy("doc_id", "island").agg((F.min("bucket") * BUCKET).alias("start_sec"), F.least((F.max("bucket") + 1) * BUCKET, F.first("duration")).alias("end_sec"), F.sum("n").alias("words"))
+    return spans.where(F.col("end_sec") - F.col("start_sec") >= SHORTEST).drop("island")
 
 
 def holes(words: DataFrame, least: float) -> DataFrame:
-    """Spans between the latest end so far and the next start (WIN4): a running maximum, so an early overlap does not open a hole."""
-    before = F.max("e").over(by(["doc_id"]).rowsBetween(Window.unboundedPreceding, -1))
+    """Spans between the latest end so far and the next start: a running maximum, so an early overlap does not open a hole."""
+    before = F.coalesce(F.max("e").over(by(["doc_id"]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     h = words.withColumn("start_sec", before).where(F.col("s") - F.col("start_sec") >= least)
-    return h.select("doc_id", "start_sec", F.col("s").alias("end_sec"), F.round(F.col("s") - F.col("start_sec"), 3).alias("duration"))
+    return h.select("doc_id", "start_sec", F.col("s").alias("end_sec"))
+
+
+def wordless_holes(words: DataFrame, quiet: DataFrame, durations: DataFrame) -> DataFrame:
+    """Long stretches without a word, up to the end of the track, that are not mostly silence (WIN4); short ones at an edge are passed over."""
+    tail = words.groupBy("doc_id").agg(F.max("e").alias("start_sec")).join(durations, "doc_id").select("doc_id", "start_sec", F.col("duration").alias("end_sec")).where(F.col("end_sec") - F.col("start_sec") >= SHORTEST)
+    h = holes(words, SHORTEST).unionByName(tail).join(durations, "doc_id").where(F.col("duration") > SHORTEST)
+    # Silences and holes meet in equal buckets; each part of a silence is counted in its own bucket once.
+    split = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / BUCKET), F.floor(F.col(b) / BUCKET)))
+    low, high = F.col("bucket") * BUCKET, (F.col("bucket") + 1) * BUCKET
+    part = F.least("b", "end_sec", high) - F.greatest("a", "start_sec", low)
+    met = h.withColumn("bucket", split("start_sec", "end_sec")).join(quiet.withColumn("bucket", split("a", "b")), ["doc_id", "bucket"])
+    cover = met.withColumn("part", part).where("part > 0").groupBy("doc_id", "start_sec", "end_sec").agg(F.sum("part").alias("cover"))
+    j = h.join(cover, ["doc_id", "start_sec", "end_sec"], "left")
+    size = F.col("end_sec") - F.col("start_sec")
+    edge = (F.col("start_sec") < EDGE) | (F.col("end_sec") > F.col("duration") - EDGE)
+    return j.where((F.coalesce("cover", F.lit(0.0)) / size < MOSTLY_SILENT) & ~(edge & (size <= EDGE_MOST))).select("doc_id", "start_sec", "end_sec")
+
+
+def merged_spans(gaps: DataFrame, found: DataFrame) -> DataFrame:
+    """Gaps, and holes that overlap none (WIN5): doc_id, kind, start_sec, end_sec, words."""
+    g = gaps.select("doc_id", F.col("start_sec").alias("ga"), F.col("end_sec").alias("gb"))
+    alone = found.join(g, (found["doc_id"] == g["doc_id"]) & (F.col("start_sec") < F.col("gb")) & (F.col("end_sec") > F.col("ga")), "left_anti")
+    own = gaps.select("doc_id", F.lit("gap").alias("kind"), "start_sec", "end_sec", "words")
+    return own.unionByName(alone.select("doc_id", F.lit("hole").alias("kind"), "start_sec", "end_sec", F.lit(0).cast("long").alias("words")))
+
+
+def offsets(files: DataFrame, keys: list[str], order: str, size: str) -> Column:
+    """Where each file starts when those before it are laid end to end (WIN11)."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(w), F.lit(0.0))
+
+
+def discontinuities(files: DataFrame, keys: list[str], order: str, slack: float = 1.0) -> DataFrame:
+    """The first file of each work that starts over ``slack`` seconds away from the end of the one before (WIN10): keys, order, off."""
+    before = F.lag(F.col("start_sec") + F.col("duration")).over(by(keys, order))
+    broken = files.withColumn("off", F.round(F.col("start_sec") - before, 3)).where(F.abs("off") > slack)
+    return broken.groupBy(*keys).agg(F.min(order).alias(order), F.min_by("off", order).alias("off"))
 
 
 def doubtful_runs(words: DataFrame, below: float = 0.5, least: int = 8) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,3 +27,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one where a single machine has none set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return base or f"file://{tempfile.mkdtemp(prefix='quire-')}"

@@ -51,12 +51,16 @@ def duplicate_titles_having(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("n"), ids.alias("ids")).where("n > 1")
 
 
-@query(f"""WITH t AS (SELECT p_name, min(p_partkey) AS id FROM part GROUP BY 1), w AS (SELECT DISTINCT id, unnest(string_split({_NORM.format(c='p_name')}, ' ')) AS w FROM t)
-SELECT a.id AS a, b.id AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.id < b.id WHERE length(a.w) > 3 GROUP BY 1, 2 HAVING count(*) >= 2""")
+_FULL = "p_name || ' ' || p_type || ' ' || substr(p_brand, 7)"
+
+
+@query(f"""WITH t AS (SELECT {_FULL} AS title, min(p_partkey) AS id FROM part GROUP BY 1), w AS (SELECT DISTINCT id, unnest(string_split({_NORM.format(c='title')}, ' ')) AS w FROM t)
+SELECT a.id AS a, b.id AS b, count(*) AS shared FROM w a JOIN w b ON a.w = b.w AND a.id < b.id WHERE length(a.w) > 3 GROUP BY 1, 2 HAVING count(*) >= 3""")
 def suspect_word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JOI7, SCA10: titles that share two words."""
-    t = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
-    return entity.shared_word_pairs(t, "id", "p_name")
+    """JOI7, SCA10: titles that share three words."""
+    full = F.concat_ws(" ", "p_name", "p_type", F.substring("p_brand", 7, 9))
+    t = table(spark, sf_dir, "part").groupBy(full.alias("title")).agg(F.min("p_partkey").alias("id"))
+    return entity.shared_word_pairs(t, "id", "title", least=3)
 
 
 @query("SELECT p_partkey, p_size AS series_index, lower(regexp_replace(title, '^(?i)(the|an|a) ', '')) AS filing FROM (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'The ' || p_name ELSE p_name END AS title FROM part) ORDER BY p_brand, p_size, filing, p_partkey LIMIT 100")
@@ -115,4 +119,4 @@ def chapter_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cast_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG24, AGG25: names of the cast of each work."""
-    return entity.cast_names(table(spark, sf_dir, "documents"), "source")
+    return entity.cast_names(table(spark, sf_dir, "documents"), "source", "doc_id")

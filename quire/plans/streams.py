@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.plans.base import query, table
+from quire.plans.base import query, shared_folder, table
 from quire.streaming import events as ev
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}"
+    base = shared_folder(spark)
     return f"{base.rstrip('/')}/quire-stream/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -35,4 +34,4 @@ def streamed_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_id", "value")
     ev.upsert_latest(stream, f"{folder}/out", f"{folder}/state", ["user_id"], "event_id")
-    return spark.read.schema("user_id long, event_id long, value double").parquet(f"{folder}/out/v=0")
+    return ev.read_latest(spark, f"{folder}/out", "user_id long, event_id long, value double")

@@ -54,17 +54,52 @@ def minute_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tl.buckets(words(spark, sf_dir))
 
 
-@query(f"""SELECT doc_id, min(bucket) * 60.0::DOUBLE AS start_sec, (max(bucket) + 1) * 60.0::DOUBLE AS end_sec, CAST(sum(n) AS BIGINT) AS words FROM (
-SELECT *, bucket - row_number() OVER (PARTITION BY doc_id ORDER BY bucket) AS island FROM {_B} WHERE n < 100) GROUP BY doc_id, island""")
+_DUR = f"(SELECT doc_id, max(e) + 20 AS duration FROM {_W} GROUP BY 1)"
+#: Stated silences: before every 400th word two seconds, and 55 seconds of the third minute of every fifth text.
+_SIL = f"(SELECT doc_id, s - 2 AS a, s AS b FROM {_W} WHERE pos % 400 = 200 UNION ALL SELECT doc_id, 122.0::DOUBLE, 177.0::DOUBLE FROM documents WHERE doc_id % 5 = 0)"
+#: The stated timeline with holes: no words from 100 to 260 seconds in every second text, and from 300 to 340 in the others.
+_HOLED = f"(SELECT * FROM {_W} WHERE NOT (CASE WHEN doc_id % 2 = 0 THEN s >= 100 AND s < 260 ELSE s >= 300 AND s < 340 END))"
+_QUIET = f"(SELECT doc_id, bucket, sum(least(b, 60.0 * (bucket + 1)) - greatest(a, 60.0 * bucket)) AS quiet FROM (SELECT *, unnest(range(CAST(floor(a / 60) AS BIGINT), CAST(floor(b / 60) AS BIGINT) + 1)) AS bucket FROM {_SIL}) WHERE least(b, 60.0 * (bucket + 1)) > greatest(a, 60.0 * bucket) GROUP BY 1, 2)"
+_GAPS = f"""(SELECT doc_id, start_sec, end_sec, words FROM (SELECT doc_id, min(bucket) * 60.0::DOUBLE AS start_sec, least((max(bucket) + 1) * 60.0::DOUBLE, any_value(duration)) AS end_sec, CAST(sum(n) AS BIGINT) AS words FROM (
+SELECT *, bucket - row_number() OVER (PARTITION BY doc_id ORDER BY bucket) AS island FROM (SELECT b.doc_id, b.bucket, b.n, b.duration, coalesce(q.quiet, 0) AS quiet FROM (
+SELECT doc_id, bucket, duration, count(s) AS n FROM (SELECT doc_id, duration, unnest(range(0, CAST(ceil(duration / 60) AS BIGINT))) AS bucket FROM {_DUR}) LEFT JOIN (SELECT doc_id AS d, CAST(floor(s / 60) AS BIGINT) AS sb, s FROM {_HOLED}) ON d = doc_id AND sb = bucket GROUP BY 1, 2, 3) b LEFT JOIN {_QUIET} q USING (doc_id, bucket)) WHERE quiet <= 45 AND n < 10) GROUP BY doc_id, island) WHERE end_sec - start_sec >= 30)"""
+
+
+def stated_track(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words with holes, silences (doc_id, a, b) and durations (doc_id, duration)."""
+    w = words(spark, sf_dir)
+    hole = F.when(F.col("doc_id") % 2 == 0, (F.col("s") >= 100) & (F.col("s") < 260)).otherwise((F.col("s") >= 300) & (F.col("s") < 340))
+    quiet = w.where("pos % 400 = 200").select("doc_id", (F.col("s") - 2).alias("a"), F.col("s").alias("b"))
+    quiet = quiet.unionByName(table(spark, sf_dir, "documents").where("doc_id % 5 = 0").select("doc_id", F.lit(122.0).alias("a"), F.lit(177.0).alias("b")))
+    return w.where(~hole), quiet, w.groupBy("doc_id").agg((F.max("e") + 20).alias("duration"))
+
+
+@query(f"SELECT doc_id, start_sec, round(end_sec, 3) AS end_sec, words FROM {_GAPS}")
 def gaps_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN3: stretches of minutes with few words (here under 100, to suit the table)."""
-    return tl.sparse_spans(words(spark, sf_dir), least_words=100)
+    """WIN3, AGG16: stretches of minutes with under ten words that are not mostly silence, cut at the duration, thirty seconds or more."""
+    g = tl.transcription_gaps(*stated_track(spark, sf_dir))
+    return g.select("doc_id", "start_sec", F.round("end_sec", 3).alias("end_sec"), "words")
 
 
-@query(f"""SELECT doc_id, start_sec, s AS end_sec, round(s - start_sec, 3) AS duration FROM (SELECT doc_id, s, max(e) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS start_sec FROM {_W}) WHERE s - start_sec >= 3.05""")
+_HOLES = f"""(SELECT doc_id, a AS start_sec, b AS end_sec FROM (SELECT h.doc_id, h.a, h.b, d.duration, coalesce(sum(least(s.b, h.b) - greatest(s.a, h.a)) FILTER (s.a IS NOT NULL AND least(s.b, h.b) > greatest(s.a, h.a)), 0) AS cover FROM (
+SELECT doc_id, a, b FROM (SELECT doc_id, s AS b, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM {_HOLED} UNION ALL
+SELECT doc_id, duration AS b, last_end AS a FROM {_DUR} JOIN (SELECT doc_id, max(e) AS last_end FROM {_HOLED} GROUP BY 1) USING (doc_id)) WHERE b - a >= 30) h JOIN {_DUR} d USING (doc_id) LEFT JOIN {_SIL} s ON s.doc_id = h.doc_id AND s.a < h.b AND s.b > h.a GROUP BY 1, 2, 3, 4)
+WHERE cover / (b - a) < 0.75 AND NOT ((a < 45 OR b > duration - 45) AND b - a <= 90) AND duration > 30)"""
+
+
+@query(f"SELECT doc_id, round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec FROM {_HOLES}")
 def timeline_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN4: holes between words."""
-    return tl.holes(words(spark, sf_dir), 3.05)
+    """WIN4: stretches of thirty seconds without a word that silence does not explain; short ones at either edge are passed over."""
+    return tl.wordless_holes(*stated_track(spark, sf_dir)).select("doc_id", F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"))
+
+
+@query(f"""SELECT doc_id, kind, round(start_sec, 3) AS start_sec, round(end_sec, 3) AS end_sec, words FROM (SELECT doc_id, 'gap' AS kind, start_sec, end_sec, words FROM {_GAPS} UNION ALL
+SELECT doc_id, 'hole', start_sec, end_sec, 0 FROM {_HOLES} h WHERE NOT EXISTS (SELECT 1 FROM {_GAPS} g WHERE g.doc_id = h.doc_id AND h.start_sec < g.end_sec AND h.end_sec > g.start_sec))""")
+def missing_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WIN5, DQ7: gaps, and the holes that no gap covers."""
+    track = stated_track(spark, sf_dir)
+    m = tl.merged_spans(tl.transcription_gaps(*track), tl.wordless_holes(*track))
+    return m.select("doc_id", "kind", F.round("start_sec", 3).alias("start_sec"), F.round("end_sec", 3).alias("end_sec"), "words")
 
 
 _RUNS = f"(SELECT doc_id, count(*) AS n, min(pos) AS first_pos, min(s) AS start_sec, max(e) AS end_sec, string_agg(w, ' ' ORDER BY pos) AS text FROM (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM {_W} WHERE conf < 0.5) GROUP BY doc_id, island)"
@@ -127,17 +162,25 @@ _SRC = "(SELECT doc_id, source, n_chars / 100.0::DOUBLE AS duration FROM documen
 @query(f"SELECT doc_id, source, round(coalesce(sum(duration) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS start_sec FROM {_SRC}")
 def file_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN11: start of each file on its work's clock."""
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
     d = table(spark, sf_dir, "documents").withColumn("duration", F.col("n_chars") / 100.0)
-    return d.select("doc_id", "source", F.round(F.coalesce(F.sum("duration").over(w), F.lit(0.0)), 4).alias("start_sec"))
+    return d.select("doc_id", "source", F.round(tl.offsets(d, ["source"], "doc_id", "duration"), 4).alias("start_sec"))
+
+
+_FILES = "(SELECT l_orderkey AS work, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS INT) AS n, l_quantity AS duration, l_partkey % 11 = 0 AS shifted FROM lineitem)"
+_PLACED = f"(SELECT work, n, duration, round(coalesce(sum(duration) OVER (PARTITION BY work ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + CASE WHEN shifted THEN 5 ELSE 0 END, 3) AS start_sec FROM {_FILES})"
 
 
-@query(f"SELECT source, count(*) AS breaks, min(doc_id) AS first_doc FROM (SELECT source, doc_id, duration, lag(duration) OVER (PARTITION BY source ORDER BY doc_id) AS prev FROM {_SRC}) WHERE abs(duration - prev) > 1 GROUP BY 1")
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as the files of a work one after the other, some of which start five seconds late: work, n, duration, start_sec."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    f = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("work"), F.row_number().over(w).alias("n"), F.col("l_quantity").alias("duration"), (F.col("l_partkey") % 11 == 0).alias("shifted"))
+    return f.withColumn("start_sec", F.round(tl.offsets(f, ["work"], "n", "duration") + F.when(F.col("shifted"), 5).otherwise(0), 3)).drop("shifted")
+
+
+@query(f"""SELECT work, min(n) AS n, min_by(off, n) AS off FROM (SELECT work, n, round(start_sec - lag(start_sec + duration) OVER (PARTITION BY work ORDER BY n), 3) AS off FROM {_PLACED}) WHERE abs(off) > 1 GROUP BY 1""")
 def source_contiguity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """WIN10: files that do not follow on the one before."""
-    prev = F.lag("duration").over(Window.partitionBy("source").orderBy("doc_id"))
-    d = table(spark, sf_dir, "documents").withColumn("duration", F.col("n_chars") / 100.0).withColumn("prev", prev)
-    return d.where(F.abs(F.col("duration") - F.col("prev")) > 1).groupBy("source").agg(F.count("*").alias("breaks"), F.min("doc_id").alias("first_doc"))
+    """WIN10: the first file of each work that does not start where the one before it ends, and by how much."""
+    return tl.discontinuities(files(spark, sf_dir), ["work"], "n")
 
 
 @query("""SELECT e.event_id, c.event_id AS last_view FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT user_id, ts, event_id FROM events WHERE event_type = 'view') c ON e.user_id = c.user_id AND e.ts >= c.ts""")
@@ -168,18 +211,18 @@ def doubtful_by_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rel.interval_join(points, chapters, ["doc_id"], "s", "a", "b", 60.0).groupBy("doc_id", "line_idx").agg(F.count("*").alias("doubtful"))
 
 
-@query(f"SELECT doc_id, pos, greatest(max(s) OVER (PARTITION BY doc_id ORDER BY pos), s) AS s FROM {_JUMP} WHERE pos % 10 = 7")
+@query(f"SELECT doc_id, pos, greatest(max(s) OVER (PARTITION BY doc_id ORDER BY pos), s) AS s FROM {_JUMP}")
 def monotone_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN17: times that never step back."""
-    w = words(spark, sf_dir).withColumn("s", F.when(F.col("pos") % 50 == 17, F.col("s") - 9).otherwise(F.col("s"))).where("pos % 10 = 7")
+    w = words(spark, sf_dir).withColumn("s", F.when(F.col("pos") % 50 == 17, F.col("s") - 9).otherwise(F.col("s")))
     return w.select("doc_id", "pos", F.max("s").over(tl.by(["doc_id"])).alias("s"))
 
 
-@query(f"SELECT doc_id, pos, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 4 FOLLOWING) AS shown FROM {_W} QUALIFY pos % 100 = 50")
+@query(f"SELECT doc_id, pos, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 4 FOLLOWING) AS shown FROM {_W}")
 def highlight_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN22: the words shown around the one that is read."""
     frame = tl.by(["doc_id"]).rowsBetween(-1, 4)
-    return words(spark, sf_dir).withColumn("shown", F.array_join(F.collect_list("w").over(frame), " ")).where("pos % 100 = 50").select("doc_id", "pos", "shown")
+    return words(spark, sf_dir).withColumn("shown", F.array_join(F.collect_list("w").over(frame), " ")).select("doc_id", "pos", "shown")
 
 
 @query(f"SELECT doc_id, count(*) AS n FROM {_W} WHERE e > 10 AND s < 30 GROUP BY 1")

@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import chapters, ngrams
 from quire.operators import relational as rel
-from quire.plans.base import query, table
+from quire.plans.base import query, shared_folder, table
 from quire.plans.timelines import _W, words
 
 
 def _checkpoints(spark: SparkSession) -> None:
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quire-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber > 2 THEN l_linenumber + 1 ELSE l_linenumber END AS idx FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 3 FROM lineitem WHERE l_linenumber = 2")

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,14 +78,8 @@ def zero_runs(files: DataFrame, least: int = 256 * 1024) -> DataFrame:
     @F.pandas_udf("long")
     def longest(content: pd.Series) -> pd.Series:
         def run(raw) -> int:
-            best = at = 0
-            raw = bytes(raw)
-            while (i := raw.find(b"\0" * (best + 1), at)) >= 0:
-                j = i + best + 1
-                while j < len(raw) and raw[j] == 0:
-                    j += 1
-                best, at = j - i, j
-            return best
+            filled = np.flatnonzero(np.frombuffer(raw, dtype=np.uint8))
+            return int(np.diff(np.concatenate([[-1], filled, [len(raw)]])).max()) - 1
 
         return content.map(run)
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -57,15 +58,50 @@ def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()
 
 
-def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> None:
-    """Keep the newest row of each key as a table of versions ``path/v=N`` (STR7): each batch writes the next version whole."""
+def upsert_latest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, buckets: int = 16) -> None:
+    """Keep the newest row of each key as a table of versions ``path/v=N`` (STR7).
+
+    Keys are dealt to ``buckets`` by hash; a batch writes only the buckets it
+    has rows of, as new versions of those.  A batch that runs again after a
+    failure writes the same version anew.
+    """
+    spread = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        rows = batch
-        if n:
-            rows = spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}").unionByName(batch)
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r"))
-        newest.select(*keys, "r.*").select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={n}")
+        fresh = batch.withColumn("bucket", spread)
+        old = newest_buckets(spark, path, fresh.schema, before=n)
+        rows = fresh if old is None else fresh.unionByName(old.join(F.broadcast(fresh.select("bucket").distinct()), "bucket", "left_semi"))
+        newest = rows.groupBy(*keys, "bucket").agg(F.max_by(F.struct(*[c for c in batch.columns if c not in keys]), order).alias("r"))
+        newest.select(*keys, "bucket", "r.*").select(*batch.columns, "bucket").repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={n}")
 
     stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def newest_buckets(spark: SparkSession, path: str, schema, before: int | None = None) -> DataFrame | None:
+    """The newest version of each bucket under ``path`` (of those before a version); None where there is none."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return None
+    newest: dict[str, int] = {}
+    for version in files.listStatus(root):
+        name = version.getPath().getName()
+        if not name.startswith("v=") or (before is not None and int(name[2:]) >= before):
+            continue
+        for bucket in files.listStatus(version.getPath()):
+            b = bucket.getPath().getName()
+            if b.startswith("bucket="):
+                newest[b] = max(newest.get(b, -1), int(name[2:]))
+    if not newest:
+        return None
+    rows = spark.read.schema(schema).option("basePath", path).parquet(*[f"{path}/v={v}/{b}" for b, v in sorted(newest.items())])
+    return rows.select(*schema.fieldNames())
+
+
+def read_latest(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What ``upsert_latest`` keeps under ``path``."""
+    kind = StructType.fromDDL(f"{schema}, bucket int")
+    rows = newest_buckets(spark, path, kind)
+    return (spark.createDataFrame([], kind) if rows is None else rows).drop("bucket")
