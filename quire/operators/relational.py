@@ -88,6 +88,11 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at:
     return p.join(s, [*keys, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
 
 
+def overlapping(df: DataFrame, start: str, end: str, a: str, b: str) -> DataFrame:
+    """Rows whose span meets ``a`` to ``b``; where that is empty, every row (FIL12)."""
+    return df.where((F.col(b) <= F.col(a)) | (F.col(end) > F.col(a)) & (F.col(start) < F.col(b)))
+
+
 def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column, name: str = "island") -> DataFrame:
     """Rows where ``flag`` holds, numbered by unbroken run (WIN3, WIN6): the gap between two row numbers is constant in a run."""
     w = Window.partitionBy(*keys).orderBy(order)
