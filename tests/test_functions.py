@@ -62,6 +62,7 @@ def cases():
         (edition_verdict(F.lit(0.9), F.lit(None).cast("double")), "same_edition"),
         (edition_verdict(F.lit(0.049), F.lit(0.774)), "different_edition"),
         (tx.canonical_spelling(F.lit("travelled")), "traveled"),
+        *[(tx.canonical_spelling(F.lit(a)), b) for a, b in (("rise", "rise"), ("wise", "wise"), ("vise", "vise"), ("arise", "arize"), ("recognised", "recognized"), ("grey", "gray"), ("rising", "rizing"), ("ised", "ised"))],
         (tx.canonical_spelling(F.lit("pouring")), "pouring"),
         (tx.canonical_spelling(F.lit("centre")), "center"),
         (tx.canonical_spelling(F.lit("towards")), "toward"),

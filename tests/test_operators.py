@@ -79,8 +79,19 @@ def test_longest_chain_and_edit_score_against_brute_force():
 def test_gaps_and_holes(spark):
     data = [(1, i, 0, float(i), i + 0.5, "w", 0.9) for i in range(60)] + [(1, 60 + i, 0, 240.0 + i, 240.5 + i, "w", 0.1) for i in range(60)]
     w = spark.createDataFrame(data, "doc_id long, pos int, line_idx int, s double, e double, w string, conf double")
-    assert rows(timeline.sparse_spans(w), "start_sec") == [(1, 60.0, 240.0, 0)]
-    assert rows(timeline.holes(w, 30.0), "start_sec") == [(1, 59.5, 240.0, 180.5)]
+    quiet = spark.createDataFrame([(1, 300.0, 301.0)], "doc_id long, a double, b double")
+    track = spark.createDataFrame([(1, 300.0)], "doc_id long, duration double")
+    gaps = timeline.transcription_gaps(w, quiet, track)
+    assert rows(gaps, "start_sec") == [(1, 60.0, 240.0, 0)]
+    assert rows(timeline.holes(w, 30.0), "start_sec") == [(1, 59.5, 240.0)]
+    found = timeline.wordless_holes(w, quiet, track)
+    assert rows(found, "start_sec") == [(1, 59.5, 240.0)]
+    assert rows(timeline.merged_spans(gaps, found), "start_sec") == [(1, "gap", 60.0, 240.0, 0)]
+    silent = spark.createDataFrame([(1, 60.0, 239.0)], "doc_id long, a double, b double")
+    assert timeline.transcription_gaps(w, silent, track).count() == 0 and timeline.wordless_holes(w, silent, track).count() == 0
+    late = spark.createDataFrame([(1, 330.0)], "doc_id long, duration double")
+    assert rows(timeline.wordless_holes(w, quiet, late), "start_sec") == [(1, 59.5, 240.0)]  # the last half minute lies at the edge
+    assert rows(timeline.wordless_holes(w, quiet, spark.createDataFrame([(1, 400.0)], "doc_id long, duration double")), "start_sec") == [(1, 59.5, 240.0), (1, 299.5, 400.0)]
     assert [tuple(r)[1:3] for r in timeline.doubtful_runs(w).collect()] == [(60, 60)]
     assert timeline.peak_rate(w).first()["peak"] == 60
     filled = {r["pos"]: r["filled"] for r in timeline.filled_times(w, F.col("pos").isin(0, 10, 119)).collect()}
@@ -162,7 +173,13 @@ def test_streams_with_late_and_double_rows(spark, tmp_path):
     assert got == [("2024-01-01", 5.0, 1), ("2024-01-02", 7.0, 1)]
     source = spark.readStream.schema(kind).parquet(f"{tmp_path}/in").select("user_id", "event_id", "value")
     events.upsert_latest(source, f"{tmp_path}/pos", f"{tmp_path}/pos-state", ["user_id"], "event_id")
-    assert rows(spark.read.schema("user_id long, event_id long, value double").parquet(f"{tmp_path}/pos/v=0"), "user_id") == [(1, 2, 7.0), (2, 3, 1.0)]
+    kept = lambda: rows(events.read_latest(spark, f"file://{tmp_path}/pos", "user_id long, event_id long, value double"), "user_id")
+    assert kept() == [(1, 2, 7.0), (2, 3, 1.0)]
+    more = spark.createDataFrame([(9, 2, 4.0), (8, 2, 9.0), (1, 1, 1.0), (5, 3, 2.0)], "event_id long, user_id long, value double")
+    more.selectExpr("event_id", "timestamp'2024-02-01 00:00:00' ts", "user_id", "value").write.mode("append").parquet(f"{tmp_path}/in")
+    events.upsert_latest(spark.readStream.schema(kind).parquet(f"{tmp_path}/in").select("user_id", "event_id", "value"), f"{tmp_path}/pos", f"{tmp_path}/pos-state", ["user_id"], "event_id")
+    assert kept() == [(1, 2, 7.0), (2, 9, 4.0), (3, 5, 2.0)]
+    assert events.read_latest(spark, f"file://{tmp_path}/none", "user_id long").count() == 0
 
 
 def test_spoken_chapters_and_greedy_pairs(spark):
@@ -174,7 +191,7 @@ def test_spoken_chapters_and_greedy_pairs(spark):
     found = chapters.detected(chapters.announcements(words, quiet))
     assert [(r["number"], r["s"], round(r["confidence"], 3)) for r in found.orderBy("s").collect()] == [(1, 0.0, 0.8), (2, 60.0, 1.0), (3, 120.0, 1.0)]
     assert {(r["pos"], r["number"]) for r in chapters.word_ranges(words, found).collect() if r["pos"] in (1, 5, 7)} == {(1, 1), (5, 2), (7, 3)}
-    assert chapters.best_run([17], [True]) == [] and chapters.best_run([1, 3, 4], [False, False, True]) == [1, 2]
+    assert chapters.best_run([17], [True]) == [] and chapters.best_run([1, 3, 4], [False, False, True]) == [0, 2]
     spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
     scores = spark.createDataFrame([("a", "x", 5), ("a", "y", 4), ("b", "x", 5), ("b", "y", 1), ("c", "y", 4)], "a string, b string, n int")
     assert rows(chapters.greedy_pairs(scores, "a", "b", "n"), "a") == [("a", "x", 5), ("c", "y", 4)]
