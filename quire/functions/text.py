@@ -28,6 +28,11 @@ def fields(text: Column | str) -> Column:
     return F.array_remove(F.split(_col(text), r"\s+"), "")
 
 
+def unicode_fields(text: Column | str) -> Column:
+    """Words between any white space of Unicode, no empty ones (SCA1)."""
+    return F.array_remove(F.split(_col(text), r"(?U)\s+"), "")
+
+
 def word_count(text: Column | str) -> Column:
     return F.size(fields(text)).cast("long")
 
