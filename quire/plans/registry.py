@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import alignments, entities, linking, listening, quality, retrieval, segments, sources, streams, synchrony, timelines, titles, upkeep, vectors  # noqa: F401
+from quire.plans import alignments, entities, linking, listening, quality, retrieval, segments, sources, streams, synchrony, timelines, titles, transcripts, upkeep, vectors  # noqa: F401
 from quire.plans.base import QUERIES, SQL, Query
 
 FLAGSHIP: Query = QUERIES["rag_chunks"]

@@ -180,13 +180,3 @@ def valid_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def title_opens_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OTH23: texts that open with given words."""
     return table(spark, sf_dir, "documents").where(F.array_join(F.slice(tx.fields("text"), 1, 2), " ") == "The and").select("doc_id")
-
-
-@query(f"SELECT doc_id, count(*) AS n FROM {_W} WHERE NOT (s >= 10 AND s < 20) GROUP BY 1 UNION ALL SELECT doc_id, -count(*) FROM {_W} WHERE s >= 10 AND s < 20 GROUP BY 1")
-def redo_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """OTH5, SET2, TOP7: a span of time replaced by fresh words (counted below zero)."""
-    w = words(spark, sf_dir)
-    span = (F.col("s") >= 10) & (F.col("s") < 20)
-    kept = w.where(~span).groupBy("doc_id").agg(F.count("*").alias("n"))
-    return kept.unionByName(w.where(span).groupBy("doc_id").agg((-F.count("*")).alias("n")))
-
