@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.scratch import materialize, partitions
+from quire.llm.scratch import materialize, partitions, trimmed
 
 SHARD, M, CANDIDATES, EF = 4096, 16, 64, 96
 QUERY_BLOCK = 512
@@ -278,7 +278,7 @@ def nearest(
     block = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "raw")).alias("q"))
     block = block.select("block", F.col("q.id").alias("ids"), F.col("q.raw").alias("raws"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     pairs = block.repartition(max(partitions(spark), shards), "shard", "block").join(index, "shard").sortWithinPartitions("shard")
-    near = pairs.mapInArrow(_search_batches(width, m, ef, k + 1), "query_id long, rep long, score double")
+    near = pairs.mapInArrow(trimmed(_search_batches(width, m, ef, k + 1)), "query_id long, rep long, score double")
     by_rep = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
     best = near.withColumn("r", F.row_number().over(by_rep)).where(F.col("r") <= k + 1).drop("r")
 

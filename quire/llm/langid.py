@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.llm.scratch import trimmed
+
 UNKNOWN = "und"
 PER_LANG = 600
 DIMS = 1 << 13
@@ -172,4 +174,4 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", keep: Sequenc
                         names[i] = name
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names), pa.array(scores)], [*batch.schema.names[1:], "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), f"{kinds}, lang_pred string, score double")

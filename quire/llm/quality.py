@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import trees
+from quire.llm.scratch import trimmed
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -73,7 +74,7 @@ def with_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             found = np.array([statistics(x.as_py()) for x in batch.column(1)], dtype=float).reshape(-1, len(STATS))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(v)) for v in found.T)], ["id", *STATS])
 
-    return rows.mapInArrow(run, f"id {kind}, " + ", ".join(f"{s} double" for s in STATS)).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), f"id {kind}, " + ", ".join(f"{s} double" for s in STATS)).withColumnRenamed("id", id_col)
 
 
 @dataclass

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +25,16 @@ _set_for: set[str] = set()
 def shared_root(spark: SparkSession) -> str:
     """This application's folder under ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests, a single machine) a temporary folder
-    takes its place; on a cluster the setting must name a shared store.
+    Where the setting is absent, a session on a single machine (tests) uses a
+    temporary folder; on a cluster the setting must name a shared store.
     """
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quire-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         _roots[app] = f"{base.rstrip('/')}/quire-{app}"
         atexit.register(_remove, spark, _roots[app])
     return _roots[app]
@@ -62,8 +72,8 @@ def partitions(spark: SparkSession) -> int:
 
 
 def text_hash(text: Column) -> Column:
-    """Tells rows of one identifier apart by their text; null counts as empty."""
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    """128 bits that tell rows of one identifier apart by their text; null counts as empty."""
+    return F.md5(F.coalesce(text, F.lit("")))
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -73,3 +83,23 @@ def bounded_batches(spark: SparkSession) -> None:
         _set_for.add(app)
         if not spark.sparkContext.getConf().contains(_BATCH_KEY):
             spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
+def trimmed(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` over Arrow batches; at its end the Python worker gives freed memory back.
+
+    Workers wait for further tasks, several a core, and each would go on holding what its largest task took.
+    """
+
+    @wraps(run)
+    def mapped(*args) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(*args)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+
+    return mapped
