@@ -35,16 +35,6 @@ def document_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.keyword("text").alias("keyword"))
 
 
-@query("""SELECT doc_id, CAST(instr(lower(text), 'tion the') AS INT) AS at, CAST((length(text) - length(replace(lower(text), 'tion the', ''))) / 8 AS INT) AS hits FROM documents
-WHERE contains(lower(text), 'tion the') AND lang = 'en' ORDER BY doc_id LIMIT 80""")
-def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET1: first place and non-overlapping hits of a phrase; a raw cap of four times twenty, as in the search itself."""
-    low = F.lower("text")
-    d = table(spark, sf_dir, "documents").where(contains(F.col("text"), "tion the") & (F.col("lang") == "en"))
-    hits = ((F.length("text") - F.length(F.replace(low, F.lit("tion the"), F.lit("")))) / 8).cast("int")
-    return d.orderBy("doc_id").limit(80).select("doc_id", F.instr(low, "tion the").alias("at"), hits.alias("hits"))
-
-
 @query("""SELECT doc_id, CASE WHEN a > 1 THEN '...' ELSE '' END || substring(text, a, b - a + 1) || CASE WHEN b < length(text) THEN '...' ELSE '' END AS snippet FROM (
 SELECT doc_id, text, greatest(p - 50, 1) AS a, least(p + 8 + 50 - 1, length(text)) AS b FROM (SELECT doc_id, text, instr(text, 'tion the') AS p FROM documents) WHERE p > 0)""")
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,29 +49,12 @@ def document_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.excerpt("text").alias("excerpt"))
 
 
-_P = "(SELECT doc_id, i - 1 AS line_idx, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))"
-
-
-@query(f"SELECT doc_id, count(*) FILTER (line_idx = 2) AS in_chapter, count(*) FILTER (line_idx <= 2) AS up_to_chapter, count(*) AS in_book FROM {_P} GROUP BY 1")
-def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FIL8, FIL9: how much of a book each scope of a question sees."""
-    ls = segment.lines(table(spark, sf_dir, "documents"), ["doc_id"])
-    return ls.groupBy("doc_id").agg(F.count_if(F.col("line_idx") == 2).alias("in_chapter"), F.count_if(F.col("line_idx") <= 2).alias("up_to_chapter"), F.count("*").alias("in_book"))
-
-
 @query("SELECT conv_id, CASE WHEN t = '' THEN 'New chat' WHEN length(t) > 60 THEN left(t, 60) || '…' ELSE t END AS title FROM (SELECT conv_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM conversations WHERE turn = 0)")
 def conversation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCA43: title of each conversation from its first message."""
     return table(spark, sf_dir, "conversations").where("turn = 0").select("conv_id", tx.session_title("text").alias("title"))
 
 
-@query("SELECT conv_id, turn, CAST(len(regexp_extract_all(text, '(?i)chapter\\s+([0-9]{1,3})', 1)) AS BIGINT) AS refs FROM conversations WHERE role = 'user'")
-def question_chapter_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SCA17: chapters that questions name."""
-    refs = F.regexp_extract_all("text", F.lit(r"(?i)chapter\s+([0-9]{1,3})"), 1)
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.size(refs).cast("long").alias("refs"))
-
-
 @query("SELECT conv_id, string_agg(CASE WHEN prev IS NULL OR prev <> role THEN role || ': ' ELSE '' END || left(text, 20), chr(10) ORDER BY turn) AS answer FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM conversations) GROUP BY 1")
 def extract_only_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RET8: passages word for word, with a heading wherever the key changes."""
@@ -92,17 +65,6 @@ def extract_only_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(joined.alias("answer"))
 
 
-@query("""SELECT vec_id, label FROM (SELECT b.vec_id, b.label, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.label = 2 AND b.vec_id <> 3) ORDER BY s DESC, vec_id LIMIT 8""")
-def passage_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET5: the eight best passages in scope; if the scope holds none, in the whole book."""
-    e = table(spark, sf_dir, "embeddings")
-    asked = F.broadcast(e.where("vec_id = 3").select(F.col("embedding").alias("q")).limit(1))
-    s = e.where("vec_id <> 3").join(asked).select("vec_id", "label", vec.cosine(F.col("embedding"), F.col("q")).alias("s"), (F.col("label") == 2).alias("in_scope"))
-    tiered = s.withColumn("any", F.lit(True)).orderBy(F.desc("in_scope"), F.desc("s"), "vec_id").limit(8)
-    some = F.max("in_scope").over(Window.partitionBy("any"))
-    return tiered.withColumn("some", some).where(F.col("in_scope") | ~F.col("some")).select("vec_id", "label")
-
-
 @query(f"SELECT doc_id FROM (SELECT doc_id, len(t) AS n, ' ' || array_to_string(t, ' ') AS s FROM (SELECT doc_id, {_TOK} AS t FROM documents)) WHERE NOT (n >= 4 AND instr(substr(s || s, 2), s) < length(s))")
 def non_repeating_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SCA28: texts that are not one phrase over and over."""

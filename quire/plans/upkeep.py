@@ -154,13 +154,6 @@ def passages_by_word(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.where(F.col("w").isin("tion", "the", "with", "de", "und")).distinct().groupBy("doc_id", "chunk").agg(F.count("*").alias("words"))
 
 
-@query(f"""SELECT doc_id, chunk, round(a, 3) AS start_sec FROM (SELECT doc_id, CAST(floor(pos / 160) AS INT) AS chunk, min(s) AS a FROM {_W} WHERE conf >= 0.3 GROUP BY 1, 2)""")
-def citation_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET7: time at which each passage is spoken: its first word that is heard clearly."""
-    w = words(spark, sf_dir).where("conf >= 0.3")
-    return w.groupBy("doc_id", F.floor(F.col("pos") / 160).cast("int").alias("chunk")).agg(F.round(F.min("s"), 3).alias("start_sec"))
-
-
 @query("SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, min(turn) AS first_turn FROM conversations GROUP BY 1")
 def message_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """OTH11: messages by role."""
