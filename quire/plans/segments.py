@@ -30,16 +30,6 @@ def chunk_count_by_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.chunks(docs(spark, sf_dir), ["doc_id"]).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max("end_word").cast("long").alias("words"))
 
 
-@query(f"""SELECT doc_id, bool_or(stale) AS stale FROM (SELECT c.doc_id, c.content <> o.content OR o.content IS NULL AS stale FROM {_CHUNKS} c
-LEFT JOIN (SELECT doc_id, chunk_idx, CASE WHEN doc_id % 9 = 0 AND chunk_idx = 0 THEN 'old' ELSE content END AS content FROM {_CHUNKS} WHERE NOT (doc_id % 10 = 0 AND chunk_idx = 1)) o USING (doc_id, chunk_idx)) GROUP BY 1""")
-def chunk_stale_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SEG2: documents whose stored chunks are not what their text gives now."""
-    now = segment.chunks(docs(spark, sf_dir), ["doc_id"]).select("doc_id", "chunk_idx", "content")
-    stored = now.where("not (doc_id % 10 = 0 and chunk_idx = 1)").select("doc_id", "chunk_idx", F.when((F.col("doc_id") % 9 == 0) & (F.col("chunk_idx") == 0), "old").otherwise(F.col("content")).alias("old"))
-    j = now.join(stored, ["doc_id", "chunk_idx"], "left")
-    return j.groupBy("doc_id").agg(F.bool_or(F.col("old").isNull() | (F.col("content") != F.col("old"))).alias("stale"))
-
-
 _LINES = "(SELECT doc_id, source, i - 1 AS line_idx, l[i] AS line FROM (SELECT doc_id, source, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents)))"
 _LN = f"(SELECT *, len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) AS n FROM {_LINES})"
 

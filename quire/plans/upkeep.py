@@ -91,22 +91,6 @@ def root_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.withColumn("action", F.when((F.col("missing") > 10) & (F.col("missing") >= 0.4 * F.col("known")), "stale").otherwise("delete"))
 
 
-_BAD = f"(SELECT doc_id, 'collapse' AS issue, count(*) AS n FROM (SELECT doc_id, floor(s / 5) AS b FROM {_W} GROUP BY 1, 2 HAVING count(*) > 12) GROUP BY 1 UNION ALL SELECT doc_id, 'doubtful', count(*) FROM {_W} WHERE conf < 0.05 GROUP BY 1 UNION ALL SELECT doc_id, 'fast', count(*) FROM (SELECT doc_id, floor(s / 60) AS b FROM {_W} GROUP BY 1, 2 HAVING count(*) > 140) GROUP BY 1)"
-
-
-@query(f"SELECT doc_id, issue, n FROM {_BAD}")
-def timeline_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ4: issues of each timeline, one row a kind."""
-    w = words(spark, sf_dir)
-    crowded = lambda width, most: w.groupBy("doc_id", F.floor(F.col("s") / width).alias("b")).count().where(F.col("count") > most).groupBy("doc_id").agg(F.count("*").alias("n"))
-    parts = [("collapse", crowded(5, 12)), ("doubtful", w.where("conf < 0.05").groupBy("doc_id").agg(F.count("*").alias("n"))), ("fast", crowded(60, 140))]
-    out = None
-    for issue, df in parts:
-        one = df.select("doc_id", F.lit(issue).alias("issue"), "n")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 @query(f"""SELECT doc_id, round(median(d), 6) AS typical, count(*) FILTER (d <= 6) AS matched, count(*) AS asked FROM (
 SELECT a.doc_id, a.pos, min(abs(a.s - b.s)) AS d FROM (SELECT * FROM {_W} WHERE pos % 25 = 0) a JOIN (SELECT doc_id, pos, s + ((pos % 3) - 1) * 0.5::DOUBLE AS s, w FROM {_W}) b ON a.doc_id = b.doc_id AND lower(a.w) = lower(b.w) AND abs(a.s - b.s) <= 6 GROUP BY 1, 2) GROUP BY 1""")
 def timing_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
