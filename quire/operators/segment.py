@@ -74,12 +74,35 @@ def without_headers(df: DataFrame, headers: DataFrame, work: str, chapter: str,
     return kept.groupBy(work, chapter).agg(joined.alias(text))
 
 
-def text_chapters(df: DataFrame, keys: list[str], text: str = "text", least_words: int = 5) -> DataFrame:
-    """Sections of a plain text that start at explicit headings or lines of capitals, short ones dropped, numbered anew (SRC8, SEG16)."""
-    heading = F.trim("line").rlike(r"^(?i)(chapter|part|book)\s+([0-9]+|[ivxlc]+|one|two|three|four|five|six|seven|eight|nine|ten)\b.*$") | (F.trim("line").rlike(r"^[A-Z][A-Z !.,']{3,60}$"))
+#: Words below which a section is dropped, and from which what stands ahead of the first is a preface.
+SECTION_WORDS, PREFACE_WORDS = 5, 20
+
+
+def text_chapters(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """Chapters of plain texts (SRC8, SEG16): keys, chapter_idx, title, content, word_count.
+
+    They start at headings like "Chapter 7" if there are two or more, else at lines
+    of capitals after a blank line, else after two or more blank lines; a text
+    without two of either is one chapter.  Short sections fall away; enough words
+    ahead of the first start make a preface.
+    """
+    ls = lines(df, keys, text).withColumn("t", F.trim(F.regexp_replace("line", r"[\r\t]", " ")))
     w = Window.partitionBy(*keys).orderBy("line_idx")
-    ls = lines(df, keys, text).withColumn("h", heading).withColumn("section", F.sum(F.when(F.col("h"), 1).otherwise(0)).over(w))
-    title = F.min_by(F.when(F.col("h"), F.trim("line")).otherwise(F.lit("")), "line_idx")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("h"), F.struct("line_idx", "line")))), lambda x: x["line"]), "\n")
-    parts = ls.groupBy(*keys, "section").agg(title.alias("title"), body.alias("content")).withColumn("word_count", tx.word_count("content")).where(F.col("word_count") >= least_words)
-    return parts.withColumn("chapter_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("section")) - 1).drop("section")
+    blank = F.col("t") == ""
+    named = F.col("t").rlike(r"^(?i:chapter|part|book|section)\s+(\d+|[IVXLCivxlc]+)([\s.:—\-].*)?$")
+    shouted = ~blank & F.coalesce(F.lag(blank).over(w), F.lit(True)) & F.col("t").rlike(r"^[A-Z][A-Z\s.,;:!?'-]{5,}$")
+    parted = ~blank & F.coalesce(F.lag(blank).over(w), F.lit(False)) & F.coalesce(F.lag(blank, 2).over(w), F.lit(False))
+    whole = Window.partitionBy(*keys)
+    m = ls.withColumn("a", named).withColumn("b", shouted).withColumn("c", parted)
+    m = m.withColumn("na", F.count_if("a").over(whole)).withColumn("nb", F.count_if("b").over(whole)).withColumn("nc", F.count_if("c").over(whole))
+    start = F.when(F.col("na") >= 2, F.col("a")).when(F.col("nb") >= 2, F.col("b")).when(F.col("nc") >= 2, F.col("c")).otherwise(F.lit(False))
+    m = m.withColumn("start", start).withColumn("section", F.sum(F.when(F.col("start"), 1).otherwise(0)).over(w)).withColumn("some", F.greatest(F.when(F.col("na") >= 2, 1).otherwise(0), F.when(F.col("nb") >= 2, 1).otherwise(0), F.when(F.col("nc") >= 2, 1).otherwise(0)))
+    numbered = (F.col("na") < 2) & (F.col("nb") < 2)
+    title = F.min_by(F.when(numbered, F.concat(F.lit("Section "), F.col("section").cast("string"))).otherwise(F.col("t")), "line_idx")
+    first = F.min_by("t", F.when(F.col("t") != "", F.col("line_idx")))
+    body = F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_idx", "line"))), lambda x: x["line"]), "\n"))
+    parts = m.groupBy(*keys, "section").agg(title.alias("title"), first.alias("first"), F.max("some").alias("some"), F.regexp_replace(body, r"^\s+|\s+$", "").alias("content")).withColumn("word_count", tx.word_count("content"))
+    kept = F.when(F.col("some") == 0, F.lit(True)).when(F.col("section") == 0, F.col("word_count") >= PREFACE_WORDS).otherwise(F.col("word_count") >= SECTION_WORDS)
+    named_ = F.when(F.col("some") == 0, F.left(F.coalesce("first", F.lit("")), F.lit(80))).when(F.col("section") == 0, "Preface").otherwise(F.col("title"))
+    out = parts.where(kept).withColumn("title", named_)
+    return out.withColumn("chapter_idx", F.row_number().over(Window.partitionBy(*keys).orderBy("section")) - 1).drop("section", "some", "first")

@@ -53,6 +53,79 @@ def settled_positions(events: DataFrame, quiet_ms: int = 3000) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(settle, "user_id long, event_id long, value double", "event_id long, value double", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+#: Milliseconds of quiet after which a file is taken to be whole, looks after which it is taken anyway, and failed tries after which it is set aside.
+QUIET_MS, LOOKS, TRIES = 1000, 15, 3
+
+
+def settled_files(changes: DataFrame, quiet_ms: int = QUIET_MS, looks: int = LOOKS) -> DataFrame:
+    """Files that have stopped growing (STR1, STR2): path, size, forced.
+
+    ``changes``: path and size, a row whenever a folder is looked at.  A file is
+    given out once its size has stayed the same for a while of processing time,
+    or after many changes; state goes with it.
+    """
+
+    def settle(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        size, seen = state.get if state.exists else (-1, 0)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"path": [key[0]], "size": [size], "forced": [False]})
+            return
+        for pdf in batches:
+            for now in pdf["size"]:
+                if int(now) != size:
+                    size, seen = int(now), seen + 1
+        if seen > looks:
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"path": [key[0]], "size": [size], "forced": [True]})
+            return
+        state.update((size, seen))
+        state.setTimeoutDuration(quiet_ms)
+
+    return changes.groupBy("path").applyInPandasWithState(settle, "path string, size long, forced boolean", "size long, seen int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def vanished(before: DataFrame, now: DataFrame, key: str = "path") -> DataFrame:
+    """Files that were there at the last look and no longer are (STR3, OTH13); those that were made here have no file."""
+    return before.where(~F.startswith(key, F.lit("generated://"))).join(now.select(key), key, "left_anti")
+
+
+def sorted_drops(jobs: DataFrame) -> DataFrame:
+    """Where files of a drop folder go (STR4, FIL15): path, kind, state.
+
+    ``jobs``: path, age_sec (since the last write) and tries.  Hidden files are
+    passed over; files written to within three seconds wait; unknown kinds and
+    those that failed three times are set aside.
+    """
+    name = F.substring_index("path", "/", -1)
+    kind = F.when(F.col("path").rlike(r"(?i)\.(mp3|m4b|m4a|flac|aac|opus|ogg)$|\.stt\.json$"), "audiobooks").when(F.col("path").rlike(r"(?i)\.(epub|pdf|mobi|azw3|txt)$"), "ebooks")
+    state = F.when(F.col("age_sec") < 3, "waiting").when(kind.isNull() | (F.col("tries") >= TRIES), "failed").otherwise("ready")
+    return jobs.where(~F.startswith(name, F.lit("."))).select("path", kind.alias("kind"), state.alias("state"))
+
+
+def kept_logs(rows: DataFrame, hours: int = 24) -> DataFrame:
+    """Log rows of a stream that are not older than its retention (STR6): later ones push the watermark, which drops the rest."""
+    return rows.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(["id"])
+
+
+def newest_writes(positions: DataFrame, keys: list[str], time: str = "ts") -> DataFrame:
+    """The write of each key with the latest time of its own (STR8), whatever order they came in; of equal times the larger identifier."""
+    rest = [c for c in positions.columns if c not in keys]
+    return positions.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(time, "id")).alias("r")).select(*keys, *[F.col(f"r.{c}") for c in rest])
+
+
+def changed_works(versions: DataFrame, seen: DataFrame) -> DataFrame:
+    """Works to be checked again (STR9, OTH8): those whose content has another stamp than when they were last looked at."""
+    return versions.join(seen.select("work", F.col("version").alias("was")), "work", "left").where(~F.col("version").eqNullSafe(F.col("was"))).select("work", "version")
+
+
+def append_playback(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Listening events added to a table by day (STR12); an event that comes again within an hour is one."""
+    rows = deduplicated(stream).withColumn("day", F.to_date("ts"))
+    rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).partitionBy("day").trigger(availableNow=True).outputMode("append").start().awaitTermination()
+
+
 def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Run a stream over what is there and append its rows as Parquet under ``path``."""
     stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).outputMode("append").start().awaitTermination()

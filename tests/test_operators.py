@@ -44,7 +44,13 @@ def test_text_chapters(spark):
     text = "intro words here are five ok\nChapter 1\n" + "a b c d e f\n" * 2 + "Chapter 2\nshort\nChapter 3\n" + "g h i j k l"
     df = spark.createDataFrame([(1, text)], "id long, text string")
     got = rows(segment.text_chapters(df, ["id"]).select("chapter_idx", "title", "word_count"), "chapter_idx")
-    assert got == [(0, "", 6), (1, "Chapter 1", 12), (2, "Chapter 3", 6)]
+    assert got == [(0, "Chapter 1", 14), (1, "Chapter 3", 8)]
+    shout = "\n".join(["word " * 25, "", "THE FIRST PART", "a b c d e f", "", "THE SECOND PART", "g h i j k l"])
+    gaps = "a b c d e\n\n\nf g h i j\n\n\nk l m n o"
+    lone = "Only one title line\nChapter 1\nand some words"
+    df = spark.createDataFrame([(1, shout), (2, gaps), (3, lone), (4, ""), (5, None)], "id long, text string")
+    got = rows(segment.text_chapters(df, ["id"]).select("id", "chapter_idx", "title", "word_count"), "id", "chapter_idx")
+    assert got == [(1, 0, "Preface", 25), (1, 1, "THE FIRST PART", 9), (1, 2, "THE SECOND PART", 9), (2, 0, "Section 1", 5), (2, 1, "Section 2", 5), (3, 0, "Only one title line", 9), (4, 0, "", 0)]
 
 
 def test_alignment_of_equal_and_changed_texts(spark):
@@ -152,6 +158,8 @@ def test_readers_and_sinks(spark, tmp_path):
     assert {(r["title"], r["format"], r["origin"]) for r in walked.collect()} == {("A Book", "text", "user_upload"), ("e", "epub", "publisher_epub"), ("bad", "epub", "publisher_epub")}
     books = readers.read_epub(readers.walk(spark, f"{tmp_path}/lib", content=True).where("format = 'epub'"))
     assert [(r["chapter_idx"], r["href"], r["title"], r["text"]) for r in books.collect()] == [(0, "2.xhtml", "T", "Hello\nthere")]
+    meta = readers.read_epub_metadata(readers.walk(spark, f"{tmp_path}/lib", content=True).where("format = 'epub'")).collect()
+    assert [(m["title"], m["author"], m["genre"], m["series"]) for m in meta] == [("T", "", "", "")]
     raw = spark.createDataFrame([(bytearray(b"a" + b"\0" * 10 + b"b" + b"\0" * 3),)], "content binary")
     assert readers.zero_runs(raw, least=10).first()[1:] == (10, True)
     (tmp_path / "t.json").write_text(json.dumps({"duration": 3.0, "segments": [{"start": 0, "end": 1, "text": "a", "words": [{"word": " a", "start": 0.0, "end": 0.5, "probability": 0.9}]}]}))
