@@ -16,8 +16,12 @@ anywhere else, in the same text or another.
    on the Burrows-Wheeler transform finds the boundaries with a common prefix
    of 7, 8, 9 ... bytes, and stops at ``LENGTH``: suffixes with no boundary
    between them share that many bytes.
-4. Hashes under which more than ``HOT_BYTES`` of distinct runs lie are not put
-   into one task; their windows are dealt by a 128-bit hash of each window.
+4. Where more than ``HOT_BYTES`` of distinct runs lie under one hash, those runs
+   are cut again by the smallest of another hash of their windows' strings, up
+   to ``FINER`` times, so that they too come in parts that a task can sort;
+   copies of a passage meet again, and what is beside them falls off.  Runs
+   that stay crowded share one string of ``GRAM`` bytes in over ``HOT_BYTES`` of
+   different surroundings; their windows are compared by a 128-bit hash.
 
 Defined results: null counts as empty; matches never cross rows; repeated rows
 are copies of each other; equal identifiers are separate rows; other columns
@@ -32,13 +36,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.scratch import materialize, new_path, partitions
+from quire.llm.scratch import materialize, new_path, partitions, trimmed
 
 LENGTH, GRAM = 400, 64
 HOT_BYTES = 2_000_000
+#: Times that crowded runs are cut again.
+FINER = 3
 #: Bytes of joined runs that a task sorts together.
 SORT_BYTES = 1_000_000
 
@@ -51,14 +57,14 @@ def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(29))
 
 
-def gram_hashes(raw: np.ndarray) -> np.ndarray:
-    """64-bit hash of the ``GRAM`` bytes from each position."""
+def gram_hashes(raw: np.ndarray, turn: int = 0) -> np.ndarray:
+    """64-bit hash of the ``GRAM`` bytes from each position; another one for each ``turn``."""
     x = raw.astype(np.uint64)
     for shift in (1, 2, 4):
         x = x[:-shift] | (x[shift:] << np.uint64(8 * shift))
     for shift in (8, 16, 32):
         x = _mix(x[:-shift], x[shift:])
-    return x
+    return _mix(x, np.full(1, turn, dtype=np.uint64)) * np.uint64(0x9FB21C651E98DF25) if turn else x
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -72,12 +78,12 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs_of(raw: bytes) -> tuple[np.ndarray, ...]:
+def runs_of(raw: bytes, turn: int = 0) -> tuple[np.ndarray, ...]:
     """(hash, first window, last window, whether the hash occurs twice inside) of each run of windows."""
     if len(raw) < LENGTH:
         empty = np.zeros(0, dtype=np.int64)
         return empty.astype(np.uint64), empty, empty, empty.astype(bool)
-    h = gram_hashes(np.frombuffer(raw, dtype=np.uint8))
+    h = gram_hashes(np.frombuffer(raw, dtype=np.uint8), turn)
     width = LENGTH - GRAM + 1
     least = sliding_min(h, width)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
@@ -107,8 +113,7 @@ def _emit_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raw = text.encode("utf-8", "replace")
                 for r in runs:
                     part = raw[r["first"] : r["last"] + LENGTH]
-                    c1 = int.from_bytes(xxhash.xxh3_128_digest(part)[:8], "big", signed=True)
-                    out.append((r["m"], c1, part, h1, h2, r["first"]))
+                    out.append((r["m"], _digest(part), part, h1, h2, r["first"]))
             if out:
                 m, c1, part, h1, h2, first = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(c1, pa.int64()), pa.array(part, pa.binary()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(first, pa.int64())], ["m", "c", "bytes", "h1", "h2", "first"])
@@ -246,22 +251,75 @@ _SPAN_LIST = "array<struct<s:bigint,e:bigint>>"
 
 def _hot_spans(rows: DataFrame) -> DataFrame:
     """As ``_search`` for rows of crowded hashes, through counts of window hashes."""
-    windows = materialize(rows.mapInArrow(_window_hashes, "w1 long, w2 long, m long, c long, n long, s long"), "windows")
+    windows = materialize(rows.mapInArrow(trimmed(_window_hashes), "w1 long, w2 long, m long, c long, n long, s long"), "windows")
     again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("times")).where("times > 1").select("w1", "w2")
-    hit = windows.join(again, ["w1", "w2"], "left_semi")
+    hit = windows.join(materialize(again, "repeated-windows"), ["w1", "w2"], "left_semi")
     return hit.groupBy("m", "c").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: F.struct(s.alias("s"), (s + LENGTH).alias("e"))).alias("spans"))
 
 
+def _cut_finer(turn: int):
+    """Parts of runs whose windows have one smallest hash of another kind; ``m0``, ``c0`` name the run and ``first`` the part's place in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for m, c, part, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                value, first, last, twice = runs_of(part, turn)
+                value = _mix(value, np.full(1, m, dtype=np.int64).view(np.uint64)).view(np.int64)
+                for v, a, b, t in zip(*(x.tolist() for x in (value, first, last, twice)), strict=True):
+                    piece = part[a : b + LENGTH]
+                    out.append((v, _digest(piece), piece, n, m, c, a, t))
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * 4, pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], ["m", "c", "bytes", "n", "m0", "c0", "first", "twice"])
+
+    return run
+
+
+def _digest(piece: bytes) -> int:
+    return int.from_bytes(xxhash.xxh3_128_digest(piece)[:8], "big", signed=True)
+
+
+def _run_spans(distinct: DataFrame, hot_bytes: int, turn: int = 0) -> DataFrame:
+    """``m``, ``c`` and the ``spans`` to remove of the distinct runs ``m``, ``c``, ``bytes``, ``n``."""
+    spark, kind = distinct.sparkSession, f"m long, c long, spans {_SPAN_LIST}"
+    search = lambda rows: rows.repartition(partitions(spark), "m").sortWithinPartitions("m").mapInArrow(trimmed(_search_batches), kind)
+    crowded = distinct.groupBy("m").agg(F.sum(F.length("bytes")).alias("b")).where(F.col("b") > hot_bytes).select("m")
+    crowded = materialize(crowded, "crowded")
+    if crowded.isEmpty():
+        return search(distinct)
+    dense = distinct.join(crowded, "m", "left_semi")
+    if turn == FINER:
+        spans = _hot_spans(dense)
+    else:
+        parts = dense.mapInArrow(trimmed(_cut_finer(turn + 1)), "m long, c long, bytes binary, n long, m0 long, c0 long, first long, twice boolean")
+        parts = materialize(parts, "finer-parts")
+        again = parts.groupBy("m").agg(F.sum("n").alias("k"), F.bool_or("twice").alias("twice")).where("k > 1 or twice").select("m")
+        own = parts.join(materialize(again, "finer-again"), "m", "left_semi").groupBy("m", "c").agg(F.first("bytes").alias("bytes"), F.sum("n").alias("n"))
+        found = materialize(_run_spans(materialize(own, "finer"), hot_bytes, turn + 1).where(F.size("spans") > 0), "finer-spans")
+        spans = _placed(parts, found, ["m0", "c0"]).withColumnsRenamed({"m0": "m", "c0": "c"})
+    return search(distinct.join(crowded, "m", "left_anti")).unionByName(spans)
+
+
+def _placed(parts: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the spans found in their parts, moved by the part's ``first``."""
+    at = lambda x, k: (x[k] + F.col("first")).alias(k)
+    moved = parts.select("m", "c", "first", *keys).join(found, ["m", "c"]).select(*keys, F.transform("spans", lambda x: F.struct(at(x, "s"), at(x, "e"))).alias("spans"))
+    return moved.groupBy(*keys).agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
 def _texts(df: DataFrame, text_col: str) -> tuple[Column, Column, Column]:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return text, F.xxhash64(text), F.xxhash64(F.lit(LENGTH), text)
 
 
 def _bucketed(texts: DataFrame) -> DataFrame:
-    """``texts`` as a table bucketed by its hash, in the shared folder."""
+    """``texts`` as files bucketed by its hash in the shared folder; the catalog's entry is needed only to read them and goes at once."""
     spark, name = texts.sparkSession, f"quire_texts_{uuid.uuid4().hex[:12]}"
     texts.write.bucketBy(partitions(spark), "h1", "h2").option("path", new_path(spark, "texts")).saveAsTable(name)
-    return spark.table(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,25 +352,14 @@ def _cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_spans(texts: DataFrame, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """``h1``, ``h2`` and byte spans to remove of the distinct ``texts`` (h1, h2, text, n) that have any."""
-    spark = texts.sparkSession
-    runs = materialize(texts.select("h1", "h2", "text").mapInArrow(_emit_runs, "m long, h1 long, h2 long, first long, last long, twice boolean"), "runs")
+    runs = materialize(texts.select("h1", "h2", "text").mapInArrow(trimmed(_emit_runs), "m long, h1 long, h2 long, first long, last long, twice boolean"), "runs")
     again = runs.groupBy("m").agg(F.count("*").alias("k"), F.bool_or("twice").alias("twice")).where("k > 1 or twice").select("m")
-    looked = runs.join(again, "m", "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("m", "first", "last")).alias("runs"))
-    cut = texts.join(looked, ["h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(_emit_bytes, "m long, c long, bytes binary, h1 long, h2 long, first long")
+    looked = runs.join(materialize(again, "repeated-hashes"), "m", "left_semi").groupBy("h1", "h2").agg(F.collect_list(F.struct("m", "first", "last")).alias("runs"))
+    cut = texts.join(looked, ["h1", "h2"]).select("h1", "h2", "text", "runs").mapInArrow(trimmed(_emit_bytes), "m long, c long, bytes binary, h1 long, h2 long, first long")
     cut = materialize(cut, "run-bytes")
     distinct = materialize(cut.groupBy("m", "c").agg(F.first("bytes").alias("bytes"), F.count("*").alias("n")), "distinct-runs")
-    crowded = materialize(distinct.groupBy("m").agg(F.sum(F.length("bytes")).alias("b")).where(F.col("b") > hot_bytes).select("m"), "crowded")
-    kind = f"m long, c long, spans {_SPAN_LIST}"
-    columns = ["m", "c", "bytes", "n"]
-    search = lambda rows: rows.select(*columns).repartition(partitions(spark), "m").sortWithinPartitions("m").mapInArrow(_search_batches, kind)
-    if crowded.isEmpty():
-        spans = search(distinct)
-    else:
-        spans = search(distinct.join(crowded, "m", "left_anti")).unionByName(_hot_spans(distinct.join(crowded, "m", "left_semi").select(*columns)))
-    spans = materialize(spans.where(F.size("spans") > 0), "spans")
-    placed = cut.select("m", "c", "h1", "h2", "first").join(spans, ["m", "c"])
-    shifted = placed.select("h1", "h2", F.transform("spans", lambda x: F.struct((x["s"] + F.col("first")).alias("s"), (x["e"] + F.col("first")).alias("e"))).alias("spans"))
-    return shifted.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = materialize(_run_spans(distinct, hot_bytes).where(F.size("spans") > 0), "spans")
+    return _placed(cut, spans, ["h1", "h2"])
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = (), kept: Column | None = None, hot_bytes: int = HOT_BYTES) -> DataFrame:
@@ -325,7 +372,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = _bucketed(rows.groupBy("h1", "h2").agg(F.first("text").alias("text"), F.count("*").alias("n")))
     spans = text_spans(texts, hot_bytes)
     joined = texts.join(spans, ["h1", "h2"], "left").select("h1", "h2", "text", "n", "spans")
-    result = joined.mapInArrow(_cut_batches, "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
+    result = joined.mapInArrow(trimmed(_cut_batches), "h1 long, h2 long, n_bytes long, n_removed long, n_spans long, kept binary")
     if kept is not None:
         result = result.withColumn("kept", kept)
     return rows.drop("text").join(result, ["h1", "h2"]).drop("h1", "h2")
@@ -340,9 +387,3 @@ def kept_text(column: str = "kept") -> Column:
 
     return text(F.col(column))
 
-
-def drop_tables(spark: SparkSession) -> None:
-    """Drop the bucketed tables of this session from its catalog."""
-    for t in spark.catalog.listTables():
-        if t.name.startswith("quire_texts_"):
-            spark.sql(f"DROP TABLE IF EXISTS {t.name}")
