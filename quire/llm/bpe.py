@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.chunks import ChunkEncoder, groups
+from quire.llm.scratch import trimmed
 
 
 def byte_symbols() -> list[str]:
@@ -161,13 +162,13 @@ def _inputs(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
 def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``ids array<int>`` of every text."""
     rows, kind = _inputs(df, id_col, text_col)
-    return rows.mapInArrow(_encode_batches(tokenizer, False), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(_encode_batches(tokenizer, False)), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def encode_decode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``ids array<int>`` and the text ``decoded`` from them, in one pass."""
     rows, kind = _inputs(df, id_col, text_col)
-    out = rows.mapInArrow(_encode_batches(tokenizer, True), f"id {kind}, ids array<int>, decoded string")
+    out = rows.mapInArrow(trimmed(_encode_batches(tokenizer, True)), f"id {kind}, ids array<int>, decoded string")
     return out.withColumnRenamed("id", id_col)
 
 

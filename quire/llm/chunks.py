@@ -18,16 +18,16 @@ import regex
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Unicode white space; str.split() also cuts at U+001C to U+001F.
 _SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
-_EXTRA = re.compile("[\x1c-\x1f]")
-#: Chunks and pieces remembered by a Python worker before it starts afresh;
-#: it bounds memory and never changes a result.
+_EXTRA = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Chunks and pieces that a Python worker learns before those it did not meet
+#: again since the last time are forgotten; it bounds memory and never changes a result.
 MEMO = 150_000
 #: Characters of text handled together.
 GROUP_CHARS = 2_000_000
 
 
 def split_chunks(text: str) -> list[str]:
-    if _EXTRA.search(text):
+    if any(x in text for x in _EXTRA):
         return [x for x in _SPACE.split(text) if x]
     return text.split()
 
@@ -51,13 +51,11 @@ class ChunkEncoder:
     cut out of the raw text first.
     """
 
-    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], special: dict[str, bytes]):
+    def __init__(self, encode_pieces: Callable[[list[str]], list[bytes]], special: dict[str, bytes], memo: int = MEMO):
         self.encode_pieces = encode_pieces
         self.special = special
         self.cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.mark = next(iter(special), None)
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.most, self.memo, self.aged = memo, dict(special), {}
 
     def parts(self, text: str) -> list[str]:
         """Chunks and added tokens in order."""
@@ -68,24 +66,28 @@ class ChunkEncoder:
             out.extend([part] if part in self.special else split_chunks(part))
         return out
 
+    def _unknown(self, keys: set[str]) -> set[str]:
+        """Keys that are not remembered; older ones that come again are kept on."""
+        unknown = keys.difference(self.memo)
+        again = unknown.intersection(self.aged)
+        self.memo.update(zip(again, map(self.aged.__getitem__, again), strict=True))
+        return unknown - again
+
     def learn(self, chunks: set[str]) -> None:
-        if len(self.chunks) > MEMO:
-            self.chunks.clear()
-        if len(self.pieces) > MEMO:
-            self.pieces.clear()
-        self.chunks.update(self.special)
-        fresh = [x for x in chunks if x not in self.chunks]
-        cut = [pieces_of(x) for x in fresh]
-        unknown = list({p for ps in cut for p in ps} - self.pieces.keys())
-        if unknown:
-            self.pieces.update(zip(unknown, self.encode_pieces(unknown), strict=True))
-        get = self.pieces.__getitem__
-        self.chunks.update((x, b"".join(map(get, ps))) for x, ps in zip(fresh, cut, strict=True))
+        """Remember the ids of ``chunks``; a piece is a chunk that is cut no further, so both share the memo."""
+        if len(self.memo) > self.most:
+            self.memo, self.aged = dict(self.special), self.memo
+        cut = {x: pieces_of(x) for x in self._unknown(chunks)}
+        pieces = list(self._unknown({p for ps in cut.values() for p in ps}))
+        if pieces:
+            self.memo.update(zip(pieces, self.encode_pieces(pieces), strict=True))
+        get = self.memo.__getitem__
+        self.memo.update([(x, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for x, ps in cut.items()])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(x) for x in texts]
         self.learn(set().union(*parts))
-        get = self.chunks.__getitem__
+        get = self.memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
 

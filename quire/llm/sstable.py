@@ -45,13 +45,15 @@ from pyspark.sql import functions as F
 
 from quire.llm.bpe import byte_symbols
 from quire.llm.chunks import ChunkEncoder, groups
-from quire.llm.scratch import new_path, partitions
+from quire.llm.scratch import new_path, partitions, trimmed
 
 MAGIC = b"QUIRESST1\n"
 FOOTER = struct.Struct("<QQQQQQ10s")
 ENTRY = struct.Struct("<9sQQQ")
 BLOCK_IDS = 16_384
 BLOOM_BITS, BLOOM_HASHES = 10, 7
+#: Chunks that a worker learns before it forgets those it did not meet again.
+MEMO = 250_000
 
 
 @lru_cache(2)
@@ -63,17 +65,17 @@ def library_encoder(path: str) -> ChunkEncoder:
     tokenizer.no_padding()
     tokenizer.no_truncation()
     model, table = tokenizer.model, dict(enumerate(byte_symbols()))
+    own = [np.uint32(i).tobytes() for i in range(tokenizer.get_vocab_size())].__getitem__
     added = {t.content: np.uint32(i).tobytes() for i, t in tokenizer.get_added_tokens_decoder().items()}
 
     def encode(pieces: list[str]) -> list[bytes]:
         out = []
         for p in pieces:
             shown = p if p.isascii() and p.isprintable() else p.encode("utf-8", "replace").decode("latin-1").translate(table)
-            found = [t.id for t in model.tokenize(shown)]
-            out.append(struct.pack(f"<{len(found)}I", *found))
+            out.append(b"".join([own(t.id) for t in model.tokenize(shown)]))
         return out
 
-    return ChunkEncoder(encode, added)
+    return ChunkEncoder(encode, added, MEMO)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -254,7 +256,7 @@ def write(df: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: s
     order = [F.col("id").asc_nulls_first(), F.col("h").asc_nulls_first()]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     sorted_rows = rows.repartitionByRange(shards or partitions(df.sparkSession), *order).sortWithinPartitions(*order, "text")
-    return sorted_rows.select("id", "text").mapInArrow(_write_batches(tokenizer, folder, end_id), "shard long, n_docs long, n_ids long, n_bytes long")
+    return sorted_rows.select("id", "text").mapInArrow(trimmed(_write_batches(tokenizer, folder, end_id)), "shard long, n_docs long, n_ids long, n_bytes long")
 
 
 def _read_batches(folder: str):
@@ -281,7 +283,7 @@ def read(spark: SparkSession, folder: str, manifest: list[tuple[int, int]], id_c
         rows.append((shard, base))
         base += n
     order = spark.createDataFrame(rows, "shard long, base long").repartition(max(1, min(len(rows), 4 * partitions(spark))), "shard")
-    return order.mapInArrow(_read_batches(folder), "id long, start long, ids binary").withColumnRenamed("id", id_col)
+    return order.mapInArrow(trimmed(_read_batches(folder)), "id long, start long, ids binary").withColumnRenamed("id", id_col)
 
 
 def lookup(folder: str, shards: list[int], doc_id: int | None) -> list[np.ndarray]:
