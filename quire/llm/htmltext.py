@@ -10,8 +10,10 @@ with the largest total log-odds is taken, so no element is kept inside a
 dropped one.
 
 There are no labelled pages, so the trees are fitted on generated pages whose
-blocks are known (``training_page``): many templates, with and without
-telling tags and class names.
+blocks are known: of a current template with and without telling tags and
+class names (``training_page``), laid out by tables as pages once were
+(``table_page``), and in the manner of manuals and encyclopaedias
+(``reference_page``).
 
 Defined results: null, empty and text-free pages give the empty text.  Rows are
 independent; repeated rows repeat; null page_id and url are carried along.
@@ -23,7 +25,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,8 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import trees
+from quire.llm.scratch import trimmed
 
-_MARKUP = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"</?([A-Za-z][^\s/>]*)")
+_TAG_MARK = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 RAW = {"script", "style", "noscript", "template", "svg", "iframe", "object", "canvas", "textarea", "select", "math", "xmp", "noembed", "noframes"}
@@ -63,7 +67,7 @@ TOKEN_KINDS = (
 )
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
@@ -79,58 +83,117 @@ def _attribute_tokens(attributes: str) -> frozenset:
     return frozenset(t for m in _ATTRIBUTE.finditer(attributes) for t in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower()))
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
+def _tag_end(page: str, at: int, quoted: bool) -> int:
+    """Place of the ``>`` that ends the tag whose name ends at ``at``, -1 if none; one inside quotes does not, unless ``quoted`` is false."""
+    while quoted and (m := _TAG_MARK.search(page, at)):
+        if m[0] == ">":
+            return m.start()
+        close = page.find(m[0], m.end())
+        at = close + 1 if close >= 0 else m.end()
+    return -1 if quoted else page.find(">", at)
+
+
+def markup(page: str) -> Iterator[tuple[int, int, str | None, bool, int]]:
+    """(start, end, name, whether it closes, end of the name) of each tag in order, without a name for comments and declarations.
+
+    One pass forward: a tag that runs to the end of the page because of its
+    quotes turns them off for all that follow, so nothing is looked at twice.
+    """
+    at, end, last, quoted = 0, len(page), page.rfind(">"), True
+    while (i := page.find("<", at)) >= 0:
+        if page.startswith("<!--", i) or page.startswith("<![CDATA[", i):
+            stop = "-->" if page[i + 2] == "-" else "]]>"
+            j = page.find(stop, i + 4)
+            at = j + 3 if j >= 0 else end
+            yield i, at, None, False, at
+        elif i > last:
+            return
+        elif page[i + 1] in "!?":
+            at = page.index(">", i) + 1
+            yield i, at, None, False, at
+        elif m := _TAG.match(page, i):
+            j = _tag_end(page, m.end(), quoted)
+            if j < 0:
+                quoted = False
+                j = _tag_end(page, m.end(), quoted)
+            at = j + 1
+            jump = yield i, at, m[1].lower(), page[i + 1] == "/", m.end()
+            at = jump or at
+        else:
+            at = i + 1
+
+
+class _Open:
+    """The elements that are open, innermost last, and where those of each tag stand."""
+
+    def __init__(self):
+        self.stack: list[int] = [0]
+        self.places: dict[str, list[int]] = {}
+
+    def depth(self, tags: set[str]) -> int:
+        """Place of the innermost open element among ``tags``, 0 if none."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close(self, nodes: list[Node], target: set[str], scope: set[str]) -> None:
+        """Close the innermost of ``target`` and all inside it, unless one of ``scope`` is open further in."""
+        at = self.depth(target)
+        if at > self.depth(scope):
+            while len(self.stack) > at:
+                self.places[nodes[self.stack.pop()].tag].pop()
+
+    def push(self, i: int, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(i)
+
+
+def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Elements in page order and (element, raw text) of each run; a run of None breaks a block."""
     nodes = [Node("html", -1, 0)]
     runs: list[tuple[int, str | None]] = []
-    at, here, end = 0, 0, len(page)
-
-    def close(target: set[str], scope: set[str]) -> None:
-        nonlocal here
-        i = here
-        while i > 0:
-            if nodes[i].tag in target:
-                here = nodes[i].parent
-                return
-            if nodes[i].tag in scope:
-                return
-            i = nodes[i].parent
-
-    while at < end:
-        m = _MARKUP.search(page, at)
-        stop = m.start() if m else end
-        if stop > at:
-            runs.append((here, page[at:stop]))
-        if not m:
+    opened, text, tags, jump = _Open(), 0, markup(page), None
+    while True:
+        try:
+            start, stop, tag, closes, name_end = tags.send(jump)
+        except StopIteration:
             break
-        at = m.end()
-        if m[2] is None:
+        jump = None
+        if start > text:
+            runs.append((opened.stack[-1], page[text:start]))
+        text = stop
+        if tag is None:
             continue
-        tag = m[2].lower()
         if tag in RAW:
-            if not m[1] and not m[3].rstrip().endswith("/"):
-                ending = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                at = ending.end() if ending else end
+            if not closes and page[stop - 2] != "/":
+                ending = _ending(tag).search(page, stop)
+                text = jump = ending.end() if ending else len(page)
             continue
         if tag not in INLINE:
-            runs.append((here, None))
-        if m[1]:
-            close({tag}, {"table", "td"} - {tag})
+            runs.append((opened.stack[-1], None))
+        if closes:
+            opened.close(nodes, {tag}, {"table", "td"} - {tag})
             continue
         if tag in VOID or tag == "html":
             continue
         if tag in CLOSES:
-            close(CLOSES[tag], SCOPES - CLOSES[tag])
+            opened.close(nodes, CLOSES[tag], SCOPES - CLOSES[tag])
         elif tag in BREAKS_P:
-            close({"p"}, SCOPES)
-        if tag == "body" and here:
-            close({"head"}, set())
-        nodes.append(Node(tag, here, nodes[here].depth + 1, _attribute_tokens(m[3])))
+            opened.close(nodes, {"p"}, SCOPES)
+        if tag == "body" and len(opened.stack) > 1:
+            opened.close(nodes, {"head"}, set())
+        here = opened.stack[-1]
+        nodes.append(Node(tag, here, nodes[here].depth + 1, _attribute_tokens(page[name_end : stop - 1])))
         nodes[here].children.append(len(nodes) - 1)
-        here = len(nodes) - 1
+        opened.push(len(nodes) - 1, tag)
+    if text < len(page):
+        runs.append((opened.stack[-1], page[text:]))
     return nodes, runs
 
 
+@lru_cache(64)
+def _ending(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+
+
 @lru_cache(4096)
 def _flags(tag: str, tokens: frozenset) -> int:
     """Bits of the kinds of tag and of token that an element has."""
@@ -198,8 +261,8 @@ def node_features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.n
         np.where(root, 0, links[p] / some[p]), np.where(root, 0, np.log1p(chars[p])),
     ]
     bits = np.arange(len(TAG_KINDS) + len(TOKEN_KINDS))
-    spread = lambda v: (np.array(v)[:, None] >> bits) & 1
-    return np.hstack([spread(flags), spread(above), np.stack(numbers, axis=1)])
+    spread = lambda v: ((np.array(v)[:, None] >> bits) & 1).astype(np.float32)
+    return np.hstack([spread(flags), spread(above), np.stack(numbers, axis=1).astype(np.float32)])
 
 
 def decode(nodes: list[Node], odds: np.ndarray) -> list[bool]:
@@ -233,7 +296,7 @@ def _words(r: random.Random, low: int, high: int) -> str:
     return " ".join(words).capitalize() + r.choice([".", ""])
 
 
-def training_page(seed: int) -> tuple[str, str]:
+def training_page(seed: int) -> str:
     """A generated page and its main text marked by the characters \\x01 (start) and \\x02 (end) around each block."""
     r = random.Random(seed)
     w = lambda a, b: _words(r, a, b)
@@ -284,15 +347,87 @@ def training_page(seed: int) -> tuple[str, str]:
     remarks = "".join(f'<div class="{r.choice(["comment", "comment-item", "reply"])}"><p>{w(3, 60)}</p></div>' for _ in range(r.randint(1, 5)))
     after = f'<{tag("section")} class="{r.choice(["comments", "comment-list", "discussion", "responses"])}"><h3>{w(1, 3)}</h3>{remarks}</div>' if r.random() < 0.35 else ""
     foot = block("footer", ("footer", "site-footer", "copyright"), r.choice(["&copy; ", ""]) + r.choice([w(2, 14), f"<p>{w(3, 25)}</p>", links(1, 5)])) if r.random() < 0.9 else ""
-    return f"<!DOCTYPE html><html>{head}<body>{top}{note(0.5)}{inner}{note(0.3)}{after}{note(0.3)}{foot}</body></html>", ""
+    return f"<!DOCTYPE html><html>{head}<body>{top}{note(0.5)}{inner}{note(0.3)}{after}{note(0.3)}{foot}</body></html>"
+
+
+def _prose(r: random.Random, low: int, high: int) -> str:
+    """Sentences of plain words, some capitalised and some numbers, without the marks of ``_words``."""
+    make = lambda: "".join(r.choice(("ba", "to", "mer", "lin", "sa", "ren", "ko", "vi", "est", "al", "dor", "un", "pe")) for _ in range(r.randint(1, 4)))
+    out, left = [], r.randint(low, high)
+    while left > 0:
+        n = min(left, r.randint(3, 18))
+        out.append(" ".join(str(r.randint(1, 2000)) if r.random() < 0.03 else make() for _ in range(n)).capitalize())
+        left -= n
+    return ". ".join(out) + r.choice([".", ".", "", "?"])
+
+
+def _main(text: str) -> str:
+    return f"\x01{text}\x02"
+
+
+def table_page(seed: int) -> str:
+    """A generated page laid out by tables and fonts, with menus and adverts in cells, as ``training_page`` marks it."""
+    r = random.Random(seed)
+    w = lambda a, b: _prose(r, a, b)
+    item = lambda: f'<a href="p{r.randint(1, 99)}.htm"><font size="1">{w(1, 3)}</font></a>'
+    row = lambda n: r.choice([" | ", "<br>", " &middot; "]).join(item() for _ in range(n))
+    parts = [f"<{r.choice(('h1', 'h2'))}>{_main(w(2, 9))}</{r.choice(('h1', 'h2'))}>"] if r.random() < 0.8 else [f'<font size="5"><b>{_main(w(2, 8))}</b></font><br><br>']
+    for _ in range(r.randint(2, 9)):
+        kind = r.random()
+        if kind < 0.5:
+            parts.append(f"{_main(w(15, 90))}<br><br>")
+        elif kind < 0.8:
+            parts.append(f"<p align=justify>{_main(w(10, 80))}")
+        elif kind < 0.9:
+            parts.append(f"<center><i>{_main(w(4, 20))}</i></center>")
+        else:
+            parts.append("<ol>" + "".join(f"<li>{_main(w(3, 20))}" for _ in range(r.randint(2, 5))) + "</ol>")
+    menu = f'<td width="{r.randint(100, 180)}" valign=top bgcolor="#eee"{r.choice(["", " class=menu", " class=left-nav"])}>{row(r.randint(4, 12))}</td>'
+    side = f'<td width="160" valign=top>{r.choice([f"<div class=ad>{w(4, 25)}</div>", row(r.randint(2, 6)), f"<b>{w(1, 3)}</b><br>{row(3)}"])}</td>' if r.random() < 0.5 else ""
+    top = f'<table width="100%"><tr><td><font size="6">{w(1, 4)}</font></td></tr><tr><td align=center>{row(r.randint(3, 8))}</td></tr></table>'
+    foot = f'<hr><center><font size="1">{r.choice(["Copyright ", "&copy; ", ""])}{w(2, 10)} {row(r.randint(0, 4)) if r.random() < 0.6 else ""}</font></center>'
+    search = f"<form action=find><input name=q><input type=submit value={r.randint(1, 9)}>{w(1, 2)}</form>" if r.random() < 0.3 else ""
+    body = "".join(parts)
+    return f'<html><head><title>{w(2, 6)}</title></head><body bgcolor="#ffffff">{top}{search}<table><tr>{menu}<td valign=top>{body}</td>{side}</tr></table>{foot}</body></html>'
+
+
+def reference_page(seed: int) -> str:
+    """A generated page of a manual or encyclopaedia: contents list, sections, code and tables, edit links, notices and categories."""
+    r = random.Random(seed)
+    w = lambda a, b: _prose(r, a, b)
+    links = lambda n: "".join(f'<li><a href="#s{i}">{w(1, 4)}</a></li>' for i in range(n))
+    n = r.randint(2, 6)
+    toc = f'<div id="toc" class="toc"><h2>{w(1, 2)}</h2><ul>{links(n)}</ul></div>' if r.random() < 0.7 else ""
+    note = f'<div class="{r.choice(("notice", "alert", "banner"))}">{w(5, 30)}</div>' if r.random() < 0.4 else ""
+    parts = [note, f"<p>{_main(w(20, 80))}</p>", toc]
+    for i in range(n):
+        parts.append(f'<h2 id="s{i}">{_main(w(1, 5))}</h2>')
+        for _ in range(r.randint(1, 4)):
+            kind = r.random()
+            if kind < 0.65:
+                parts.append(f"<p>{_main(w(12, 90))}</p>")
+            elif kind < 0.75:
+                parts.append(f"<pre><code>{_main(w(4, 30))}</code></pre>")
+            elif kind < 0.87:
+                parts.append("<dl>" + "".join(f"<dt>{_main(w(1, 3))}</dt><dd>{_main(w(4, 25))}</dd>" for _ in range(r.randint(2, 5))) + "</dl>")
+            else:
+                parts.append("<table class=data>" + "".join(f"<tr><th>{_main(w(1, 2))}</th><td>{_main(w(1, 6))}</td></tr>" for _ in range(r.randint(2, 5))) + "</table>")
+    inside = "".join(parts)
+    main = r.choice([f'<div id="bodyContent" class="mw-body-text">{inside}</div>', f"<main role=main><section>{inside}</section></main>", f'<div class="document"><div class="body">{inside}</div></div>'])
+    title = f'<h1 class="title">{_main(w(1, 6))}</h1>'
+    left = f'<div id="panel" role="navigation"><h3>{w(1, 2)}</h3><ul>{links(r.randint(3, 10))}</ul></div>' if r.random() < 0.8 else ""
+    tags = f'<div class="catlinks toolbar">{w(1, 2)} {"".join(f"<a href=c{i}>{w(1, 3)}</a>" for i in range(r.randint(1, 5)))}</div>' if r.random() < 0.6 else ""
+    foot = f'<div id="footer" role="contentinfo"><p>{w(5, 30)}</p><ul>{links(r.randint(1, 4))}</ul></div>' if r.random() < 0.9 else ""
+    before, after = (left, "") if r.random() < 0.5 else ("", left)
+    return f"<!doctype html><html><head><title>{w(1, 6)}</title></head><body>{before}<div id=content>{title}{main}{tags}</div>{after}{foot}</body></html>"
 
 
 @lru_cache(1)
-def model(pages: int = 300) -> trees.Forest:
+def model(pages: int = 300, others: int = 120) -> trees.Forest:
     """Trees fitted on generated pages; the label of an element is whether any text below it is main text."""
     xs, ys = [], []
-    for seed in range(pages):
-        nodes, runs = parse(training_page(seed)[0])
+    for page in [*map(training_page, range(pages)), *map(table_page, range(others)), *map(reference_page, range(others))]:
+        nodes, runs = parse(page)
         good, every = np.zeros(len(nodes)), np.zeros(len(nodes))
         clean = [(i, t if t is None else t.replace("\x01", "").replace("\x02", "")) for i, t in runs]
         for i, t in runs:
@@ -309,6 +444,34 @@ def model(pages: int = 300) -> trees.Forest:
     return trees.fit(np.concatenate(xs), np.concatenate(ys), n_trees=60, depth=5, rate=0.25)
 
 
+#: Elements whose features are held together.
+AT_ONCE = 8_000
+
+
+def main_texts(pages: Iterable[str], forest: trees.Forest) -> list[str]:
+    """Main text of each page; small pages go through the trees together."""
+    out: list[str] = []
+    held, features, size = [], [], 0
+
+    def flush() -> None:
+        odds = forest.margin(np.concatenate(features))
+        cuts = np.cumsum([len(f) for f in features])[:-1]
+        out.extend(text_of(*p, decode(p[0], o)) for p, o in zip(held, np.split(odds, cuts), strict=True))
+        held.clear()
+        features.clear()
+
+    for page in pages:
+        held.append(parse(page))
+        features.append(node_features(*held[-1]))
+        size += len(features[-1])
+        if size >= AT_ONCE:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return out
+
+
 def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns ``keep`` and the main ``text`` of every page."""
     shared = df.sparkSession.sparkContext.broadcast(model())
@@ -319,11 +482,7 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
         for whole in batches:
             for at in range(0, whole.num_rows, 128):
                 batch = whole.slice(at, 128)
-                parsed = [parse(x.as_py() or "") for x in batch.column(0)]
-                features = [node_features(*p) for p in parsed]
-                odds = shared.value.margin(np.concatenate(features))
-                cuts = np.cumsum([len(f) for f in features])[:-1]
-                texts = [text_of(*p, decode(p[0], o)) for p, o in zip(parsed, np.split(odds, cuts), strict=True)]
+                texts = main_texts((x.as_py() or "" for x in batch.column(0)), shared.value)
                 yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(texts, pa.string())], [*batch.schema.names[1:], "text"])
 
-    return rows.mapInArrow(run, f"{kinds}, text string")
+    return rows.mapInArrow(trimmed(run), f"{kinds}, text string")
