@@ -7,19 +7,19 @@ hashes have it.  A shorter sequence is one shingle; no words give zero.
 
 Groups: two fingerprints link when they differ in at most ``MAX_BITS`` = 2
 bits.  Cut into three blocks, such a pair agrees in one block at least, so the
-distinct fingerprints are dealt three times, by block and its value, with that
-block rotated to the top.  A task sorts what it got by Gray rank, which puts
-equal top patterns side by side, and builds a hierarchy over the order: every
-node keeps the bits that all its members share (pattern and mask).  The search
+distinct fingerprints are dealt three times, by block and its value.  A task
+sorts what it got by Gray rank with the shared block on top, which puts equal
+top patterns side by side, and builds a hierarchy over the order: every node
+keeps the bits that all its members share (pattern and mask).  The search
 descends pairs of nodes and prunes a whole pair of groups once the shared bits
 differ in the top block or have gathered more than two differences.  What is
 left are links, and each task reduces them to at most one a fingerprint.
 
-A block value that very many distinct fingerprints share would be one large
-task.  Over ``HOT`` of them it is dealt instead by the radius-one rule:
-fingerprints at distance two or less meet at one they both reach by turning at
-most one bit, at most 65 fingerprints can meet there, and all that meet are
-within two of each other.  It needs no pair search and finds the same links.
+A block value that over ``HOT`` distinct fingerprints share would be one large
+task.  Its fingerprints are dealt three times more, by a third of the bits that
+are still open: two of them that are linked agree in one third at least.  That
+goes on while a group is crowded; with every turn a third of the open bits is
+shared, so a group of few open bits is small by itself.
 
 Fingerprints of texts whose sets of shingles are alike but not nearly equal
 differ in more bits than blocks can find (3 to 11 at a Jaccard similarity of
@@ -36,23 +36,21 @@ the smallest non-null identifier of its group (null if there is none).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import connected_components
-from quire.llm.scratch import materialize, partitions, text_hash
+from quire.llm.scratch import materialize, partitions, text_hash, trimmed
 
 SHINGLE = 3
 MAX_BITS = 2
 SEED = 42
-#: Widths of the three blocks of a fingerprint, from the top.
-BLOCKS = (22, 21, 21)
-#: Distinct fingerprints under one block value beyond which the radius-one rule takes over.
+#: Distinct fingerprints that share their dealt bits beyond which they are dealt again.
 HOT = 4096
 #: Children of a node of the hierarchy, and pairs of nodes looked at together.
 FANOUT, AT_ONCE = 16, 1 << 18
@@ -84,7 +82,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             found = np.fromiter((fingerprint(x.as_py()) for x in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], ["id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"id {kind}, text_hash long, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(run), f"id {kind}, text_hash string, fp long").withColumnRenamed("id", id_col)
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -147,52 +145,83 @@ def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray
     return root
 
 
-def _rotate(codes: np.ndarray, block: int) -> np.ndarray:
-    shift = sum(BLOCKS[:block])
-    return codes if not shift else (codes << np.uint64(shift)) | (codes >> np.uint64(64 - shift))
+@lru_cache(None)
+def _bits(path: str) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """(shared, open) bits, from the top, after the choices of ``path``: a digit for each third of the bits then open."""
+    if not path:
+        return (), tuple(range(63, -1, -1))
+    shared, rest = _bits(path[:-1])
+    size, more = divmod(len(rest), 3)
+    cuts = [0, size + (more > 0), 2 * size + (more > 0) + (more > 1), len(rest)]
+    a, b = cuts[int(path[-1])], cuts[int(path[-1]) + 1]
+    return shared + rest[a:b], rest[:a] + rest[b:]
+
+
+def _runs(bits: tuple[int, ...]) -> Iterator[tuple[int, int]]:
+    """(lowest bit, number) of each run of neighbours."""
+    start = 0
+    for i in range(1, len(bits) + 1):
+        if i == len(bits) or bits[i] != bits[i - 1] - 1:
+            yield bits[i - 1], i - start
+            start = i
+
+
+def _turned(codes: np.ndarray, path: str) -> np.ndarray:
+    """Codes with the bits that ``path`` shares on top and the others, in their order, below."""
+    out = np.zeros_like(codes)
+    for low, n in (r for part in _bits(path) for r in _runs(part)):
+        out = (out << np.uint64(n)) | ((codes >> np.uint64(low)) & np.uint64((1 << n) - 1)) if n < 64 else codes
+    return out
+
+
+def _mask(path: str) -> int:
+    """The shared bits as a signed 64-bit integer."""
+    m = sum(1 << b for b in _bits(path)[0])
+    return m - (1 << 64) if m >> 63 else m
 
 
 def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    held = [(np.array(b.column(0).to_pylist(), dtype="U64"), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
     if not held:
         return
-    blocks, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-    for block, width in enumerate(BLOCKS):
-        own = codes[blocks == block].view(np.uint64)
+    paths, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+    for path in np.unique(paths).tolist():
+        own = codes[paths == path].view(np.uint64)
         if len(own) < 2:
             continue
-        turned = _rotate(own, block)
+        turned = _turned(own, path)
         by = np.argsort(gray_rank(turned))
         own, turned = own[by], turned[by]
-        top = np.uint64(((1 << width) - 1) << (64 - width))
-        root = _roots(len(own), GrayIndex(turned).links(top))
+        width = len(_bits(path)[0])
+        root = _roots(len(own), GrayIndex(turned).links(np.uint64(((1 << width) - 1) << (64 - width))))
         linked = np.flatnonzero(root != np.arange(len(own)))
         yield pa.RecordBatch.from_arrays([pa.array(own[linked].view(np.int64)), pa.array(own[root[linked]].view(np.int64))], ["src", "dst"])
 
 
-def _block_value(fp, block: int):
-    return F.shiftrightunsigned(fp, 64 - sum(BLOCKS[: block + 1])).bitwiseAND((1 << BLOCKS[block]) - 1)
-
-
 def near_links(codes: DataFrame, hot: int = HOT) -> DataFrame:
     """Links ``src``, ``dst`` that connect the distinct ``fp`` of ``codes`` as all pairs within two bits do."""
-    n = partitions(codes.sparkSession)
-    fp = F.col("fp")
-    dealt = codes.select("fp", F.posexplode(F.array(*[_block_value(fp, b) for b in range(len(BLOCKS))])).alias("block", "value"))
-    large = dealt.groupBy("block", "value").count().where(F.col("count") > hot).select("block", "value", F.lit(True).alias("large"))
-    large = materialize(large, "large-blocks")
-    if large.isEmpty():
-        return _indexed(dealt, n)
-    marked = dealt.join(large, ["block", "value"], "left")
-    ball = F.array(fp, *[fp.bitwiseXOR(F.lit(1 << b if b < 63 else -(1 << 63)).cast("long")) for b in range(64)])
-    meet = marked.where("large").select("fp").distinct().select("fp", F.explode(ball).alias("meet"))
-    least = meet.groupBy("meet").agg(F.min("fp").alias("dst"), F.max("fp").alias("other")).where("dst != other")
-    met = meet.join(least, "meet").select(F.col("fp").alias("src"), "dst").where("src != dst").distinct()
-    return _indexed(marked.where("large is null"), n).unionByName(met)
-
-
-def _indexed(dealt: DataFrame, n: int) -> DataFrame:
-    return dealt.repartition(n, "block", "value").select("block", "fp").mapInArrow(_link_batches, "src long, dst long")
+    spark = codes.sparkSession
+    n = partitions(spark)
+    level, ready = _dealt(codes.withColumn("path", F.lit("")), [""]), None
+    while True:
+        large = materialize(level.groupBy("path", "value").count().where(F.col("count") > hot).select("path", "value"), "large-groups")
+        paths = sorted(r["path"] for r in large.select("path").distinct().collect() if len(_bits(r["path"])[1]) > MAX_BITS)  # at most three times those of the turn before
+        crowded = large.where(F.col("path").isin(paths)) if paths else large.where("false")
+        calm = level if not paths else level.join(crowded, ["path", "value"], "left_anti")
+        ready = calm if ready is None else ready.unionByName(calm)
+        if not paths:
+            break
+        level = materialize(_dealt(level.join(crowded, ["path", "value"], "left_semi").select("fp", "path"), paths), "dealt-again")
+    return ready.repartition(n, "path", "value").select("path", "fp").mapInArrow(trimmed(_link_batches), "src long, dst long")
+
+
+def _dealt(codes: DataFrame, paths: list[str]) -> DataFrame:
+    """``fp`` once for each third of the bits still open: ``path`` and ``value``, the bits shared there."""
+    if paths == [""]:
+        turn = lambda p: F.struct(F.lit(p).alias("path"), F.col("fp").bitwiseAND(F.lit(_mask(p)).cast("long")).alias("value"))
+        return codes.select("fp", F.explode(F.array(*[turn(p) for p in "012"])).alias("x")).select("fp", "x.path", "x.value")
+    turns = codes.sparkSession.createDataFrame([(p, f"{p}{i}", _mask(f"{p}{i}")) for p in paths for i in range(3)], "path string, to string, mask long")
+    return codes.join(F.broadcast(turns), "path").select("fp", F.col("to").alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -223,9 +252,9 @@ def _hashed(rows: DataFrame, size: int, make) -> DataFrame:
         for batch in batches:
             found = [(h, make(x).view(np.int64)) for h, x in zip(batch.column(0).to_pylist(), (shingle_hashes(t.as_py(), size) for t in batch.column(1)), strict=True) if len(x)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["h", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in found], pa.string()), pa.array([x for _, x in found], pa.list_(pa.int64()))], ["h", "x"])
 
-    return rows.mapInArrow(run, "h long, x array<long>")
+    return rows.mapInArrow(trimmed(run), "h string, x array<long>")
 
 
 def similar_links(df: DataFrame, size: int, least: float, text_col: str = "text", fewest: int = 1) -> DataFrame:
