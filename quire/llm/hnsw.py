@@ -22,7 +22,8 @@ results are merged.
 Defined results: vectors that are null, empty, zero, of another length than
 most of the table's, or hold null or non-finite components take no part;
 rows with a null identifier take no part either; equal rows (identifier and
-vector) count once.
+vector) count once.  Rows that share an identifier but not the vector are rows
+of their own: each is searched by itself and can be found by the others.
 """
 
 from __future__ import annotations
@@ -178,23 +179,23 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _build_shard(width: int, m: int):
     def run(table: pa.Table) -> pa.Table:
-        rep, vectors = table.column("rep").to_numpy(), _matrix(table.column("raw").combine_chunks(), width)
-        by = np.argsort(rep)
-        rep, vectors = rep[by], np.ascontiguousarray(vectors[by])
-        graph = Graph.build(vectors, rep, m)
+        rep, least, vectors = table.column("rep").to_numpy(), table.column("least").to_numpy(), _matrix(table.column("raw").combine_chunks(), width)
+        by = np.lexsort((rep, least))
+        rep, least, vectors = rep[by], least[by], np.ascontiguousarray(vectors[by])
+        graph = Graph.build(vectors, least, m)
         members = np.concatenate([a for a, _ in graph.layers]).astype("<i4")
         links = np.concatenate([b.ravel() for _, b in graph.layers]).astype("<i4")
         sizes = np.array([len(a) for a, _ in graph.layers], dtype="<i4")
-        parts = [rep.astype("<i8"), vectors, graph.levels.astype("<i4"), sizes, members, links]
+        parts = [rep.astype("<i8"), least.astype("<i8"), vectors, graph.levels.astype("<i4"), sizes, members, links]
         return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64())} | {k: pa.array([v.tobytes()], pa.binary()) for k, v in zip(_PARTS, parts, strict=True)})
 
     return run
 
 
-_PARTS = ("reps", "vectors", "levels", "sizes", "members", "links")
+_PARTS = ("reps", "leasts", "vectors", "levels", "sizes", "members", "links")
 
 
-def _load(row: dict, width: int, m: int) -> tuple[np.ndarray, np.ndarray, Graph]:
+def _load(row: dict, width: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Graph]:
     get = lambda k, kind: np.frombuffer(row[k], dtype=kind)
     vectors = get("vectors", "<f8").reshape(-1, width)
     x = vectors.astype(np.float32)
@@ -205,7 +206,7 @@ def _load(row: dict, width: int, m: int) -> tuple[np.ndarray, np.ndarray, Graph]
         wide = m if level else 2 * m
         layers.append((get("members", "<i4")[at : at + size], get("links", "<i4")[to : to + size * wide].reshape(size, wide)))
         at, to = at + size, to + size * wide
-    return get("reps", "<i8"), vectors, Graph(x, get("levels", "<i4"), layers)
+    return get("reps", "<i8"), get("leasts", "<i8"), vectors, Graph(x, get("levels", "<i4"), layers)
 
 
 def _search_batches(width: int, m: int, ef: int, k: int):
@@ -217,15 +218,15 @@ def _search_batches(width: int, m: int, ef: int, k: int):
                 if row["shard"] != shard:
                     shard = row["shard"]
                     loaded = _load({name: batch.column(j)[i].as_py() for j, name in enumerate(batch.schema.names) if name in _PARTS}, width, m)
-                reps, vectors, graph = loaded
+                reps, leasts, vectors, graph = loaded
                 ids, queries = np.array(row["ids"]), np.frombuffer(b"".join(row["raws"]), dtype="<f8").reshape(-1, width)
                 found = graph.search(queries, max(ef, k))
                 score = np.einsum("ij,ikj->ik", queries, vectors[np.maximum(found, 0)])
                 score[found < 0] = -np.inf
-                by = np.lexsort((reps[np.maximum(found, 0)], -score), axis=1)[:, :k]
+                by = np.lexsort((leasts[np.maximum(found, 0)], -score), axis=1)[:, :k]
                 found, score = np.take_along_axis(found, by, axis=1), np.take_along_axis(score, by, axis=1)
                 r, c = np.nonzero(np.isfinite(score))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(reps[found[r, c]], pa.int64()), pa.array(score[r, c])], ["query_id", "rep", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[r], pa.int64()), pa.array(reps[found[r, c]], pa.int64()), pa.array(leasts[found[r, c]], pa.int64()), pa.array(score[r, c])], ["key", "rep", "least", "score"])
 
     return run
 
@@ -265,26 +266,29 @@ def nearest(
         return empty
     width = common["w"]
     rows = materialize(usable.where(F.col("w") == width).select("id", _pack("v").alias("raw")).distinct(), "vectors")
-    first = rows.groupBy("raw").agg(F.min("id").alias("rep"))
-    distinct = materialize(first, "distinct-vectors")
+    first = rows.groupBy("raw").agg(F.min("id").alias("least"))
+    # Numbers of distinct vectors and, below, of queries; a written table holds them fixed.
+    distinct = materialize(first.withColumn("rep", F.monotonically_increasing_id()), "distinct-vectors")
     n = distinct.count()
     shards = max(1, -(-n // shard_size))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)))
+    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("raw"), F.lit(shards)))
     kind = "shard long, " + ", ".join(f"{p} binary" for p in _PARTS)
     index = materialize(dealt.groupBy("shard").applyInArrow(_build_shard(width, m), kind), "graphs")
 
-    asked = materialize(_raw(queries, id_col, vector_col).where(F.col("w") == width).select(F.col("id"), _pack("v").alias("raw")).distinct(), "queries")
+    asked = _raw(queries, id_col, vector_col).where(F.col("w") == width).select(F.col("id").alias("query_id"), _pack("v").alias("raw")).distinct()
+    asked = asked.join(distinct.select("raw", F.col("rep").alias("own")), "raw", "left")
+    asked = materialize(asked.withColumn("key", F.monotonically_increasing_id()), "queries")
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("id", "raw")).alias("q"))
-    block = block.select("block", F.col("q.id").alias("ids"), F.col("q.raw").alias("raws"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
+    block = asked.groupBy(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("key", "raw")).alias("q"))
+    block = block.select("block", F.col("q.key").alias("ids"), F.col("q.raw").alias("raws"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
     pairs = block.repartition(max(partitions(spark), shards), "shard", "block").join(index, "shard").sortWithinPartitions("shard")
-    near = pairs.mapInArrow(trimmed(_search_batches(width, m, ef, k + 1)), "query_id long, rep long, score double")
-    by_rep = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
-    best = near.withColumn("r", F.row_number().over(by_rep)).where(F.col("r") <= k + 1).drop("r")
+    near = pairs.mapInArrow(trimmed(_search_batches(width, m, ef, k + 1)), "key long, rep long, least long, score double")
+    by_rep = Window.partitionBy("key").orderBy(F.desc("score"), "least", "rep")
+    best = near.withColumn("r", F.row_number().over(by_rep)).where(F.col("r") <= k + 1).drop("r", "least")
 
     order = Window.partitionBy("raw").orderBy("id")
     members = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1).join(distinct, "raw").select("rep", "id")
-    expanded = best.join(members, "rep").where("id <> query_id")
-    final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    expanded = best.join(members, "rep").join(asked.select("key", "query_id", "own"), "key").where((F.col("id") != F.col("query_id")) | ~F.col("rep").eqNullSafe(F.col("own")))
+    final = Window.partitionBy("key").orderBy(F.desc("score"), "id")
     ranked = expanded.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
