@@ -63,9 +63,9 @@ def clustered(n, seed):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [10**9, 3])
+@pytest.mark.parametrize("hot", [10**9, 40])
 def test_links_connect_as_all_pairs_do(spark, hot):
-    """Both by the index and, for crowded blocks, by the radius-one rule."""
+    """Both when dealt once and, for crowded blocks, again by thirds of the open bits."""
     codes = clustered(400, 3)
     signed = [c - (1 << 64) if c >> 63 else c for c in codes]
     links = simhash.near_links(spark.createDataFrame([(c,) for c in signed], "fp long"), hot)
@@ -77,6 +77,24 @@ def test_links_connect_as_all_pairs_do(spark, hot):
     assert all(len(v) == 1 for v in mine.values()) and len(mine) == len(set(groups))
 
 
+def test_thirds_of_open_bits():
+    """Every path shares what its choices name; bits put on top keep all others; linked codes share a third at every turn."""
+    r = random.Random(2)
+    for path in ("0", "1", "2", "12", "201", "0120"):
+        shared, rest = simhash._bits(path)
+        assert sorted(shared + rest) == list(range(64)) and abs(len(simhash._bits(path[:-1])[1]) / 3 - (len(shared) - len(simhash._bits(path[:-1])[0]))) < 1
+        code = r.getrandbits(64)
+        turned = int(simhash._turned(np.array([code], dtype=np.uint64), path)[0])
+        assert [turned >> (63 - i) & 1 for i in range(64)] == [code >> b & 1 for b in shared + rest]
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b, path = a ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)), ""
+        while len(simhash._bits(path)[1]) > 2:
+            same = [p for p in (f"{path}{i}" for i in range(3)) if (a ^ b) & (simhash._mask(p) & (1 << 64) - 1) == 0]
+            assert same
+            path = r.choice(same)
+
+
 def test_index_finds_every_pair():
     codes = np.array(clustered(700, 9), dtype=np.uint64)
     codes = codes[np.argsort(simhash.gray_rank(codes))]
@@ -105,7 +123,7 @@ def brute_cut(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("hot_bytes", [suffix.HOT_BYTES, 0])
+@pytest.mark.parametrize("hot_bytes", [suffix.HOT_BYTES, 2000, 0])
 def test_repeats_removed_as_by_brute_force(docs, hot_bytes):
     rows = edge_texts()
     want = sorted((str(i), *w) for (i, _, _), w in zip(rows, brute_cut([t for _, t, _ in rows]), strict=True))

@@ -91,16 +91,27 @@ def whole(nodes, runs):
     return htmltext.text_of(nodes, runs, [True] * len(nodes))
 
 
-def test_main_text_of_unseen_generated_pages():
+@pytest.mark.parametrize(("family", "least"), [(htmltext.training_page, 92), (htmltext.table_page, 85), (htmltext.reference_page, 85)])
+def test_main_text_of_unseen_generated_pages(family, least):
     forest, right = htmltext.model(), 0
     for seed in range(5000, 5100):
-        page = htmltext.training_page(seed)[0]
+        page = family(seed)
         nodes, runs = htmltext.parse(page)
         want = whole(nodes, [(i, t if t is None or "\x01" in t else "") for i, t in runs]).replace("\x01", "").replace("\x02", "")
-        nodes, runs = htmltext.parse(page.replace("\x01", "").replace("\x02", ""))
-        got = htmltext.text_of(nodes, runs, htmltext.decode(nodes, forest.margin(htmltext.node_features(nodes, runs))))
-        right += got == want
-    assert right >= 92
+        right += htmltext.main_texts([page.replace("\x01", "").replace("\x02", "")], forest) == [want]
+    assert right >= least
+
+
+def test_time_grows_with_length_alone():
+    """Pages that would be read over and over: each takes seconds at a megabyte, not hours."""
+    import time
+
+    forest = htmltext.model()
+    hostile = ["<a " * 330_000, "<a " * 330_000 + "'>", "<a " * 330_000 + '">"', "<div>" * 100_000 + "<p>x</i>" * 50_000, "<i><table>" + "<div>" * 80_000 + "</i>" * 80_000, "<!--" * 250_000, "<a '>" * 200_000]
+    for page in hostile:
+        began = time.process_time()
+        htmltext.main_texts([page], forest)
+        assert time.process_time() - began < 40
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li><li><a href="/x">More</a></li></ul></nav>
@@ -170,6 +181,13 @@ def test_search_of_few_rows(spark):
     assert hnsw.nearest(df.where("vec_id = 0"), df.where("vec_id = 0")).count() == 0
 
 
+def test_rows_that_share_an_identifier(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in hnsw.nearest(df, df.where("vec_id = 0")).collect())
+    assert got == sorted([(1, 1, 2.0), (2, 2, 1.0), (3, 0, 0.0), (1, 2, 3.0), (2, 1, 1.0), (3, 0, 0.0)])
+
+
 def test_pseudo_likelihood_equals_brute_force_and_sums_to_one(languages, docs, no_docs):
     net = lm_score.train(languages, vocabulary=60)
     texts = [lm_score.words_of("the of zebra and to in"), lm_score.words_of("der")]
@@ -194,6 +212,21 @@ def test_pseudo_likelihood_equals_brute_force_and_sums_to_one(languages, docs, n
     assert lm_score.score(no_docs, lm_score.train(no_docs)).count() == 0
 
 
+def test_network_beats_word_frequencies_on_held_out_texts(spark):
+    """Words that follow one another in pairs: what stands beside a word tells more than how often it occurs."""
+    r = random.Random(8)
+    pairs = [(f"a{i}", f"b{i}") for i in range(30)]
+    text = lambda: " ".join(w for _ in range(40) for w in r.choice(pairs))
+    learnt = spark.createDataFrame([(i, text()) for i in range(1500)], "doc_id long, text string").repartition(3)
+    held = [text() for _ in range(40)]
+    net = lm_score.train(learnt, vocabulary=60, rounds=3)
+    counts = {bytes(x["word"]): x["n"] for x in lm_score.word_counts(learnt).collect()}
+    total = sum(counts.values())
+    unigram = np.mean([math.log(counts[w] / total) for t in held for w in lm_score.words_of(t)])
+    rows = lm_score.score(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), net).collect()
+    assert sum(x["log_prob"] for x in rows) / sum(x["n_words"] for x in rows) > unigram + 0.3
+
+
 def test_word_counts_cover_every_text(docs):
     from collections import Counter
 
