@@ -1,4 +1,4 @@
-"""Queries over the ten operators, with production parameters over whole tables."""
+"""Queries over the thirteen operators, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, hnsw, htmltext, langid, lm_score, quality, simhash, sstable, suffix
+from quire.llm import bpe, decontam, divergence, hnsw, htmltext, langid, lm_score, prefix_trie, quality, simhash, sstable, suffix, token_counts
 from quire.llm.scratch import bounded_batches, materialize
 
 END_ID = 2
@@ -77,6 +77,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(docs, lm_score.train(docs, spell=True))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -88,6 +100,9 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_lm_score": op10_lm_score,
+    "op11_token_counts": op11_token_counts,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_divergence": op13_divergence,
 }
 
 #: DuckDB's SQL for the operators that SQL can express.
@@ -112,5 +127,59 @@ it AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) A
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op12_prefix_trie": r"""
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS k,
+    struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT c, c - c % 100 AS base,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)) AS crc
+  FROM turns
+), shared AS (SELECT c, base, xor(crc, 4294967295) % 6 AS h FROM ids),
+full_turns AS (
+  SELECT s.c, t.k, t.said FROM shared s JOIN turns t ON t.c = s.base AND t.k <= s.h
+  UNION ALL
+  SELECT s.c, t.k, t.said FROM shared s JOIN turns t ON t.c = s.c AND t.k > s.h
+), numbered AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, said FROM full_turns),
+paths AS (
+  SELECT c, d, md5(list(said) OVER (PARTITION BY c ORDER BY d)::VARCHAR) AS node, length(said.t) AS chars FROM numbered
+  UNION ALL SELECT c, 0, 'root', 0 FROM shared
+), nodes AS (SELECT d, node, min(c) AS owner, count(*) AS members, any_value(chars) AS chars FROM paths GROUP BY ALL),
+up AS (
+  SELECT n.d, n.node, n.owner, n.members, n.chars, p.node AS parent FROM nodes n LEFT JOIN paths p ON p.c = n.owner AND p.d = n.d - 1
+), kids AS (SELECT d - 1 AS d, parent AS node, count(*) AS n FROM up WHERE d > 0 GROUP BY ALL),
+below AS (
+  SELECT a.d, a.node, sum((u.members - 1) * u.chars)::BIGINT AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM up u JOIN paths a ON a.c = u.owner AND a.d <= u.d LEFT JOIN kids k ON k.d = u.d AND k.node = u.node GROUP BY ALL
+), lasts AS (SELECT c, max(d) AS d FROM paths GROUP BY ALL),
+ends AS (SELECT d, node, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM lasts JOIN paths USING (c, d) GROUP BY ALL)
+SELECT u.owner AS conv_id, u.d::BIGINT AS depth, p.owner AS parent_conv_id, u.members AS n_convs, coalesce(k.n, 0)::BIGINT AS n_children, b.leaves AS n_leaves,
+  b.saved AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM up u JOIN below b USING (d, node) LEFT JOIN kids k USING (d, node) LEFT JOIN ends e USING (d, node) LEFT JOIN nodes p ON p.d = u.d - 1 AND p.node = u.parent
+""",
+    "op13_divergence": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), groups AS (SELECT DISTINCT lang, source FROM docs),
+words AS (SELECT i, lang, source, unnest(w) AS term FROM docs),
+kept AS (SELECT lang, term, count(*)::HUGEINT AS n FROM words GROUP BY ALL HAVING count(DISTINCT i) >= 10),
+sizes AS (SELECT lang, count(*)::HUGEINT AS v, sum(n)::HUGEINT AS total FROM kept GROUP BY ALL),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0)::HUGEINT AS n, k.n AS lang_n
+  FROM groups g JOIN kept k USING (lang) LEFT JOIN (SELECT lang, source, term, count(*) AS n FROM words GROUP BY ALL) c ON (c.lang, c.source, c.term) = (g.lang, g.source, k.term)
+), p AS (
+  SELECT lang, source, term, n, 1 + 1000000000 * (n + 2) // (sum(n) OVER (PARTITION BY lang, source)::HUGEINT + 2 * v) AS p, 1 + 1000000000 * (lang_n + 2) // (total + 2 * v) AS q
+  FROM cells JOIN sizes USING (lang)
+), apart AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON (x.lang, x.source, x.item) = (a.lang, a.source, b.source)),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+UNION ALL
+SELECT lang, source, 'term', item, value, (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM terms
+QUALIFY row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) <= 10
 """,
 }
