@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.functions import vector as vec
 from quire.operators import ngrams
+from quire.operators import relational as rel
 
 #: Length from which a word without a successor ends, the fewest words whose rate is judged, and the most words a second.
 LAST_WORD, RATE_WORDS, RATE_MOST = 0.3, 30, 8.0
@@ -23,6 +24,8 @@ EXTENT, EXTENT_FROM = 0.85, 60.0
 SHOWN_WORDS = 600
 #: Nearness from which two passages can match, and the coverage below which words give way to passages.
 PASSAGE_NEAR, WORD_COVERAGE = 0.6, 0.25
+#: Words of a bucket in which segments meet chapters and ranges.
+SPAN = 256
 
 
 def length(a: str, b: str) -> Column:
@@ -63,7 +66,7 @@ def word_seconds(segments: DataFrame, words: DataFrame, keys: list[str]) -> Data
 
 def render_timeline(seconds: DataFrame, spans: DataFrame, keys: list[str], chapter: str) -> DataFrame:
     """Places and times within each chapter (WIN17): the earliest second of a word, never stepping back; second 0 is no time."""
-    inside = seconds.join(spans, keys).where((F.col("w") >= F.col("start")) & (F.col("w") < F.col("start") + F.col("len")) & (F.col("sec") > 0))
+    inside = rel.interval_join(seconds.where("sec > 0"), spans.withColumn("stop", F.col("start") + F.col("len")), keys, "w", "start", "stop", SPAN)
     first = inside.groupBy(*keys, chapter, (F.col("w") - F.col("start")).alias("w")).agg(F.min("sec").alias("sec"))
     return first.withColumn("sec", F.max("sec").over(Window.partitionBy(*keys, chapter).orderBy("w")))
 
@@ -95,7 +98,8 @@ def sync_mode(chapters: DataFrame, timed: DataFrame, followed: DataFrame, keys:
 
 def fraction_anchors(segments: DataFrame, spans: DataFrame, keys: list[str], chapter: str) -> DataFrame:
     """Fractions of a chapter and the seconds at which they are read, in order (WIN16): keys, chapter, anchors; at least two, else nothing can be followed."""
-    s = segments.where("kind = 'aligned' and end_sec > 0").join(spans, keys).where((F.col("ee") > F.col("start")) & (F.col("es") < F.col("start") + F.col("len")))
+    ends = spans.withColumn("stop", F.col("start") + F.col("len"))
+    s = rel.span_join(segments.where("kind = 'aligned' and end_sec > 0"), ends, keys, "es", "ee", "start", "stop", SPAN)
     part = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col(c) - F.col("start")) / F.col("len")))
     point = lambda f, sec: F.struct(part(f).alias("frac"), F.col(sec).alias("sec"))
     both = s.groupBy(*keys, chapter).agg(F.array_sort(F.flatten(F.collect_list(F.array(point("es", "start_sec"), point("ee", "end_sec"))))).alias("anchors"))
@@ -156,7 +160,7 @@ def mapped_range(segments: DataFrame, ranges: DataFrame, keys: list[str]) -> Dat
 
     Within a segment both sides advance together, in whole tokens.
     """
-    s = segments.where("kind = 'aligned'").join(ranges, keys).where((F.col("es") < F.col("b")) & (F.col("ee") > F.col("a")))
+    s = rel.span_join(segments.where("kind = 'aligned'"), ranges, keys, "es", "ee", "a", "b", SPAN)
     at = lambda c: F.col("ts") + F.floor((c - F.col("es")) * length("ts", "te") / length("es", "ee")).cast("int")
     return s.groupBy(*keys, "a", "b").agg(F.min(at(F.greatest("a", "es"))).alias("t_start"), F.max(at(F.least("b", "ee"))).alias("t_end"))
 

@@ -88,6 +88,19 @@ def interval_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at:
     return p.join(s, [*keys, "__b"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("__b")
 
 
+def span_join(left: DataFrame, right: DataFrame, keys: Sequence[str], a: str, b: str, c: str, d: str, width: float) -> DataFrame:
+    """Half-open spans ``a`` to ``b`` with the spans ``c`` to ``d`` that they meet (JOI11): both end after the other starts.
+
+    Each side is dealt to the buckets of ``width`` that it touches, so that a key
+    with many spans is shared by tasks; a pair is kept in the bucket of the later
+    start only, where both are.  Spans with a null end meet nothing.
+    """
+    floor = lambda x: F.floor(F.col(x) / width)
+    dealt = lambda df, x, y: df.withColumn("__b", F.explode(F.sequence(floor(x), F.greatest(floor(x), floor(y)))))
+    both = dealt(left, a, b).join(dealt(right, c, d), [*keys, "__b"])
+    return both.where((F.col(c) < F.col(b)) & (F.col(d) > F.col(a)) & (F.col("__b") == F.greatest(floor(a), floor(c)))).drop("__b")
+
+
 def overlapping(df: DataFrame, start: str, end: str, a: str, b: str) -> DataFrame:
     """Rows whose span meets ``a`` to ``b``; where that is empty, every row (FIL12)."""
     return df.where((F.col(b) <= F.col(a)) | (F.col(end) > F.col(a)) & (F.col(start) < F.col(b)))

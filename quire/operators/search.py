@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions import vector as vec
+from quire.operators import relational as rel
 
 #: Characters shown around a hit, hits collected for each one asked for, and seconds within which two books' hits are one place.
 AROUND, RAW_FACTOR, SAME_PLACE = 50, 4, 1.5
 #: Passages asked for in a whole book, in a narrower scope, and given to an answer.
 WHOLE_K, NARROW_K, ANSWER_K = 8, 24, 8
+#: Words of a bucket in which spans of a book meet, about the length of a chunk.
+SPAN = 256
 
 
 def hits(chapters: DataFrame, keys: list[str], text: str, needle: str) -> DataFrame:
@@ -104,10 +107,10 @@ def citation_times(chunks: DataFrame, direct: DataFrame, segments: DataFrame, pa
     at = lambda c, name: spoken.select("book", F.col("pos").alias(c), F.col("s" if name == "start_sec" else "e").alias(name))
     timed = lambda df: df.join(at("x", "start_sec"), ["book", "x"]).join(at("y", "end_sec"), ["book", "y"]).select(*keys, "start_sec", "end_sec")
     own = chunks.join(direct, "book").where("a < words").withColumn("x", F.col("a")).withColumn("y", F.least("b", "words") - 1)
-    met = chunks.join(segments, "book").where((F.col("es") < F.col("b")) & (F.col("ee") > F.col("a")))
+    met = rel.span_join(chunks, segments, ["book"], "a", "b", "es", "ee", SPAN)
     part = lambda x: F.col("start_sec") + (F.col("end_sec") - F.col("start_sec")) * (x - F.col("es")) / (F.col("ee") - F.col("es"))
     line = met.groupBy(*keys).agg(F.min(part(F.greatest("a", "es"))).alias("start_sec"), F.max(part(F.least("b", "ee"))).alias("end_sec"))
-    paired = chunks.join(pairs, "book").where((F.col("fe") > F.col("a")) & (F.col("fs") < F.col("b"))).groupBy("book", *[k for k in keys if k != "book"]).agg(F.min("ts").alias("x"), (F.max("te") - 1).alias("y"))
+    paired = rel.span_join(chunks, pairs, ["book"], "a", "b", "fs", "fe", SPAN).groupBy("book", *[k for k in keys if k != "book"]).agg(F.min("ts").alias("x"), (F.max("te") - 1).alias("y"))
     out = None
     for df, method in ((timed(own), "direct"), (line, "segments"), (timed(paired), "pairs")):
         rows = df.withColumn("method", F.lit(method))
