@@ -12,6 +12,8 @@ from quire.operators import relational as rel
 BY_NUMBER, BY_TITLE, BY_WORD, BY_WORDS_MOST, BY_ALIGNMENT = 0.9, 0.8, 0.2, 0.7, 0.85
 #: Slack in seconds within which a file continues a narration, and the share of it that must have word times.
 CHAIN_SLACK, SYNC_LEAST = 2.0, 0.9
+#: Words of a bucket in which segments meet chapters.
+SPAN = 256
 
 
 def flattened(files: DataFrame, detected: DataFrame, work: str) -> DataFrame:
@@ -66,7 +68,8 @@ def timed_links(files: DataFrame, segments: DataFrame, spans: DataFrame, work: s
     n, start_sec; ``segments``: work, kind, es, start_sec; ``spans``: work, chapter, start, len.
     """
     heard = segments.where("kind = 'aligned' and start_sec > 0").select(work, "es", "start_sec")
-    starts = heard.join(spans, work).where((F.col("es") >= F.col("start")) & (F.col("es") < F.col("start") + F.col("len"))).groupBy(work, "chapter").agg(F.min("start_sec").alias("chapter_sec"))
+    inside = rel.interval_join(heard, spans.withColumn("stop", F.col("start") + F.col("len")), [work], "es", "start", "stop", SPAN)
+    starts = inside.groupBy(work, "chapter").agg(F.min("start_sec").alias("chapter_sec"))
     first = starts.groupBy(work).agg(F.min_by("chapter", "chapter_sec").alias("first"))
     several = files.groupBy(work).agg(F.count("*").alias("k")).where("k > 1").select(work)
     found = rel.as_of(files.join(several, work, "left_semi"), starts, [work], "start_sec", "chapter_sec", ["chapter"]).join(first, work)
