@@ -114,11 +114,14 @@ def islands(df: DataFrame, keys: Sequence[str], order: str, flag: Column, name:
 
 
 def reachable(edges: DataFrame, start: DataFrame, steps: int, src: str = "src", dst: str = "dst") -> DataFrame:
-    """``node`` and the least number of ``hops`` to it from ``start`` (node), in at most ``steps`` rounds of joins (ALN13)."""
+    """``node`` and the least number of ``hops`` to it from ``start`` (node), in at most ``steps`` rounds of joins.
+
+    Each round is written to the checkpoint folder, which must be set, so none is computed again by the next.
+    """
     both = edges.select(src, dst).unionByName(edges.select(F.col(dst).alias(src), F.col(src).alias(dst))).distinct()
-    seen = start.select("node").distinct().withColumn("hops", F.lit(0))
+    seen = start.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
     front = seen
     for i in range(1, steps + 1):
-        front = front.join(both, F.col("node") == F.col(src)).select(F.col(dst).alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(i))
+        front = front.join(both, F.col("node") == F.col(src)).select(F.col(dst).alias("node")).distinct().join(seen, "node", "left_anti").withColumn("hops", F.lit(i)).checkpoint()
         seen = seen.unionByName(front)
     return seen

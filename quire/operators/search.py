@@ -145,7 +145,8 @@ def chapter_refs(questions: DataFrame, id_: str, text: str, numbers: DataFrame,
 def named_entities(texts: DataFrame, names: DataFrame, work: str, most: int = 2, among: int = 8, least: int = 4) -> DataFrame:
     """Characters that a reader has met (RET11): the first two of a work's eight leading ones whose name, or another of it, stands in what was read.
 
-    ``texts``: work and content read so far; ``names``: work, rank, name, aliases.
+    ``texts``: work and content, a row for each text read so far; ``names``: work, rank, name, aliases.
+    Each text is looked through by itself, so a work of any size is shared by tasks.
     """
     top = names.where(F.col("rank") <= among).select(work, "rank", "name", F.explode(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("called")).where(F.length("called") >= least)
     met = top.join(texts, work).where(F.contains("content", F.col("called"))).select(work, "rank", "name").distinct()

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.operators import alignment as al
-from quire.operators import linking
+from quire.operators import linking, paths
 from quire.plans import synchrony
 from quire.plans.base import query, table
 from quire.plans.entities import _NORM
@@ -97,3 +97,32 @@ def audio_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = f.select("work", "book", F.when(F.col("tax") > 0.04, "").otherwise(F.concat(F.lit("file "), n)).alias("title"), F.concat(F.lit("f"), n, F.lit(".mp3")).alias("filename"))
     d = table(spark, sf_dir, "part").where("p_size % 3 > 0").select(F.col("p_partkey").alias("book"), F.explode(F.sequence(F.lit(0), F.col("p_size") % 3 - 1)).alias("idx"))
     return linking.flattened(f, d.withColumn("title", F.concat(F.lit("Chapter "), (F.col("idx") + 1).cast("string"))), "work")
+
+
+#: Lines of an order as alignments between the books of a work, of two units.
+_LINKS = "(SELECT l_orderkey AS work, CASE l_returnflag WHEN 'N' THEN 'word' ELSE 'paragraph' END AS unit, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS INT) AS id, CAST(l_partkey % 6 AS INT) AS from_book, CAST(l_suppkey % 6 AS INT) AS to_book FROM lineitem)"
+_EITHER = f"(SELECT work, unit, id, from_book AS src, to_book AS dst, false AS reversed FROM {_LINKS} WHERE from_book <> to_book UNION ALL SELECT work, unit, id, to_book, from_book, true FROM {_LINKS} WHERE from_book <> to_book)"
+
+
+def book_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice"))
+    unit = F.when(F.col("l_returnflag") == "N", "word").otherwise("paragraph")
+    return li.select(F.col("l_orderkey").alias("work"), unit.alias("unit"), place.alias("id"), (F.col("l_partkey") % 6).cast("int").alias("from_book"), (F.col("l_suppkey") % 6).cast("int").alias("to_book"))
+
+
+@query(f"""WITH RECURSIVE s AS {_EITHER}, w(work, unit, a, b, hops, ids, reversed, books) AS (SELECT work, unit, src, dst, 1, [id], [reversed], [src, dst] FROM s UNION ALL SELECT w.work, w.unit, w.a, s.dst, w.hops + 1, list_append(w.ids, s.id), list_append(w.reversed, s.reversed), list_append(w.books, s.dst) FROM w JOIN s ON s.work = w.work AND s.unit = w.unit AND s.src = w.b WHERE w.hops < 6 AND NOT list_contains(w.books, s.dst))
+SELECT work, unit, a, b, hops, array_to_string(ids, ',') AS ids, array_to_string(list_transform(reversed, lambda x: CASE WHEN x THEN 'back' ELSE 'on' END), ',') AS turns FROM w QUALIFY row_number() OVER (PARTITION BY work, unit, a, b ORDER BY hops, w.ids, reversed) = 1""")
+def alignment_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALN13: the shortest way between any two books of a work over alignments of one unit, with the way itself."""
+    found = paths.alignment_paths(book_links(spark, sf_dir))
+    turns = F.array_join(F.transform("reversed", lambda x: F.when(x, "back").otherwise("on")), ",")
+    return found.select("work", "unit", "a", "b", "hops", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), turns.alias("turns"))
+
+
+@query(f"SELECT work, unit, a, b, min(id) AS id, arg_min(reversed, (id, reversed)) AS reversed FROM (SELECT l.work, l.unit, l.a, l.b, s.id, s.reversed FROM (SELECT DISTINCT work, unit, 0 AS a, CAST(k AS INT) AS b FROM {_LINKS}, unnest(range(1, 6)) x(k)) l JOIN {_EITHER} s ON s.work = l.work AND s.unit = l.unit AND s.src = l.a AND s.dst = l.b) GROUP BY ALL")
+def alignment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OTH12: the alignment between the first book of a work and each other, in whichever direction it is kept."""
+    links = book_links(spark, sf_dir)
+    asked = links.select("work", "unit").distinct().select("work", "unit", F.lit(0).alias("a"), F.explode(F.sequence(F.lit(1), F.lit(5))).alias("b"))
+    return paths.direct(links, asked)

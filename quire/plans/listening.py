@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import relational as rel
 from quire.plans.base import query, table
+from quire.plans.upkeep import _checkpoints
 
 
 def listening_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,5 +232,6 @@ def changed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 r(node, hops) AS (SELECT 0, 0 UNION SELECT b, hops + 1 FROM r JOIN both_ways ON node = a WHERE hops < 2) SELECT node, min(hops) AS hops FROM r GROUP BY 1""")
 def alignment_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ALN13: fewest hops from one book over the links between books."""
+    _checkpoints(spark)
     edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), (F.col("n_regionkey") + 100).alias("dst"))
     return rel.reachable(edges, spark.range(1).select(F.col("id").cast("int").alias("node")), 2)

@@ -149,17 +149,21 @@ def question_chapter_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sr.chapter_refs(q, "id", "said", numbers, F.lit(40)).select("id.conv_id", "id.turn", "idx")
 
 
-@query(f"""WITH t AS (SELECT source, string_agg(text, chr(10) ORDER BY doc_id) AS content FROM documents WHERE doc_id < 400 GROUP BY 1), n AS (SELECT p_brand AS b, p_name AS name, ['thand', 'tion', 'ou', 'quelle'][1 + p_partkey % 4] AS alias, CAST(row_number() OVER (ORDER BY p_partkey) AS INT) AS rank FROM part WHERE p_partkey < 8)
-SELECT source, rank, name FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rank) AS k FROM t JOIN n ON (length(alias) >= 4 AND contains(content, alias)) OR (length(name) >= 4 AND contains(content, name))) WHERE k <= 2""")
+_CALLED = "['thand', 'tion', 'ou', 'quelle'][1 + p_partkey % 4]"
+
+
+@query(f"""WITH s AS (SELECT source, row_number() OVER (ORDER BY source) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT source FROM documents)), p AS (SELECT source, p_name AS name, {_CALLED} AS alias, CAST(row_number() OVER (PARTITION BY source ORDER BY p_partkey) AS INT) AS rank FROM part JOIN s ON p_partkey % n = i),
+m AS (SELECT DISTINCT source, rank, name FROM p JOIN documents USING (source) WHERE rank <= 8 AND ((length(alias) >= 4 AND contains(text, alias)) OR (length(name) >= 4 AND contains(text, name)))) SELECT source, rank, name FROM m QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank) <= 2""")
 def met_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RET11: characters that stand in what was read."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 400")
-    listed = F.array_sort(F.collect_list(F.struct("doc_id", "text")))
-    t = d.groupBy("source").agg(F.array_join(F.transform(listed, lambda x: x["text"]), "\n").alias("content"))
-    p = table(spark, sf_dir, "part").where("p_partkey < 8")
+    """RET11: characters that stand in what was read; a source is a work, and each has the parts whose number leaves its own place as characters."""
+    d = table(spark, sf_dir, "documents")
+    sources = d.select("source").distinct()
+    places = sources.withColumn("i", F.row_number().over(Window.orderBy("source")) - 1)
     alias = F.get(F.array(*[F.lit(x) for x in ("thand", "tion", "ou", "quelle")]), (F.col("p_partkey") % 4).cast("int"))
-    names = t.select("source").crossJoin(F.broadcast(p.select((F.col("p_partkey") + 1).cast("int").alias("rank"), F.col("p_name").alias("name"), F.array(alias).alias("aliases"))))
-    return sr.named_entities(t, names, "source")
+    n = sources.count()  # one row a work
+    p = table(spark, sf_dir, "part").withColumn("i", (F.col("p_partkey") % n).cast("int")).join(places, "i")
+    names = p.select("source", F.row_number().over(Window.partitionBy("source").orderBy("p_partkey")).alias("rank"), F.col("p_name").alias("name"), F.array(alias).alias("aliases"))
+    return sr.named_entities(d.select("source", F.col("text").alias("content")), names, "source")
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 6 = 0 THEN vec_id % 64 ELSE len(embedding) END AS size, vec_id % 6 = 0 AS made FROM embeddings")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.operators import relational as rel
-from quire.plans.base import query, table
-from quire.sources import readers
+from quire.plans.base import query, shared_folder, table
+from quire.sources import bookfiles, readers
 
 _EXT = "['epub','azw3','pdf','txt','mp3','ogg','zip'][CAST(1 + doc_id % 7 AS INT)]"
 _PATH = f"(SELECT doc_id, '/library/' || source || '/' || lang || '/The_Book-' || doc_id || '.' || {_EXT} AS path, {_EXT} AS ext FROM documents)"
@@ -53,3 +55,14 @@ def series_from_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.when(F.col("p_size") % 2 == 0, F.concat("p_name", F.lit(", Book "), F.col("p_size").cast("string"))).otherwise(F.col("p_name"))
     s = table(spark, sf_dir, "part").select("p_partkey", tx.series_of(title).alias("s"))
     return s.select("p_partkey", F.col("s.name").alias("series"), F.col("s.index").alias("idx"))
+
+
+@query("""SELECT doc_id // 100 AS work, 'text/chapter-' || lpad(CAST(row_number() OVER (PARTITION BY doc_id // 100 ORDER BY doc_id) AS VARCHAR), 3, '0') || '.html' AS member, CAST(strlen(html) AS BIGINT) AS size, sha256(html) AS sha256, 'ok' AS state FROM (SELECT doc_id, '<h1>' || doc_id || '</h1><p>' || coalesce(text, '') || '</p>' AS html FROM documents)""")
+def archived_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC12, SRC14, SRC15: every hundred documents packed as a book's archive, read again as a source and held against the manifest."""
+    root = f"{shared_folder(spark)}/archives-{uuid.uuid4().hex[:12]}"
+    html = F.concat(F.lit("<h1>"), F.col("doc_id").cast("string"), F.lit("</h1><p>"), F.coalesce("text", F.lit("")), F.lit("</p>"))
+    chapters = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).alias("work"), F.col("doc_id").alias("idx"), F.col("doc_id").cast("string").alias("title"), html.alias("html"))
+    bookfiles.pack(chapters, root, "work").write.format("noop").mode("overwrite").save()
+    found = bookfiles.read(spark, "archive", root).where("state <> 'manifest'")
+    return found.select(F.regexp_extract("path", r"([0-9]+)\.abook$", 1).cast("long").alias("work"), "member", "size", "sha256", "state")
