@@ -77,7 +77,9 @@ def aligned_chapters(pairs: DataFrame, keys: list[str], a: str, b: str, most_cel
         for xs, ys in batches:
             yield pd.Series([best_path(list(x), list(y)) if len(x) * len(y) <= most_cells else None for x, y in zip(xs, ys, strict=True)], dtype=object)
 
-    both = pairs.where((F.size(a) > 0) & (F.size(b) > 0)).select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b"), path(a, b).alias("__at"))
+    # The work on a chapter grows with its length squared, so chapters are dealt anew rather than left where their texts lie.
+    dealt = pairs.where((F.size(a) > 0) & (F.size(b) > 0)).select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b")).repartition(*keys)
+    both = dealt.withColumn("__at", path("__a", "__b"))
     equal = F.filter(F.sequence(F.lit(0), F.size("__a") - 1), lambda i: (F.get("__at", i) >= 0) & (F.get("__a", i) == F.get("__b", F.get("__at", i))))
     same = F.when(F.col("__at").isNotNull(), F.size(equal).cast("long"))
     at = F.transform("__at", lambda j: F.when(j >= 0, j))

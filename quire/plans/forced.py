@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import forced, segment
 from quire.plans.base import query, table
+from quire.plans.upkeep import _checkpoints
 
 KEYS = ["doc_id", "line_idx"]
 
@@ -25,7 +26,8 @@ def spoken(words: str):
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = segment.lines(table(spark, sf_dir, "documents"), ["doc_id"]).select(*KEYS, forced.comparable("line").alias("a"))
-    return forced.aligned_chapters(lines.withColumn("b", spoken("a")), KEYS, "a", "b")
+    _checkpoints(spark)
+    return forced.aligned_chapters(lines.withColumn("b", spoken("a")), KEYS, "a", "b").checkpoint()
 
 
 @query()
