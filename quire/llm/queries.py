@@ -74,7 +74,8 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs, spell=True))
+    net, rows = lm_score.fit(docs, spell=True)
+    return lm_score.score_numbered(rows, net)
 
 
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,13 +240,38 @@ def test_training_covers_every_position(spark, docs):
     from .conftest import edge_texts
 
     net = lm_score.Network.create([(b"one", 3), (b"two", 1)], 10)
-    shared = spark.sparkContext.broadcast(net)
+    border, shared = len(net.log_class), spark.sparkContext.broadcast(net)
     kind = "block long, task long, seen long, part binary"
     short = [("one",), ("one two",), ("one two three",), ("a b c d e f",), ("a b c d e f g h",)]
     for df, want in ((docs, sum(len(lm_score.words_of(t)) for _, t, _ in edge_texts())), (spark.createDataFrame(short, "text string"), 20)):
-        for round_ in range(lm_score.ROUNDS):
-            parts = df.select("text").mapInArrow(lm_score._train_batches(shared, round_, 1 << 30), kind)
-            assert parts.agg(F.sum("seen")).first()[0] == want
+        rows = lm_score.numbered(df, net)
+        for shard, chunk in ((lm_score.SHARD, lm_score.CHUNK), (want // 12, 3)):
+            runs = lm_score.dealt(rows, want, border, shard, chunk)
+            inner = runs.selectExpr("sum(length(codes) div 4 - 4) AS n").first()["n"]
+            parts = runs.groupBy("part", "shard").applyInArrow(lm_score._train_shard(shared, 0, 1 << 30), kind)
+            assert inner == want == parts.agg(F.sum("seen")).first()[0]
+
+
+def test_network_and_scores_do_not_depend_on_partitions(spark, languages):
+    rows = languages.select("doc_id", "text").unionByName(spark.createDataFrame([(7, "of the to")] * 30 + [(None, "in that")], "doc_id long, text string"))
+    found = []
+    for n in (1, 4, 16, 64):
+        net, codes = lm_score.fit(rows.repartition(n), vocabulary=60, spell=True, shard=500)
+        scored = lm_score.score_numbered(codes, net).collect()
+        found.append(sorted((str(r["doc_id"]), r["log_prob"]) for r in scored))
+        assert sorted((str(r["doc_id"]), round(r["log_prob"], 6)) for r in lm_score.score(rows, net).collect()) == [(i, round(x, 6)) for i, x in found[-1]]
+    for other in found[1:]:
+        assert [i for i, _ in other] == [i for i, _ in found[0]]
+        assert [x for _, x in other] == pytest.approx([x for _, x in found[0]], abs=1e-3)
+
+
+def test_a_text_of_many_runs(spark):
+    text = " ".join(f"w{i % 37}" for i in range(130_000))
+    df = spark.createDataFrame([(1, text), (2, "w1 w2")], "doc_id long, text string")
+    net, rows = lm_score.fit(df, vocabulary=30)
+    got = {r["doc_id"]: r for r in lm_score.score_numbered(rows, net).collect()}
+    assert got[1]["n_words"] == 130_000 and got[2]["log_prob"] < 0
+    assert lm_score.dealt(rows, 130_002, len(net.log_class)).count() == 4
 
 
 def test_words_outside_the_vocabulary_have_probabilities_of_their_own(spark):
