@@ -96,10 +96,15 @@ def trimmed(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Itera
         try:
             yield from run(*args)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return mapped
+
+
+def give_back() -> None:
+    """Return memory that this process has freed to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim is not None:
+        trim(0)
