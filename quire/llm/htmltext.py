@@ -1,10 +1,12 @@
 """Main text of web pages by boosted trees over DOM nodes and a tree-wide choice.
 
 A page is read into a tree of elements (unclosed and misnested tags are
-allowed).  Each element becomes features: its tag, tokens of class, id and
-role, those of its ancestors, density of text, links and tags in its subtree,
-depth, and statistics of its siblings.  Boosted trees give each element the
-log-odds that its own text is main text.  The choice is made for the whole
+allowed).  What stands free in an element that is no part of a line, text and
+parts of lines up to the next block, is a node of its own below it, so it can go
+while the blocks beside it stay.  Each node becomes features: its tag, tokens of
+class, id and role, those of its ancestors, density of text, links, tags and
+separators in its subtree, depth, and statistics of its siblings.  Boosted trees
+give each node the log-odds that its own text is main text.  The choice is made for the whole
 tree: dropping an element drops all below it, and of all such choices the one
 with the largest total log-odds is taken, so no element is kept inside a
 dropped one.
@@ -12,8 +14,8 @@ dropped one.
 There are no labelled pages, so the trees are fitted on generated pages whose
 blocks are known: of a current template with and without telling tags and
 class names (``training_page``), laid out by tables as pages once were
-(``table_page``), and in the manner of manuals and encyclopaedias
-(``reference_page``).
+(``table_page``), in the manner of manuals and encyclopaedias
+(``reference_page``), and with menus and footers as free text (``stray_page``).
 
 Defined results: null, empty and text-free pages give the empty text.  Rows are
 independent; repeated rows repeat; null page_id and url are carried along.
@@ -51,8 +53,12 @@ SCOPES = {"table", "td", "th", "ul", "ol", "div", "section", "article", "main",
 
 TAG_KINDS = (
     {"p"}, {"h1"}, {"h2", "h3", "h4", "h5", "h6"}, {"li", "dd", "dt"}, {"ul", "ol", "dl"}, {"div"}, {"section"}, {"article"}, {"main"}, {"nav", "menu"}, {"aside"},
-    {"footer"}, {"header"}, {"form", "button", "fieldset", "label", "dialog", "legend"}, {"table", "tbody", "tr", "td", "th"}, {"blockquote", "pre", "figure", "figcaption"}, {"body", "html"}, {"head", "title"},
+    {"footer"}, {"header"}, {"form", "button", "fieldset", "label", "dialog", "legend"}, {"table", "tbody", "tr", "td", "th"}, {"blockquote", "pre", "figure", "figcaption"}, {"body", "html"}, {"head", "title"}, {"#free"},
 )
+#: Tag of a node for what stands free in a block.
+FREE = "#free"
+_SEPARATOR = re.compile("[|·•»›]|&(?:middot|bull|raquo|rsaquo);")
+_LEGAL = re.compile(r"©|&copy;|\bcopyright\b|\ball rights reserved\b", re.I)
 #: Tokens of class, id and role by what they tell of a block.
 TOKEN_KINDS = (
     {"article", "content", "post", "entry", "story", "main", "text", "body", "prose"},
@@ -147,9 +153,31 @@ class _Open:
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
-    """Elements in page order and (element, raw text) of each run; a run of None breaks a block."""
+    """Nodes in page order and (node, raw text) of each run; a run of None breaks a block."""
     nodes = [Node("html", -1, 0)]
     runs: list[tuple[int, str | None]] = []
+    free: dict[int, int] = {}  # the open node of free content of each block
+
+    def below(parent: int, tag: str, tokens: frozenset = frozenset()) -> int:
+        nodes.append(Node(tag, parent, nodes[parent].depth + 1, tokens))
+        nodes[parent].children.append(len(nodes) - 1)
+        return len(nodes) - 1
+
+    def line(here: int) -> int:
+        """Where text or a part of a line in ``here`` belongs."""
+        if nodes[here].tag in INLINE:
+            return here
+        if here not in free:
+            free[here] = below(here, FREE)
+        return free[here]
+
+    def block() -> None:
+        """A block begins: what is free in the block around it ends."""
+        for i in reversed(opened.stack):
+            free.pop(i, None)
+            if nodes[i].tag not in INLINE:
+                break
+
     opened, text, tags, jump = _Open(), 0, markup(page), None
     while True:
         try:
@@ -158,7 +186,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             break
         jump = None
         if start > text:
-            runs.append((opened.stack[-1], page[text:start]))
+            here = opened.stack[-1]
+            runs.append((line(here) if here in free or not page[text:start].isspace() else here, page[text:start]))
         text = stop
         if tag is None:
             continue
@@ -173,6 +202,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
             opened.close(nodes, {tag}, {"table", "td"} - {tag})
             continue
         if tag in VOID or tag == "html":
+            if tag == "hr":
+                block()
             continue
         if tag in CLOSES:
             opened.close(nodes, CLOSES[tag], SCOPES - CLOSES[tag])
@@ -181,11 +212,13 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
         if tag == "body" and len(opened.stack) > 1:
             opened.close(nodes, {"head"}, set())
         here = opened.stack[-1]
-        nodes.append(Node(tag, here, nodes[here].depth + 1, _attribute_tokens(page[name_end : stop - 1])))
-        nodes[here].children.append(len(nodes) - 1)
-        opened.push(len(nodes) - 1, tag)
+        if tag in INLINE:
+            here = line(here)
+        else:
+            block()
+        opened.push(below(here, tag, _attribute_tokens(page[name_end : stop - 1])), tag)
     if text < len(page):
-        runs.append((opened.stack[-1], page[text:]))
+        runs.append((line(opened.stack[-1]), page[text:]))
     return nodes, runs
 
 
@@ -211,7 +244,7 @@ def node_features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.n
         inside[i] = node.tag == "a" or (p >= 0 and inside[p])
         if p >= 0:
             above[i] = above[p] | flags[p]
-    own, chars, links, words, marks, tags, longest, first = ([0] * n for _ in range(8))
+    own, chars, links, words, marks, tags, longest, first, apart, legal = ([0] * n for _ in range(10))
     total = 0
     first = [-1] * n
     for i, text in runs:
@@ -222,6 +255,8 @@ def node_features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.n
         words[i] += text.count(" ") + 1
         marks[i] += text.count(".") + text.count(",")
         longest[i] = max(longest[i], size)
+        apart[i] += len(_SEPARATOR.findall(text))
+        legal[i] += _LEGAL.search(text) is not None
         if inside[i]:
             links[i] += size
         if first[i] < 0:
@@ -234,6 +269,8 @@ def node_features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.n
         links[p] += links[i]
         words[p] += words[i]
         marks[p] += marks[i]
+        apart[p] += apart[i]
+        legal[p] += legal[i]
         tags[p] += tags[i] + 1
         longest[p] = max(longest[p], longest[i])
         if first[i] >= 0 and (first[p] < 0 or first[i] < first[p]):
@@ -249,7 +286,7 @@ def node_features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.n
         node.own = size
     p = np.maximum(parents, 0)
     root = np.array(parents) < 0
-    chars, links, words, marks, tags, own, longest, first, same = (np.array(v, dtype=float) for v in (chars, links, words, marks, tags, own, longest, first, same))
+    chars, links, words, marks, tags, own, longest, first, same, apart, legal = (np.array(v, dtype=float) for v in (chars, links, words, marks, tags, own, longest, first, same, apart, legal))
     born = np.array([len(x.children) for x in nodes], dtype=float)
     k = np.where(root, 1, born[p])
     mean = np.where(root, chars, (chars[p] - own[p]) / np.maximum(1, k))
@@ -258,7 +295,7 @@ def node_features(nodes: list[Node], runs: list[tuple[int, str | None]]) -> np.n
     numbers = [
         depth, np.log1p(chars), np.log1p(own), links / some, tags / np.maximum(1, words), marks / np.maximum(1, words), chars / np.maximum(1, words), np.log1p(born), np.log1p(longest),
         np.log1p(k), same / np.maximum(1, k), np.log1p(mean), chars / np.maximum(1, mean), np.maximum(first, 0) / max(1, total), chars / max(1, total),
-        np.where(root, 0, links[p] / some[p]), np.where(root, 0, np.log1p(chars[p])),
+        np.where(root, 0, links[p] / some[p]), np.where(root, 0, np.log1p(chars[p])), apart / np.maximum(1, words), legal / np.maximum(1, words),
     ]
     bits = np.arange(len(TAG_KINDS) + len(TOKEN_KINDS))
     spread = lambda v: ((np.array(v)[:, None] >> bits) & 1).astype(np.float32)
@@ -325,7 +362,8 @@ def training_page(seed: int) -> str:
         lambda: f'<div class="{r.choice(["share", "social", "breadcrumb", "pagination"])}">{link()} {link()}</div>',
     ]
     note = lambda p: r.choice(notes)() if r.random() < p else ""
-    para = lambda: f"<p>{main(w(1, 90))}" + ("</p>" if r.random() < 0.95 else "")
+    mark = lambda: (lambda t: f"{main(w(1, 30))} <{t}{' href=/x' if t == 'a' else ''}>{main(w(1, 5))}</{t}> ")(r.choice(["a", "a", "em", "i", "code", "span"]))
+    para = lambda: "<p>" + "".join(mark() for _ in range(r.choice([0, 0, 0, 0, 1, 2, 4]))) + main(w(1, 90)) + ("</p>" if r.random() < 0.95 else "")
     body = [f"<h1>{main(w(2, 12))}</h1>"] if r.random() < 0.9 else []
     for _ in range(r.randint(1, 14)):
         kind = r.random()
@@ -405,7 +443,7 @@ def reference_page(seed: int) -> str:
         for _ in range(r.randint(1, 4)):
             kind = r.random()
             if kind < 0.65:
-                parts.append(f"<p>{_main(w(12, 90))}</p>")
+                parts.append(f"<p>{_main(w(12, 90))}{''.join(f' <a href=#n{j}>{_main(w(1, 3))}</a> {_main(w(2, 20))}' for j in range(r.choice([0, 0, 1, 3])))}</p>")
             elif kind < 0.75:
                 parts.append(f"<pre><code>{_main(w(4, 30))}</code></pre>")
             elif kind < 0.87:
@@ -422,11 +460,42 @@ def reference_page(seed: int) -> str:
     return f"<!doctype html><html><head><title>{w(1, 6)}</title></head><body>{before}<div id=content>{title}{main}{tags}</div>{after}{foot}</body></html>"
 
 
+def stray_page(seed: int) -> str:
+    """A generated page whose menus, footers and some of the main text stand free beside the blocks, short articles among them."""
+    r = random.Random(seed)
+    w = lambda a, b: _prose(r, a, b)
+    bare = lambda a, b: w(a, b).rstrip(".?")
+    between = r.choice([" | ", " · ", " / ", " &middot; ", " » ", " - ", " "])
+    link = lambda: f'<a href="/{r.randint(1, 99)}">{bare(1, 2)}</a>'
+    menu = lambda: between.join((r.choice([link, link, lambda: bare(1, 2)]) if r.random() < 0.2 else kind)() for n in [r.randint(2, 8)] for kind in [r.choice([link, lambda: bare(1, 2)])] for _ in range(n))
+    legal = lambda: r.choice([f"Copyright {r.randint(1990, 2026)} {bare(1, 3)}", f"&copy; {r.randint(1990, 2026)} {bare(1, 3)}. All rights reserved.", f"© {bare(1, 4)}", menu(), f"{bare(1, 3)} {link()}"])
+    top = r.choice(["", "<br>", "<hr>", " "]).join(x for x in (f"<b>{bare(1, 3)}</b>" if r.random() < 0.2 else "", menu()) if x) if r.random() < 0.7 else ""
+    parts = [f"<h1>{_main(bare(1, 8))}</h1>"] if r.random() < 0.6 else []
+    for _ in range(r.choice([1, 1, 1, 2, 2, 3, 5, 9])):
+        low, high = r.choice([(2, 8), (6, 30), (15, 80)])
+        text = _main(w(low, high))
+        parts.append(r.choice([f"<p>{text}</p>", f"<p>{text}</p>", f"<p>{text}", f"<div>{text}</div>", f"<p>{text}<br>{_main(w(3, 20))}</p>", f"<p><b>{_main(bare(1, 3))}</b> {text}</p>", f'<p>{_main(bare(1, 12))} <a href="/{r.randint(1, 99)}">{_main(bare(1, 4))}</a> {text}</p>', f"<p>{text} <{(t := r.choice(['i', 'em', 'a', 'span', 'code']))}>{_main(bare(1, 4))}</{t}></p>"]))
+        if r.random() < 0.12:
+            parts.append(f"{_main(w(5, 40))}")
+    inside = "".join(parts)
+    inside = r.choice([f"<article>{inside}</article>", f"<article>{inside}</article>", f"<main>{inside}</main>", f'<div class="{r.choice(["content", "post", "story"])}">{inside}</div>', f"<div>{inside}</div>", f"<article>{_main(w(8, 50))}{inside}</article>", inside])
+    boxed = lambda text, *boxes: r.choice([lambda b, n: f"<{b}>{text}</{b}>", lambda b, n: f'<div class="{n}">{text}</div>'])(*r.choice(boxes))
+    if r.random() < 0.3:
+        top = boxed(top or menu(), ("nav", "menu"), ("header", "site-header"), ("nav", "navbar"))
+    if r.random() < 0.3:
+        top += boxed(w(3, 30), ("aside", "ad"), ("aside", "sidebar"), ("form", "notice"))
+    foot = r.choice([f"{legal()}{r.choice(['', ' &middot; ' + w(3, 25)])}", w(3, 25)])
+    foot = boxed(foot, ("footer", "footer"), ("footer", "site-footer")) if r.random() < 0.45 else r.choice(["", "<hr>", "<br>"]) + legal() if r.random() < 0.75 else ""
+    beyond = legal() if r.random() < 0.3 else ""
+    return f"<html><head><title>{bare(1, 5)}</title></head><body>{top}{r.choice(['', ' ', '<br>'])}{inside}{foot}</body></html>{beyond}"
+
+
 @lru_cache(1)
 def model(pages: int = 300, others: int = 120) -> trees.Forest:
-    """Trees fitted on generated pages; the label of an element is whether any text below it is main text."""
+    """Trees fitted on generated pages; the label of a node is whether any text below it is main text."""
     xs, ys = [], []
-    for page in [*map(training_page, range(pages)), *map(table_page, range(others)), *map(reference_page, range(others))]:
+    families = [(training_page, pages), (table_page, others), (reference_page, others), (stray_page, 2 * others)]
+    for page in (make(seed) for make, n in families for seed in range(n)):
         nodes, runs = parse(page)
         good, every = np.zeros(len(nodes)), np.zeros(len(nodes))
         clean = [(i, t if t is None else t.replace("\x01", "").replace("\x02", "")) for i, t in runs]

@@ -91,7 +91,7 @@ def whole(nodes, runs):
     return htmltext.text_of(nodes, runs, [True] * len(nodes))
 
 
-@pytest.mark.parametrize(("family", "least"), [(htmltext.training_page, 92), (htmltext.table_page, 85), (htmltext.reference_page, 85)])
+@pytest.mark.parametrize(("family", "least"), [(htmltext.training_page, 92), (htmltext.table_page, 85), (htmltext.reference_page, 85), (htmltext.stray_page, 85)])
 def test_main_text_of_unseen_generated_pages(family, least):
     forest, right = htmltext.model(), 0
     for seed in range(5000, 5100):
@@ -102,6 +102,32 @@ def test_main_text_of_unseen_generated_pages(family, least):
     assert right >= least
 
 
+HEAD, TWO = "<h1>Head of it</h1>", "<p>One paragraph of some words here, and more of them.</p><p>Another paragraph follows with several words too.</p>"
+SAID = "Head of it One paragraph of some words here, and more of them. Another paragraph follows with several words too."
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    (f"<html><body><article>{HEAD}{TWO}</article></body></html>Copyright 2020 Example Corp.", SAID),
+    (f"<html><body><article>{HEAD}{TWO}</article>Copyright 2020 Example Corp.</body></html>", SAID),
+    (f"<html><body>Home | News | About <article>{HEAD}{TWO}</article></body></html>", SAID),
+    (f'<body><a href="/">Home</a> | <a href="/n">News</a> | <a href="/a">About</a><hr><main>{HEAD}{TWO}</main></body>', SAID),
+    ("<html><body>Home | News | About <article><p>One short paragraph.</p></article></body></html>", "One short paragraph."),
+    (f"<body><div>Home | News</div><article>First free text of the article, some words long. {TWO}And free text again, to end the article.</article>&copy; 2020 Example Corp. All rights reserved.</body>", f"First free text of the article, some words long. {SAID.removeprefix('Head of it ')} And free text again, to end the article."),
+    (f'<body><nav>Home News</nav><article>{HEAD}<p>Mixed <b>bold <i>and</i></b> <a href="x">linked</a> words, all of them of one line.</p></article><footer>&copy; e.example.com</footer></body>', "Head of it Mixed bold and linked words, all of them of one line."),
+])
+def test_pages_written_by_hand(page, want):
+    assert htmltext.main_texts([page], htmltext.model()) == [want]
+
+
+def test_free_text_is_a_node_between_blocks():
+    nodes, runs = htmltext.parse("<div>a <b>c</b> d<p>e</p> f<br>g<hr>h</div> ")
+    shown = [(nodes[i].tag, nodes[nodes[i].parent].tag, t) for i, t in runs if t and t.strip()]
+    free = htmltext.FREE
+    assert shown == [(free, "div", "a "), ("b", free, "c"), (free, "div", " d"), (free, "p", "e"), (free, "div", " f"), (free, "div", "g"), (free, "div", "h")]
+    places = [i for i, t in runs if t and t.strip()]
+    assert places[0] == places[2] and places[4] == places[5] and len({places[0], places[4], places[6]}) == 3
+
+
 def test_time_grows_with_length_alone():
     """Pages that would be read over and over: each takes seconds at a megabyte, not hours."""
     import time
