@@ -24,9 +24,12 @@ shared, so a group of few open bits is small by itself.
 Fingerprints of texts whose sets of shingles are alike but not nearly equal
 differ in more bits than blocks can find (3 to 11 at a Jaccard similarity of
 0.8).  ``similar_links`` finds such texts by ``BANDS`` bands of ``BAND_ROWS``
-min-hashes (a pair at 0.8 shares one with probability 0.9996), links each text
-to the first and last of its band and keeps the links whose exact similarity
-is high enough.  They can be given to ``near_duplicates`` beside its own links.
+min-hashes (a pair at 0.8 shares one with probability 0.9996).  In a band of up
+to ``FEW`` texts all are compared; in a larger one each with the first and last,
+and with those of its texts that agree in the band after it too.  Links whose
+exact similarity is high enough are kept.  So a link between two texts in the
+middle of large bands is found only if they are few there or stand at an end of
+the smaller group; texts of one large group mostly hang together by its ends.  They can be given to ``near_duplicates`` beside its own links.
 
 Defined results: a null text counts as empty; copies of a text share a
 fingerprint and so a group; repeated rows repeat; the component of a row is
@@ -56,6 +59,8 @@ HOT = 4096
 FANOUT, AT_ONCE = 16, 1 << 18
 #: Min-hash bands of ``similar_links`` and min-hashes in each.
 BANDS, BAND_ROWS = 20, 5
+#: Texts of a band that are all compared with one another.
+FEW = 8
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -257,20 +262,34 @@ def _hashed(rows: DataFrame, size: int, make) -> DataFrame:
     return rows.mapInArrow(trimmed(run), "h string, x array<long>")
 
 
-def similar_links(df: DataFrame, size: int, least: float, text_col: str = "text", fewest: int = 1) -> DataFrame:
-    """Links ``src``, ``dst`` of hashes of texts whose sets of ``size``-word shingles, of ``fewest`` or more, have a Jaccard similarity of ``least`` or more."""
+def similar_links(df: DataFrame, size: int, least: float, text_col: str = "text") -> DataFrame:
+    """Links ``src``, ``dst`` of hashes of texts whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more.
+
+    Equal texts count once, null, empty and blank texts have no links; a text of fewer words is one shingle.
+    """
     rows = df.select(text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     bands = _hashed(rows, size, band_values).groupBy("h").agg(F.first("x").alias("x"))
-    bands = materialize(bands.select("h", F.posexplode("x").alias("band", "value")), "bands")
-    ends = bands.groupBy("band", "value").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low != high")
-    met = bands.join(ends, ["band", "value"]).select("h", F.explode(F.array("low", "high")).alias("other")).where("h != other")
+    both = F.transform("x", lambda v, i: F.struct(v.alias("value"), F.get("x", (i + 1) % BANDS).alias("after")))
+    bands = materialize(bands.select("h", F.posexplode(both).alias("band", "v")).select("h", "band", "v.*"), "bands")
+
+    def ends(*keys: str) -> DataFrame:
+        return bands.groupBy(*keys).agg(F.min("h").alias("low"), F.max("h").alias("high"), F.count("*").alias("n")).where("n > 1")
+
+    groups = materialize(ends("band", "value"), "band-groups")
+    few, large = groups.where(F.col("n") <= FEW).select("band", "value"), groups.where(F.col("n") > FEW)
+    close = bands.join(few, ["band", "value"]).select("band", "value", "h")
+    pairs = close.join(close.withColumnRenamed("h", "other"), ["band", "value"])
+    crowded = bands.join(large.select("band", "value"), ["band", "value"], "left_semi")
+    inner = crowded.join(ends("band", "value", "after"), ["band", "value", "after"])
+    outer = bands.join(large, ["band", "value"])
+    star = lambda x: x.select("h", F.explode(F.array("low", "high")).alias("other"))
+    met = pairs.select("h", "other").unionByName(star(outer)).unionByName(star(inner)).where("h != other")
     pairs = materialize(met.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(), "met")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct()
     sets = _hashed(rows.join(nodes, "h", "left_semi"), size, lambda x: x).groupBy("h").agg(F.first("x").alias("x"))
     sets = materialize(sets, "sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
-    both = both.where((F.size("xa") >= fewest) & (F.size("xb") >= fewest))
     return both.where(shared >= least * (F.size("xa") + F.size("xb") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 

@@ -187,3 +187,49 @@ def test_no_python_in_decontamination(docs, spark):
     plan = decontam.overlaps(docs, bench)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|ArrowEval|MapIn", plan)
     assert F is not None
+
+
+def all_similar(texts, size, least):
+    sets = {}
+    for t in {t for t in texts if t and t.split()}:
+        w = t.lower().split()
+        k = min(size, len(w))
+        sets[t] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    names = sorted(sets)
+    near = lambda a, b: (both := len(sets[a] & sets[b])) >= least * (len(sets[a]) + len(sets[b]) - both)
+    return {frozenset((a, b)) for i, a in enumerate(names) for b in names[i + 1 :] if near(a, b)}
+
+
+def test_similar_links_against_all_pairs(spark, docs, no_docs):
+    import hashlib
+
+    r = random.Random(21)
+    texts = [None, "", " \n ", "one", "ONE", "one two", "a b c d e"]
+    for i in range(40):
+        base = [f"b{i}w{k}" for k in range(r.choice([9, 30, 120, 240]))]
+        texts.append(" ".join(base))
+        for _ in range(r.choice([1, 1, 2, 14])):
+            copy = list(base)
+            for _ in range(r.randint(0, 1 + len(copy) // 80)):
+                copy[r.choice([0, -1, r.randrange(len(copy))])] = f"x{r.random()}"
+            texts += [" ".join(copy)] * r.choice([1, 2])
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, h string, band string").repartition(3)
+    by = {hashlib.md5((t or "").encode()).hexdigest(): t for t in texts}
+    got = {frozenset((by[x["src"]], by[x["dst"]])) for x in simhash.similar_links(df, 5, 0.8).collect()}
+    want = all_similar(texts, 5, 0.8)
+    assert got <= want and len(want) > 150
+    groups = lambda links: {x: min(g) for g in _components(links) for x in g}
+    mine, theirs = groups(got), groups(want)
+    assert sum(mine.get(x) == y for x, y in theirs.items()) >= 0.97 * len(theirs)
+    small = {p for p in want if sum(bool(p & q) for q in want) < 3}
+    assert small and len(got & small) >= 0.97 * len(small)
+    assert simhash.similar_links(no_docs, 5, 0.8).count() == 0
+    assert simhash.similar_links(docs, 5, 0.8).count() >= 0
+
+
+def _components(links):
+    groups = []
+    for a, b in map(tuple, links):
+        joined = [g for g in groups if a in g or b in g]
+        groups = [g for g in groups if g not in joined] + [set().union({a, b}, *joined)]
+    return groups
