@@ -90,12 +90,14 @@ class PairIndexBPE:
             at, rank = at[rank >= 0], rank[rank >= 0]
             by = np.argsort(rank, kind="stable")
             at, rank = at[by], rank[by]
-            cuts = np.flatnonzero(np.diff(rank, prepend=-1))
-            for r, part in zip(rank[cuts].tolist(), np.split(at, cuts[1:]), strict=True) if len(cuts) else ():
+            if not len(at):
+                return
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(at)]
+            for r, a, b in zip(rank[cuts[:-1]].tolist(), cuts[:-1], cuts[1:], strict=True):
                 if r not in index:
                     index[r] = []
                     heapq.heappush(active, r)
-                index[r].append(part)
+                index[r].append(at[a:b])
 
         enter(np.flatnonzero(after >= 0))
         while active:
@@ -107,8 +109,10 @@ class PairIndexBPE:
             if not len(at):
                 continue
             # The leftmost of each piece only: what it brings may rank before the rest.
-            lead = np.diff(word[at], prepend=-1) != 0
-            if not lead.all():
+            within = word[at]
+            same = within[1:] == within[:-1]
+            if same.any():
+                lead = np.concatenate([[True], ~same])
                 index[rank] = [at[~lead]]
                 heapq.heappush(active, rank)
                 at = at[lead]

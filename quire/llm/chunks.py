@@ -82,7 +82,7 @@ class ChunkEncoder:
         if pieces:
             self.memo.update(zip(pieces, self.encode_pieces(pieces), strict=True))
         get = self.memo.__getitem__
-        self.memo.update([(x, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for x, ps in cut.items()])
+        self.memo.update([(x, get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))) for x, ps in cut.items() if len(ps) != 1 or ps[0] != x])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [self.parts(x) for x in texts]
