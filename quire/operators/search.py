@@ -96,6 +96,40 @@ def passages(scored: DataFrame, by_word: DataFrame, scoped: DataFrame, keys: lis
     return kept.unionByName(left).join(good, keys, "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ANSWER_K).select(*keys, "rank")
 
 
+def turn_passages(retrieved: DataFrame, scoped: DataFrame, named: DataFrame, asked: DataFrame, place: list[str]) -> DataFrame:
+    """Passages for a turn of a conversation (RET9, OTH29): question, book, chapter, place, rank, named.
+
+    Those retrieved, in their order, then all of the chapters that the question
+    names and its scope lets it see, in the order of the text, none twice.  A question
+    about one chapter or paragraph gets no others.  ``retrieved``: question, book,
+    chapter, place and rank from 1; ``scoped``: the same without rank; ``named``:
+    question and idx of chapters; ``asked``: question and scope.
+    """
+    row = ["question", "book", "chapter", *place]
+    wide = asked.where(~F.col("scope").isin("chapter", "paragraph")).select("question")
+    wanted = named.join(wide, "question", "left_semi").select("question", F.col("idx").alias("chapter")).distinct()
+    more = scoped.join(wanted, ["question", "chapter"]).select(*row).join(retrieved.select(*row), row, "left_anti")
+    had = retrieved.groupBy("question").agg(F.max("rank").alias("had"))
+    order = Window.partitionBy("question").orderBy("book", "chapter", *place)
+    later = more.join(had, "question", "left").select(*row, (F.coalesce("had", F.lit(0)) + F.row_number().over(order)).alias("rank"), F.lit(True).alias("named"))
+    return retrieved.select(*row, "rank", F.lit(False).alias("named")).unionByName(later)
+
+
+def turn_states(asked: DataFrame, passages: DataFrame) -> DataFrame:
+    """What a turn can be answered from (RET9, RET12): question and state.
+
+    ``passages`` or, with none, ``history`` where the conversation has earlier turns;
+    ``not_started`` where a first question is asked within what was read and nothing
+    was read yet; ``refused`` for spoken answers when only the text itself may be
+    given; else ``none``.  ``asked``: question, scope, chapter, history (earlier
+    turns), spoken and extract_only.
+    """
+    found = passages.select("question").distinct().withColumn("found", F.lit(True))
+    unread = (F.col("scope") == "up_to_chapter") & (F.col("chapter") <= 0)
+    state = F.when(F.col("spoken") & F.col("extract_only"), "refused").when(F.col("found"), "passages").when(F.col("history") > 0, "history").when(unread, "not_started").otherwise("none")
+    return asked.join(found, "question", "left").select("question", state.alias("state"))
+
+
 def citation_times(chunks: DataFrame, direct: DataFrame, segments: DataFrame, pairs: DataFrame, spoken: DataFrame, keys: list[str]) -> DataFrame:
     """When each chunk is spoken (RET7): keys, start_sec, end_sec, method; the first of three ways that gives a time.
 

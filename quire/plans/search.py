@@ -84,6 +84,38 @@ def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.groupBy("question").agg(F.count("*").alias("chunks"), F.sum(F.col("end_word") - F.col("start_word")).alias("words")).join(asked.select("question", "scope"), "question").select("question", "scope", "chunks", "words")
 
 
+_SEEN = f"""(SELECT q.question, q.scope, c.book, c.chapter, c.start_word FROM {_SCOPE} q LEFT JOIN {_PG} p ON p.book = q.book AND p.chapter = q.chapter AND p.paragraph = q.paragraph
+JOIN {_CK} c ON c.book = q.book AND CASE q.scope WHEN 'book' THEN true WHEN 'up_to_chapter' THEN c.chapter <= q.chapter WHEN 'chapter' THEN c.chapter = q.chapter ELSE c.chapter = q.chapter AND (p.word_start IS NULL OR (c.end_word > p.word_start AND c.start_word < p.word_end)) END)"""
+_GOT = f"(SELECT question, scope, book, chapter, start_word, rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY book, chapter, start_word) AS rank FROM {_SEEN} WHERE (chapter + start_word // 20) % 3 = 1) WHERE rank <= 3)"
+
+
+def turn(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """First questions and their passages: of what is in scope every third piece, three at most; two in three questions name chapters 1 and two."""
+    asked = questions(spark, sf_dir)
+    paragraphs = pieces(spark, sf_dir, 30).select("book", "chapter", F.floor(F.col("start_word") / 30).cast("int").alias("paragraph"), F.col("start_word").alias("word_start"), F.col("end_word").alias("word_end"))
+    seen = sr.in_scope(pieces(spark, sf_dir, 20), asked, paragraphs).drop("end_word")
+    order = Window.partitionBy("question").orderBy("book", "chapter", "start_word")
+    got = seen.where((F.col("chapter") + F.floor(F.col("start_word") / 20)) % 3 == 1).withColumn("rank", F.row_number().over(order)).where("rank <= 3")
+    said = F.when(F.col("question") % 3 != 0, "Compare chapter 1 with Chapter two.").otherwise("Who is that?")
+    named = sr.chapter_refs(asked.select("question", said.alias("said")), "question", "said", spark.createDataFrame([], "number int, idx int"), F.lit(1000))
+    return asked, sr.turn_passages(got, seen, named, asked, ["start_word"])
+
+
+@query(f"""WITH g AS {_GOT}, m AS (SELECT s.question, s.book, s.chapter, s.start_word FROM {_SEEN} s WHERE s.question % 3 <> 0 AND s.chapter IN (0, 1) AND s.scope NOT IN ('chapter', 'paragraph') AND (s.question, s.book, s.chapter, s.start_word) NOT IN (SELECT question, book, chapter, start_word FROM g))
+SELECT question, book, chapter, start_word, CAST(rank AS INT) AS rank, false AS named FROM g UNION ALL SELECT m.question, book, chapter, start_word, CAST(coalesce(h.had, 0) + row_number() OVER (PARTITION BY m.question ORDER BY book, chapter, start_word) AS INT), true FROM m LEFT JOIN (SELECT question, max(rank) AS had FROM g GROUP BY 1) h USING (question)""")
+def turn_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET9, OTH29: passages of a turn, those of named chapters after the retrieved ones."""
+    return turn(spark, sf_dir)[1]
+
+
+@query(f"""SELECT q.question, CASE WHEN q.question % 2 = 0 AND q.question % 7 = 0 THEN 'refused' WHEN p.question IS NOT NULL THEN 'passages' WHEN q.question % 4 = 1 THEN 'history' WHEN q.scope = 'up_to_chapter' AND q.question % 8 = 2 THEN 'not_started' ELSE 'none' END AS state FROM {_SCOPE} q LEFT JOIN (SELECT DISTINCT question FROM (SELECT question FROM {_GOT} UNION ALL SELECT question FROM {_SEEN} WHERE question % 3 <> 0 AND chapter IN (0, 1) AND scope NOT IN ('chapter', 'paragraph'))) p USING (question)""")
+def turn_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RET9, RET12: from what each turn can be answered; every fourth has earlier turns, every second is spoken, every seventh may only quote."""
+    asked, found = turn(spark, sf_dir)
+    k = F.col("question")
+    return sr.turn_states(asked.select("question", "scope", F.when(k % 8 == 2, 0).otherwise(2).alias("chapter"), F.when(k % 4 == 1, 3).otherwise(0).alias("history"), (k % 2 == 0).alias("spoken"), (k % 7 == 0).alias("extract_only")), found)
+
+
 _SCORED = "(SELECT q.vec_id AS question, e.vec_id AS id, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id % 20 = 0 AND q.vec_id <> e.vec_id)"
 
 

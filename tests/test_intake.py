@@ -130,3 +130,15 @@ def test_vectors_as_blobs(spark):
     assert back == {1: [0.5, -2.0], 2: None}
     odd = spark.createDataFrame([(bytearray(b"abc"),)], "b binary").select(readers.blob_floats(F.col("b")).alias("v"))
     assert odd.first()["v"] is None
+
+
+def test_passages_and_states_of_turns(spark):
+    make = lambda data, kind: spark.createDataFrame(data, kind)
+    asked = make([(1, "book"), (2, "chapter"), (3, "up_to_chapter"), (4, "book"), (5, "book")], "question int, scope string")
+    scoped = make([(q, 9, c, p) for q in (1, 2, 3) for c in (0, 1, 2) for p in (0, 1) if not (q == 3 and c > 1)], "question int, book int, chapter int, piece int")
+    got = make([(1, 9, 2, 1, 1), (1, 9, 1, 0, 2), (2, 9, 1, 0, 1)], "question int, book int, chapter int, piece int, rank int")
+    named = make([(1, 1), (1, 1), (2, 0), (3, 1), (3, 2), (4, 0)], "question int, idx int")
+    found = search.turn_passages(got, scoped, named, asked, ["piece"])
+    assert rows(found, "question", "rank") == [(1, 9, 2, 1, 1, False), (1, 9, 1, 0, 2, False), (1, 9, 1, 1, 3, True), (2, 9, 1, 0, 1, False), (3, 9, 1, 0, 1, True), (3, 9, 1, 1, 2, True)]
+    turns = make([(1, "book", 0, 0, False, True), (2, "chapter", 0, 0, True, True), (4, "up_to_chapter", 0, 2, True, False), (5, "up_to_chapter", 0, 0, False, False), (6, "up_to_chapter", 1, 0, False, False)], "question int, scope string, chapter int, history int, spoken boolean, extract_only boolean")
+    assert rows(search.turn_states(turns, found), "question") == [(1, "passages"), (2, "refused"), (4, "history"), (5, "not_started"), (6, "none")]
