@@ -135,13 +135,13 @@ def source_timestamps(words: DataFrame, keys: list[str], ends: DataFrame) -> Dat
 
     ``words``: keys, pos, and s and e of the spoken word, null where unmatched.  A
     run without times is spread evenly from the end of the word before to the
-    start of the one after, or to ``audio_end`` of ``ends``.
+    start of the one after, or to ``audio_end`` of ``ends``.  What lies ahead is
+    read backwards: a frame up to the end of a group would be read anew for each word.
     """
-    w = Window.partitionBy(*keys).orderBy("pos")
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = rel.up_to_here(keys, "pos"), rel.up_to_here(keys, F.desc("pos"))
     known = F.col("s").isNotNull()
-    t = words.withColumn("p0", F.last(F.when(known, F.col("pos")), True).over(back)).withColumn("p1", F.first(F.when(known, F.col("pos")), True).over(ahead))
-    t = t.withColumn("t0", F.coalesce(F.last("e", True).over(back), F.lit(0.0))).withColumn("t1", F.first("s", True).over(ahead))
+    t = words.withColumn("p0", F.last(F.when(known, F.col("pos")), True).over(back)).withColumn("p1", F.last(F.when(known, F.col("pos")), True).over(ahead))
+    t = t.withColumn("t0", F.coalesce(F.last("e", True).over(back), F.lit(0.0))).withColumn("t1", F.last("s", True).over(ahead))
     t = t.withColumn("n", F.count("*").over(Window.partitionBy(*keys))).join(ends, keys)
     first, stop = F.coalesce(F.col("p0") + 1, F.lit(0)), F.coalesce("p1", "n")
     t1 = F.greatest(F.coalesce("t1", "audio_end"), "t0")
