@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,16 +48,24 @@ def best_run(numbers: list[int], quiet: list[bool], step: int = 3) -> list[int]:
 def detected(found: DataFrame) -> DataFrame:
     """Chapters of each text (SEG6): the longer of the runs of "chapter" and of "part", chapter on equal length, with a confidence."""
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("s")
-        options = []
-        for word in ("chapter", "part"):
-            own = pdf[pdf["word"] == word]
-            options.append(own.iloc[best_run(own["number"].tolist(), own["after_silence"].tolist())])
-        best = options[0] if len(options[0]) >= len(options[1]) else options[1]
-        return best.assign(confidence=0.5 + 0.3 + 0.2 * best["after_silence"])[["doc_id", "word", "number", "s", "confidence"]]
-
-    return found.groupBy("doc_id").applyInPandas(pick, "doc_id long, word string, number int, s double, confidence double")
+    @F.pandas_udf("array<int>")
+    def picked(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def pick(kinds, numbers, quiet) -> list[int]:
+            options = []
+            for word in ("chapter", "part"):
+                own = [i for i, k in enumerate(kinds) if k == word]
+                options.append([own[i] for i in best_run([int(numbers[i]) for i in own], [bool(quiet[i]) for i in own])])
+            return options[0] if len(options[0]) >= len(options[1]) else options[1]
+
+        for lists in batches:
+            yield pd.Series([pick(*x) for x in zip(*lists, strict=True)], dtype=object)
+
+    # A text's announcements are a list; a batch has the lists of many texts.
+    listed = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("s", "word", "number", "after_silence"))).alias("r"))
+    part = lambda c: F.transform("r", lambda x: x[c])
+    each = listed.withColumn("at", picked(part("word"), part("number"), part("after_silence"))).select("doc_id", F.explode(F.transform("at", lambda i: F.get("r", i))).alias("x"))
+    confidence = F.lit(0.5) + 0.3 + 0.2 * F.col("x.after_silence").cast("double")
+    return each.select("doc_id", "x.word", "x.number", "x.s", confidence.alias("confidence"))
 
 
 def word_ranges(words: DataFrame, starts: DataFrame) -> DataFrame:
