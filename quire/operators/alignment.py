@@ -46,28 +46,55 @@ def token_fields(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return f.select(*keys, F.posexplode(F.flatten("f")).alias("tok", "field"))
 
 
+def track(words: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for each transcript: keys, ``p0``, the place of its first word, and ``s`` and ``e`` from there on, null where a word is missing.
+
+    What stands elsewhere of a work meets it by the work alone, so that no word is dealt anew.
+    """
+    t = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", "s", "e"))).alias("t")).withColumn("p0", F.get("t", F.lit(0))["pos"])
+    last = F.element_at("t", -1)["pos"]
+    whole = last - F.col("p0") == F.size("t") - 1
+    spread = lambda c: F.when(whole, F.col("t")[c]).otherwise(F.transform(F.sequence("p0", last), lambda p: F.get(F.filter("t", lambda x: x["pos"] == p), F.lit(0))[c]))
+    return t.select(*keys, "p0", spread("s").alias("s"), spread("e").alias("e"))
+
+
+def word_at(times: str, pos: Column) -> Column:
+    """The time of the word at a place of a ``track``."""
+    return F.when(pos >= F.col("p0"), F.get(times, pos - F.col("p0")))
+
+
 def baked(segments: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     """Segments with ``start_sec`` and ``end_sec``, which only aligned ones have (ALN6): when their first and last transcript words are spoken."""
-    at = words.select(*keys, F.col("pos").alias("p"), "s", "e")
-    timed = segments.where("kind = 'aligned'")
-    first = timed.join(at.drop("e").withColumnsRenamed({"p": "ts", "s": "start_sec"}), [*keys, "ts"], "left")
-    both = first.withColumn("last", F.col("te") - 1).join(at.drop("s").withColumnsRenamed({"p": "last", "e": "end_sec"}), [*keys, "last"], "left").drop("last")
-    none = F.lit(None).cast("double")
-    rest = segments.where("kind <> 'aligned'").withColumn("start_sec", none).withColumn("end_sec", none)
-    return both.select(rest.columns).unionByName(rest)
-
-
-def word_seconds(segments: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """When each ebook word of an aligned segment is spoken (ALN6): keys, w, sec; both sides advance together, in whole tokens."""
-    e = segments.where("kind = 'aligned' and ee > es and te > ts").select(*keys, "es", "ts", "ee", "te", F.explode(F.sequence(F.col("es"), F.col("ee") - 1)).alias("w"))
+    aligned = F.col("kind") == "aligned"
+    timed = segments.join(track(words, keys), keys, "left")
+    return timed.select(*segments.columns, F.when(aligned, word_at("s", F.col("ts"))).alias("start_sec"), F.when(aligned, word_at("e", F.col("te") - 1)).alias("end_sec"))
+
+
+def word_seconds(segments: DataFrame, words: DataFrame, keys: list[str], spans: DataFrame | None = None, chapter: str = "chapter") -> DataFrame:
+    """When each ebook word of an aligned segment is spoken (ALN6): keys, w, sec; both sides advance together, in whole tokens.
+
+    With ``spans`` (keys, chapter, start, len) only words in them, with chapter and
+    start: segments meet chapters and transcript first, so that words are only
+    counted out at the end.
+    """
+    e = segments.where("kind = 'aligned' and ee > es and te > ts").select(*keys, "es", "ts", "ee", "te").join(track(words, keys).drop("e"), keys)
+    own = [] if spans is None else [chapter, "start"]
+    a, b = F.col("es"), F.col("ee")
+    if spans is not None:
+        stop = F.col("start") + F.col("len")
+        e = e.join(spans.select(*keys, chapter, "start", "len"), keys).where((F.col("es") < stop) & (F.col("ee") > F.col("start")) & (F.col("len") > 0))
+        a, b = F.greatest("es", "start"), F.least(F.col("ee"), stop)
+    each = e.select(*keys, *own, "es", "ts", "ee", "te", "p0", "s", F.explode(F.sequence(a, b - 1)).alias("w"))
     at = F.col("ts") + F.floor((F.col("w") - F.col("es")) * length("ts", "te") / length("es", "ee")).cast("int")
-    return e.select(*keys, "w", at.alias("pos")).join(words.select(*keys, "pos", F.col("s").alias("sec")), [*keys, "pos"]).select(*keys, "w", "sec")
+    return each.select(*keys, *own, "w", word_at("s", at).alias("sec")).where("sec is not null")
+
 
+def render_timeline(seconds: DataFrame, keys: list[str], chapter: str) -> DataFrame:
+    """Places and times within each chapter (WIN17): the earliest second of a word, never stepping back; second 0 is no time.
 
-def render_timeline(seconds: DataFrame, spans: DataFrame, keys: list[str], chapter: str) -> DataFrame:
-    """Places and times within each chapter (WIN17): the earliest second of a word, never stepping back; second 0 is no time."""
-    inside = rel.interval_join(seconds.where("sec > 0"), spans.withColumn("stop", F.col("start") + F.col("len")), keys, "w", "start", "stop", SPAN)
-    first = inside.groupBy(*keys, chapter, (F.col("w") - F.col("start")).alias("w")).agg(F.min("sec").alias("sec"))
+    ``seconds``: keys, chapter, start, w, sec.
+    """
+    first = seconds.where("sec > 0").groupBy(*keys, chapter, (F.col("w") - F.col("start")).alias("w")).agg(F.min("sec").alias("sec"))
     return first.withColumn("sec", F.max("sec").over(Window.partitionBy(*keys, chapter).orderBy("w")))
 
 
@@ -81,12 +108,10 @@ def word_sync(words: DataFrame, keys: list[str]) -> DataFrame:
     timed = words.withColumn("s", start).where("s is not null")
     after = F.lead("s").over(w)
     out = timed.withColumn("e", F.when(after > F.col("s"), after).otherwise(F.col("s") + LAST_WORD))
-    return out.join(_plausible(out, keys), keys, "left_semi").select(*keys, "w", "s", "e")
-
-
-def _plausible(timed: DataFrame, keys: list[str]) -> DataFrame:
-    n = timed.groupBy(*keys).agg(F.count("*").alias("n"), (F.max_by("s", "w") - F.min_by("s", "w")).alias("span"))
-    return n.where((F.col("n") < RATE_WORDS) | (F.col("span") > 0) & (F.col("n") <= RATE_MOST * F.col("span")))
+    # The rate of a chapter is that of its rows, which are together already.
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rated = out.withColumn("n", F.count("*").over(whole)).withColumn("span", F.last("s").over(whole) - F.first("s").over(whole))
+    return rated.where((F.col("n") < RATE_WORDS) | (F.col("span") > 0) & (F.col("n") <= RATE_MOST * F.col("span"))).select(*keys, "w", "s", "e")
 
 
 def sync_mode(chapters: DataFrame, timed: DataFrame, followed: DataFrame, keys: list[str]) -> DataFrame:

@@ -90,3 +90,27 @@ def test_parts_near_an_end_of_silence(spark):
     out = transcripts.silence_parts(w, q)
     assert plan(out).count("window ") == 1
     assert sorted(tuple(x) for x in out.collect()) == [(1, 0, 10.0, 2), (1, 2, 20.0, 3)]
+
+
+def test_words_meet_segments_by_the_work_alone(spark):
+    r = random.Random(8)
+    segs, words, spans = [], [], []
+    for k in range(12):
+        es = ts = 0
+        for n in range(8):
+            el, tl = r.randint(0, 9), r.randint(0, 9)
+            segs.append((k, n, r.choice(("aligned", "aligned", "replace")), es, es + el, ts, ts + tl))
+            es, ts = es + el, ts + tl
+        words += [(k, p, p * 0.5, p * 0.5 + 0.25) for p in range(3, ts) if k % 2 or p % 7]
+        spans += [(k, c, 13 * c, min(13, es - 13 * c)) for c in range(-(-es // 13))]
+    s = spark.createDataFrame(segs, "k int, n int, kind string, es int, ee int, ts int, te int")
+    w = spark.createDataFrame(words, "k int, pos int, s double, e double")
+    c = spark.createDataFrame(spans, "k int, chapter int, start int, len int")
+    at = {(k, p): (a, b) for k, p, a, b in words}
+    want = {(k, x, at[k, ts + (x - es) * (te - ts) // (ee - es)][0]) for k, _, kind, es, ee, ts, te in segs if kind == "aligned" and te > ts for x in range(es, ee) if (k, ts + (x - es) * (te - ts) // (ee - es)) in at}
+    assert {tuple(x) for x in alignment.word_seconds(s, w, ["k"]).collect()} == want
+    out = alignment.word_seconds(s, w, ["k"], c)
+    assert "hashpartitioning(k#" in plan(out) and ", w#" not in "".join(x.split("hashpartitioning(")[1].split(")")[0] for x in plan(out).split("\n") if "hashpartitioning(" in x)
+    assert {tuple(x) for x in out.collect()} == {(k, ch, a, x, sec) for k, x, sec in want for q, ch, a, n in spans if q == k and a <= x < a + n}
+    got = {(x["k"], x["n"]): (x["start_sec"], x["end_sec"]) for x in alignment.baked(s, w, ["k"]).collect()}
+    assert got == {(k, n): (at.get((k, ts), (None, None))[0], at.get((k, te - 1), (None, None))[1]) if kind == "aligned" else (None, None) for k, n, kind, _, _, ts, te in segs}
