@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.functions import vector as vec
 from quire.operators import ngrams
 from quire.operators import relational as rel
+from quire.operators.nearest import nearest
 
 #: Length from which a word without a successor ends, the fewest words whose rate is judged, and the most words a second.
 LAST_WORD, RATE_WORDS, RATE_MOST = 0.3, 30, 8.0
@@ -24,6 +24,8 @@ EXTENT, EXTENT_FROM = 0.85, 60.0
 SHOWN_WORDS = 600
 #: Nearness from which two passages can match, and the coverage below which words give way to passages.
 PASSAGE_NEAR, WORD_COVERAGE = 0.6, 0.25
+#: Digits to which the nearness of passages is compared.
+EQUAL_TO = 12
 #: Words of a bucket in which segments meet chapters and ranges.
 SPAN = 256
 
@@ -246,11 +248,13 @@ def difference_spans(segments: DataFrame, keys: list[str], most: int = SHOWN_WOR
 def passage_matches(ebook: DataFrame, transcript: DataFrame, keys: list[str], least: float = PASSAGE_NEAR) -> DataFrame:
     """The ebook passage most like each transcript passage of a work, the last of equals, if near enough (ALN11): keys, ti, ei, sim.
 
-    Both sides: keys, i and v, a vector; a work's passages are those of one book.
+    Both sides: keys, i (a whole number, once a key) and v, a vector; a work's passages are those of one book.
+    Scores are equal when they are to ``EQUAL_TO`` digits.
     """
-    unit = lambda df, i, v: df.withColumn("n", vec.norm(F.col("v"))).where("n > 0").select(*keys, F.col("i").alias(i), F.transform("v", lambda x: x / F.col("n")).alias(v))
-    j = unit(transcript, "ti", "tv").join(unit(ebook, "ei", "ev"), keys).withColumn("sim", vec.dot(F.col("tv"), F.col("ev"))).where(F.col("sim") >= least)
-    return j.groupBy(*keys, "ti").agg(F.max(F.struct("sim", "ei")).alias("m")).select(*keys, "ti", "m.ei", "m.sim")
+    side = lambda df, i, v: df.select(*keys, F.col("i").cast("long").alias(i), F.col("v").alias(v))
+    found = nearest(side(transcript, "asked", "q"), side(ebook, "id", "v"), keys, 1, "unit", least=least, places=EQUAL_TO, last=True)
+    kind = lambda df, c, name: F.col(c).cast(df.schema["i"].dataType).alias(name)
+    return found.select(*keys, kind(transcript, "asked", "ti"), kind(ebook, "id", "ei"), F.col("score").alias("sim"))
 
 
 def passage_chain(matches: DataFrame, keys: list[str]) -> DataFrame:

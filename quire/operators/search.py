@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.functions import vector as vec
 from quire.operators import relational as rel
+from quire.operators.nearest import nearest
 
 #: Characters shown around a hit, hits collected for each one asked for, and seconds within which two books' hits are one place.
 AROUND, RAW_FACTOR, SAME_PLACE = 50, 4, 1.5
@@ -96,6 +96,17 @@ def passages(scored: DataFrame, by_word: DataFrame, scoped: DataFrame, keys: lis
     return kept.unionByName(left).join(good, keys, "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= ANSWER_K).select(*keys, "rank")
 
 
+def scope_heads(rows: DataFrame, scope: list[str], good: Column) -> DataFrame:
+    """The rows of each scope that can come into an answer by their place: enough for one without the row that asks.
+
+    Of the good rows the first ``ANSWER_K`` and one more; the first two of any kind tell whether there is one at all.
+    ``rows``: scope, id and place.  What a question may see is then met without every pair of question and row.
+    """
+    order = F.asc("place"), F.asc("id")
+    first = rel.top_by(rows, scope, 2, *order).unionByName(rel.top_by(rows.where(good), scope, ANSWER_K + 1, *order))
+    return first.drop("rank").dropDuplicates([*scope, "id"])
+
+
 def turn_passages(retrieved: DataFrame, scoped: DataFrame, named: DataFrame, asked: DataFrame, place: list[str]) -> DataFrame:
     """Passages for a turn of a conversation (RET9, OTH29): question, book, chapter, place, rank, named.
 
@@ -155,11 +166,12 @@ def citation_times(chunks: DataFrame, direct: DataFrame, segments: DataFrame, pa
 def nearest_in_book(rows: DataFrame, asked: DataFrame, k: int, book: str, id_: str, vector: str) -> DataFrame:
     """The ``k`` nearest rows of each question's book (RET4): question, id, score, rank; vectors of another length are passed over.
 
-    ``asked``: question, book, q.
+    ``asked``: question (a whole number, once only), book, q.
     """
-    s = rows.join(asked, book).where(F.size(vector) == F.size("q")).withColumn("score", vec.cosine(F.col(vector), F.col("q")))
-    w = Window.partitionBy("question").orderBy(F.desc("score"), id_)
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("question", id_, "score", "rank")
+    q = asked.select(book, F.size("q").alias("__size"), F.col("question").cast("long").alias("asked"), "q")
+    r = rows.select(book, F.size(vector).alias("__size"), F.col(id_).cast("long").alias("id"), F.col(vector).alias("v"))
+    found = nearest(q, r, [book, "__size"], k, "cosine")
+    return found.select(F.col("asked").cast(asked.schema["question"].dataType).alias("question"), F.col("id").cast(rows.schema[id_].dataType).alias(id_), "score", "rank")
 
 
 def chapter_refs(questions: DataFrame, id_: str, text: str, numbers: DataFrame, last: Column) -> DataFrame:
