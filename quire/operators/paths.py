@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Alignments that a way goes over at most; a work has few books.
 HOPS = 6
-_ROWS = "spark.sql.cteRecursionRowLimit"
 
 
 def either_way(links: DataFrame) -> DataFrame:
@@ -28,24 +30,59 @@ def direct(links: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(kept, ["work", "unit", "a", "b"]).groupBy("work", "unit", "a", "b").agg(F.min(F.struct("id", "reversed")).alias("x")).select("work", "unit", "a", "b", "x.id", "x.reversed")
 
 
+def best_ways(links: list[tuple[int, int, int, bool]], hops: int) -> list[tuple]:
+    """(a, b, ids, reversed) of the best way between any two books of one work; ``links``: src, dst, id, reversed.
+
+    A way of fewest alignments goes over the best ways to its books, so only one a book is kept in each round.
+    """
+    near: dict = {}
+    for src, dst, id_, back in links:
+        near.setdefault(src, []).append((dst, id_, back))
+    out = []
+    for a in near:
+        seen, front = {a}, {a: ((), ())}
+        for _ in range(hops):
+            reached: dict = {}
+            for book, (ids, turns) in front.items():
+                for dst, id_, back in near.get(book, ()):
+                    if dst not in seen:
+                        way = ((*ids, id_), (*turns, back))
+                        if dst not in reached or way < reached[dst]:
+                            reached[dst] = way
+            if not reached:
+                break
+            seen.update(reached)
+            out += [(a, b, ids, turns) for b, (ids, turns) in reached.items()]
+            front = reached
+    return out
+
+
 def alignment_paths(links: DataFrame, hops: int = HOPS) -> DataFrame:
     """The shortest way between any two books of a work over alignments of one unit (ALN13): work, unit, a, b, hops, ids, reversed.
 
     A direct alignment is a way of one hop; of ways of one length that over the
-    alignments of lower identifiers, from the first hop on.  No way goes through a
-    book twice, so each round of the recursion is one join on (work, unit, book).
+    alignments of lower identifiers, from the first hop on.  A work has few
+    alignments, so they are a list that meets in one shuffle.
     """
-    steps = either_way(links)
-    spark = links.sparkSession
-    spark.conf.set(_ROWS, "-1")  # works are many, though each has few books
-    ways = spark.sql(
-        f"""WITH RECURSIVE ways AS (
-        SELECT work, unit, src AS a, dst AS b, 1 AS hops, array(id) AS ids, array(reversed) AS reversed, array(src, dst) AS books FROM {{steps}}
-        UNION ALL
-        SELECT w.work, w.unit, w.a, s.dst, w.hops + 1, concat(w.ids, array(s.id)), concat(w.reversed, array(s.reversed)), concat(w.books, array(s.dst))
-        FROM ways w JOIN {{steps}} s ON s.work = w.work AND s.unit = w.unit AND s.src = w.b WHERE w.hops < {int(hops)} AND NOT array_contains(w.books, s.dst)
-        ) SELECT work, unit, a, b, hops, ids, reversed FROM ways""",
-        steps=steps,
-    )
-    best = ways.groupBy("work", "unit", "a", "b").agg(F.min(F.struct("hops", "ids", "reversed")).alias("w"))
-    return best.select("work", "unit", "a", "b", "w.hops", "w.ids", "w.reversed")
+    steps = either_way(links.where("work is not null and unit is not null"))
+    kinds = dict(steps.dtypes)
+    names = ["src", "dst", "id", "reversed"]
+    listed = steps.groupBy("work", "unit").agg(F.collect_list(F.struct(*names)).alias("links"))
+    flat = listed.select("work", "unit", *[F.col(f"links.{c}").alias(c) for c in names])
+    schema = f"work {kinds['work']}, unit {kinds['unit']}, a {kinds['src']}, b {kinds['src']}, hops int, ids array<{kinds['id']}>, reversed array<boolean>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, found = [], []
+            for i, x in enumerate(zip(*(batch.column(c).to_pylist() for c in names), strict=True)):
+                ways = best_ways(list(zip(*x, strict=True)), hops)
+                at += [i] * len(ways)
+                found += ways
+            if found:
+                a, b, ids, turns = zip(*found, strict=True)
+                own, id_kind = pa.array(at), batch.column("id").type.value_type
+                book = batch.column("src").type.value_type
+                columns = [batch.column("work").take(own), batch.column("unit").take(own), pa.array(a, book), pa.array(b, book), pa.array([len(x) for x in ids], pa.int32()), pa.array(ids, pa.list_(id_kind)), pa.array(turns, pa.list_(pa.bool_()))]
+                yield pa.RecordBatch.from_arrays(columns, ["work", "unit", "a", "b", "hops", "ids", "reversed"])
+
+    return flat.mapInArrow(run, schema)
