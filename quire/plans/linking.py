@@ -13,7 +13,6 @@ from quire.plans.entities import _NORM
 from quire.plans.synchrony import _BAKED, _CHAPTERS
 from quire.plans.timelines import _PLACED
 from quire.plans.timelines import files as placed_files
-from quire.plans.upkeep import _checkpoints
 
 #: Parts of a brand as chapters: even ones heard, odd ones written; every seventh has a number.
 _TITLE = "CASE WHEN p_partkey % 7 = 0 THEN 'Chapter ' || (p_size % 20 + 1) WHEN p_partkey % 7 = 1 THEN 'Part ' || ['I','IV','IX','XII','XX'][1 + p_size % 5] ELSE p_name || ' ' || p_type END"
@@ -59,7 +58,6 @@ up AS (SELECT work, next AS id, min(prev) AS up FROM x GROUP BY 1, 2), r(work, i
 SELECT work, head, count(*) AS files, round(max(start_sec + duration), 3) AS end_sec FROM r JOIN f USING (work, id) GROUP BY 1, 2""")
 def narration_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WIN12: files that continue one another, as narrations with their end."""
-    _checkpoints(spark)
     f = placed_files(spark, sf_dir).withColumnRenamed("n", "id")
     return linking.narrations(f, "work").groupBy("work", "head").agg(F.count("*").alias("files"), F.round(F.max(F.col("start_sec") + F.col("duration")), 3).alias("end_sec"))
 
