@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.operators import relational as rel
 from quire.operators import timeline as tl
 
 #: Share by which word counts may differ, share of a chapter that its chunks reach, and words at one instant, confidence, run and rate that stand for invented text.
@@ -71,15 +72,25 @@ def timeline_problems(words: DataFrame, durations: DataFrame, sources: DataFrame
     words a minute than anyone speaks; long runs that the recogniser doubted; and
     files that do not tile the clock.  ``sources``: doc_id, n, start_sec, duration.
     """
-    kind = lambda df, name: df.select("doc_id", F.lit(name).alias("kind"), F.col("n").cast("long").alias("n")).where("n > 0")
-    at_once = words.groupBy("doc_id", "s").agg(F.count("*").alias("k")).where(F.col("k") > AT_ONCE).groupBy("doc_id").agg(F.sum("k").alias("n"))
-    count = lambda df: df.groupBy("doc_id").agg(F.count("*").alias("n"))
-    outside = words.join(durations, "doc_id").where((F.col("s") < -0.5) | (F.col("e") > F.col("duration") + 1.0))
-    fast = tl.peak_rate(words).where(F.col("peak") > RATE_MOST).select("doc_id", F.col("peak").alias("n"))
-    sure = words.groupBy("doc_id").agg(F.max("conf").alias("c")).where("c > 0").select("doc_id")
-    doubted = tl.doubtful_runs(words.join(sure, "doc_id", "left_semi"), LOW, LOW_RUN).groupBy("doc_id").agg(F.sum("n").alias("n"))
-    broken = tl.discontinuities(sources, ["doc_id"], "n").select("doc_id", "n")
-    return stacked([kind(at_once, "synthesized_word_timings"), kind(count(outside), "words_outside_audio"), kind(count(tl.backward_steps(words)), "non_monotonic"), kind(fast, "implausible_density"), kind(doubted, "model_did_not_believe_this"), kind(broken, "source_discontinuity")])
+    # All that asks for a text's words together sits on one deal of them by text.
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = words.join(durations.select("doc_id", "duration"), "doc_id", "left").select("doc_id", "pos", "s", "e", "conf", "duration", F.round(F.col("s") * 1000).cast("long").alias("ms")).repartition(parts, "doc_id")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    doubted = F.coalesce(F.col("conf") < LOW, F.lit(False))
+    w = w.withColumn("high", F.max("s").over(order.rowsBetween(Window.unboundedPreceding, -1))).withColumn("doubted", doubted)
+    w = w.withColumn("island", F.row_number().over(order) - F.sum(F.col("doubted").cast("int")).over(rel.up_to_here(["doc_id"], "pos")))
+    w = w.withColumn("rate", F.count("*").over(Window.partitionBy("doc_id").orderBy("ms").rangeBetween(-60_000, 0)))
+    w = w.withColumn("together", F.count("*").over(Window.partitionBy("doc_id", "s"))).withColumn("run", F.count("*").over(Window.partitionBy("doc_id", "doubted", "island")))
+    counts = {
+        "synthesized_word_timings": F.count_if(F.col("together") > AT_ONCE),
+        "words_outside_audio": F.count_if((F.col("s") < -0.5) & F.col("duration").isNotNull() | (F.col("e") > F.col("duration") + 1.0)),
+        "non_monotonic": F.count_if(F.col("s") < F.col("high") - 0.5),
+        "implausible_density": F.when(F.max("rate") > RATE_MOST, F.max("rate")),
+        "model_did_not_believe_this": F.when((F.max("conf") > 0) & F.col("doc_id").isNotNull(), F.count_if(F.col("doubted") & (F.col("run") >= LOW_RUN))),
+    }
+    each = w.groupBy("doc_id").agg(F.array(*[F.struct(F.lit(name).alias("kind"), n.cast("long").alias("n")) for name, n in counts.items()]).alias("found"))
+    broken = tl.discontinuities(sources, ["doc_id"], "n").select("doc_id", F.lit("source_discontinuity").alias("kind"), F.col("n").cast("long").alias("n"))
+    return each.select("doc_id", F.inline("found")).where("n > 0").unionByName(broken.where("n > 0"))
 
 
 def drift(editions: DataFrame, transcripts: DataFrame, matches: DataFrame, stale: DataFrame) -> DataFrame:
