@@ -1,8 +1,9 @@
 """Alignment of two renderings of a chapter word by word, by edit distance with the path itself.
 
-A task has one chapter of a work at a time.  Scores are kept for one row of the
-table only; which steps are best is kept in two bits a cell, so the path of a
-chapter at the limit of 50 million cells takes 12.5 MB.
+A long chapter's table is filled by itself: scores are kept for one row of it
+only, and which steps are best in two bits a cell, so the path of a chapter at
+the limit of 50 million cells takes 12.5 MB.  Short chapters of like sizes are
+taken together, in tables of a million cells.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from quire.operators import relational as rel
 
 #: What two equal words, two others and a word without a partner add to the score, and the cells of a chapter that is aligned at most.
 SAME, OTHER, ALONE, MOST_CELLS = 2, -1, -1, 50_000_000
+#: Cells of a table that is filled by itself, and of tables that are filled together.
+ALONE_FROM, TOGETHER = 250_000, 1_000_000
 
 
 def comparable(text: Column | str) -> Column:
@@ -62,6 +65,69 @@ def best_path(x: list[str], y: list[str]) -> np.ndarray:
     return at
 
 
+def best_paths(pairs: list[tuple[list[str], list[str]]]) -> list[np.ndarray]:
+    """``best_path`` of many short pairs at once: each step is taken in the tables of all.
+
+    A cell follows from the words up to it alone, so tables are filled up with words that equal no others.
+    """
+    n, m = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    size, wide, high = len(pairs), int(m.max(initial=0)), int(n.max(initial=0))
+    a, b = np.full((size, high), -1, dtype=np.int32), np.full((size, wide), -2, dtype=np.int32)
+    ids: dict[str, int] = {}
+    for k, (x, y) in enumerate(pairs):
+        a[k, : len(x)] = [ids.setdefault(w, len(ids)) for w in x]
+        b[k, : len(y)] = [ids.setdefault(w, len(ids)) for w in y]
+    steps = np.arange(wide + 1, dtype=np.int32) * -ALONE
+    row = np.tile(-steps, (size, 1))
+    step = np.zeros((high + 1, size, wide + 1), dtype=np.int8)  # 2: a pair, 1: a word of the first side alone, 0: one of the second
+    for i in range(high):
+        pair = row[:, :-1] + np.where(b == a[:, i : i + 1], SAME, OTHER).astype(np.int32)
+        alone = row + ALONE
+        best = alone.copy()
+        np.maximum(pair, alone[:, 1:], out=best[:, 1:])
+        best += steps
+        np.maximum.accumulate(best, axis=1, out=best)
+        best -= steps
+        step[i + 1, :, 1:] = np.where(best[:, 1:] == pair, 2, best[:, 1:] == alone[:, 1:])
+        row = best
+    at = np.full((size, high), -1, dtype=np.int32)
+    i, j = n.copy(), m.copy()
+    k = np.flatnonzero((i > 0) & (j > 0))
+    while len(k):
+        way = step[i[k], k, j[k]]
+        paired = k[way == 2]
+        at[paired, i[paired] - 1] = j[paired] - 1
+        i[k] -= way > 0
+        j[k] -= way != 1
+        k = k[(i[k] > 0) & (j[k] > 0)]
+    return [at[k, : n[k]] for k in range(size)]
+
+
+def paths_of(xs: list, ys: list, most_cells: int) -> list[np.ndarray | None]:
+    """The paths of pairs; None over ``most_cells``.  Pairs of like sizes are taken together up to ``TOGETHER`` cells, large ones alone."""
+    found: list[np.ndarray | None] = [None] * len(xs)
+    sizes = sorted((len(x), len(y), k) for k, (x, y) in enumerate(zip(xs, ys, strict=True)) if len(x) * len(y) <= most_cells)
+    held: list[int] = []
+    wide = 0
+
+    def done() -> None:
+        for k, path in zip(held, best_paths([(list(xs[k]), list(ys[k])) for k in held]), strict=True):
+            found[k] = path
+
+    for n, m, k in sizes:
+        if (n + 1) * (m + 1) > ALONE_FROM:
+            found[k] = best_path(list(xs[k]), list(ys[k]))
+            continue
+        if held and (len(held) + 1) * (n + 1) * (max(wide, m) + 1) > TOGETHER:
+            done()
+            held, wide = [], 0
+        held.append(k)
+        wide = max(wide, m)
+    if held:
+        done()
+    return found
+
+
 def aligned_chapters(pairs: DataFrame, keys: list[str], a: str, b: str, most_cells: int = MOST_CELLS) -> DataFrame:
     """Chapters aligned word by word (ALN7, WIN20): keys, words, at, same, confidence.
 
@@ -75,7 +141,7 @@ def aligned_chapters(pairs: DataFrame, keys: list[str], a: str, b: str, most_cel
     @F.pandas_udf("array<int>")
     def path(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for xs, ys in batches:
-            yield pd.Series([best_path(list(x), list(y)) if len(x) * len(y) <= most_cells else None for x, y in zip(xs, ys, strict=True)], dtype=object)
+            yield pd.Series(paths_of(list(xs), list(ys), most_cells), dtype=object)
 
     # The work on a chapter grows with its length squared, so chapters are dealt anew rather than left where their texts lie.
     dealt = pairs.where((F.size(a) > 0) & (F.size(b) > 0)).select(*keys, F.col(a).alias("__a"), F.col(b).alias("__b")).repartition(*keys)

@@ -103,3 +103,13 @@ def test_spans_meet_as_in_all_pairs(spark, width):
     got = rel.span_join(spark.createDataFrame(left, "k string, i int, a int, b int"), spark.createDataFrame(right, "k string, j int, c int, d int"), ["k"], "a", "b", "c", "d", width)
     want = [(k, i, j) for k, i, a, b in left for q, j, c, d in right if k == q and None not in (a, b, c, d) and c < b and d > a]
     assert sorted((x["k"], x["i"], x["j"]) for x in got.collect()) == sorted(want)
+
+
+def test_paths_of_many_pairs_together():
+    r = random.Random(11)
+    pairs = [(random_words(r, r.randint(0, 24)), random_words(r, r.randint(0, 24))) for _ in range(300)]
+    pairs.append((random_words(r, 600), random_words(r, 500)))
+    got = forced.paths_of([x for x, _ in pairs], [y for _, y in pairs], 400_000)
+    assert [p.tolist() for p in got] == [forced.best_path(x, y).tolist() for x, y in pairs]
+    assert [p.tolist() for p in forced.best_paths(pairs[:300])] == [p.tolist() for p in got[:300]]
+    assert forced.paths_of([["a"] * 30], [["a"] * 30], 100) == [None]
