@@ -142,3 +142,10 @@ def findings(parts: dict[str, tuple[str, DataFrame]]) -> DataFrame:
     order = F.create_map(*[F.lit(x) for p in SEVERITY for x in p])
     rows = [df.select(F.lit(severity).alias("severity"), F.lit(check).alias("check"), F.col("work").cast("long").alias("work"), F.col("n").cast("long").alias("n")) for check, (severity, df) in parts.items()]
     return stacked(rows).withColumn("place", F.element_at(order, F.col("severity")))
+
+
+def findings_of(works: DataFrame, checks: dict[str, tuple[str, Column]]) -> DataFrame:
+    """As ``findings`` for checks that are columns of one row a work: those with a count above zero; a null count is no finding."""
+    order = dict(SEVERITY)
+    rows = F.array(*[F.struct(F.lit(severity).alias("severity"), F.lit(check).alias("check"), n.cast("long").alias("n"), F.lit(order[severity]).alias("place")) for check, (severity, n) in checks.items()])
+    return works.select(F.col("work").cast("long").alias("work"), F.inline(rows)).where("n > 0").select("severity", "check", "work", "n", "place")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 
-from quire.operators import linking, ngrams, paths, transcripts
+from pyspark.sql import functions as F
+
+from quire.operators import audit, linking, ngrams, paths, transcripts
 
 
 def shuffles(df) -> int:
@@ -61,3 +63,34 @@ def test_words_of_chapters_are_dealt_once(spark):
     out = transcripts.chapter_texts(w, starts)
     assert shuffles(out) == 1
     assert sorted(map(tuple, out.collect())) == [(1, 1, 4, "w.\n\nw w w."), (1, 2, 3, "w w w.")]
+
+
+def test_checks_of_works_come_from_one_row_each(spark):
+    df = spark.createDataFrame([(1, 2, None), (2, 0, 3), (3, 1, 1)], "work int, a long, b int")
+    out = audit.findings_of(df, {"x": ("HIGH", F.col("a")), "y": ("LOW", F.col("b"))})
+    other = audit.findings({"x": ("HIGH", df.where("a > 0").select("work", F.col("a").alias("n"))), "y": ("LOW", df.where("b > 0").select("work", F.col("b").alias("n")))})
+    assert out.dtypes == other.dtypes and sorted(out.collect()) == sorted(other.collect())
+    assert shuffles(out) == 0
+
+
+def test_checks_of_a_timeline_share_one_deal(spark):
+    words = [(d, p, (5.0 if d == 1 and p < 8 else p * 0.1) - (9 if p == 30 else 0), p * 0.1 + 0.3, 0.1 if d == 2 and 5 <= p < 14 else 0.9, "w") for d in (1, 2, 3) for p in range(40 if d < 3 else 600)]
+    w = spark.createDataFrame(words, "doc_id int, pos int, s double, e double, conf double, w string")
+    durations = spark.createDataFrame([(1, 100.0), (2, 2.0)], "doc_id int, duration double")
+    files = spark.createDataFrame([(1, 1, 0.0, 10.0), (1, 2, 14.0, 10.0)], "doc_id int, n int, start_sec double, duration double")
+    out = audit.timeline_problems(w, durations, files)
+    want = {(1, "synthesized_word_timings"): 8, (1, "non_monotonic"): 0, (1, "source_discontinuity"): 2, (2, "model_did_not_believe_this"): 9}
+    found = {(x["doc_id"], x["kind"]): x["n"] for x in out.collect()}
+    for d in (1, 2, 3):
+        own = [x for x in words if x[0] == d]
+        high, back = float("-inf"), 0
+        for x in own:
+            back += x[2] < high - 0.5
+            high = max(high, x[2])
+        want[d, "non_monotonic"] = back
+        limit = {1: 100.0, 2: 2.0}.get(d)
+        want[d, "words_outside_audio"] = 0 if limit is None else sum(x[2] < -0.5 or x[3] > limit + 1 for x in own)
+        ms = sorted(round(x[2] * 1000) for x in own)
+        peak = max(sum(t - 60_000 <= u <= t for u in ms) for t in ms)
+        want[d, "implausible_density"] = peak if peak > 450 else 0
+    assert found == {k: n for k, n in want.items() if n}
