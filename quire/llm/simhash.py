@@ -25,11 +25,14 @@ Fingerprints of texts whose sets of shingles are alike but not nearly equal
 differ in more bits than blocks can find (3 to 11 at a Jaccard similarity of
 0.8).  ``similar_links`` finds such texts by ``BANDS`` bands of ``BAND_ROWS``
 min-hashes (a pair at 0.8 shares one with probability 0.9996).  In a band of up
-to ``FEW`` texts all are compared; in a larger one each with the first and last,
-and with those of its texts that agree in the band after it too.  Links whose
-exact similarity is high enough are kept.  So a link between two texts in the
-middle of large bands is found only if they are few there or stand at an end of
-the smaller group; texts of one large group mostly hang together by its ends.  They can be given to ``near_duplicates`` beside its own links.
+to ``FEW`` texts all are compared; in a larger one first each with the first
+and last, and with those of its texts that agree in the band after it too.
+Links whose exact similarity is high enough are kept.  In a large band whose
+texts these links leave in several classes, all texts of different classes are
+then compared exactly: they are dealt to blocks by class and number of
+shingles, and each two blocks whose sizes allow a link meet in one task.  So no
+class is missed that comparing all pairs of a band would find.  The links can
+be given to ``near_duplicates`` beside its own.
 
 Defined results: a null text counts as empty; copies of a text share a
 fingerprint and so a group; repeated rows repeat; the component of a row is
@@ -48,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.graph import connected_components
-from quire.llm.scratch import materialize, partitions, text_hash, trimmed
+from quire.llm.scratch import give_back, materialize, partitions, text_hash, trimmed
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -61,6 +64,8 @@ FANOUT, AT_ONCE = 16, 1 << 18
 BANDS, BAND_ROWS = 20, 5
 #: Texts of a band that are all compared with one another.
 FEW = 8
+#: Shingles of a block of a larger band, and those that a text counts for at least.
+BLOCK, TEXT_LEAST = 1 << 17, 256
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -265,6 +270,7 @@ def _hashed(rows: DataFrame, size: int, make) -> DataFrame:
 def similar_links(df: DataFrame, size: int, least: float, text_col: str = "text") -> DataFrame:
     """Links ``src``, ``dst`` of hashes of texts whose sets of ``size``-word shingles have a Jaccard similarity of ``least`` or more.
 
+    They connect the texts as all such pairs that share a band do; of pairs in large bands not every one is given.
     Equal texts count once, null, empty and blank texts have no links; a text of fewer words is one shingle.
     """
     rows = df.select(text_hash(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
@@ -290,7 +296,90 @@ def similar_links(df: DataFrame, size: int, least: float, text_col: str = "text"
     sets = materialize(sets, "sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("x").alias("xa")), "a").join(sets.select(F.col("h").alias("b"), F.col("x").alias("xb")), "b")
     shared = F.size(F.array_intersect("xa", "xb"))
-    return both.where(shared >= least * (F.size("xa") + F.size("xb") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = materialize(both.where(shared >= least * (F.size("xa") + F.size("xb") - shared)).select(F.col("a").alias("src"), F.col("b").alias("dst")), "similar")
+    rest = _apart(crowded.select("band", "value", "h"), links, sets, least)
+    return links if rest.isEmpty() else links.unionByName(_block_links(rest, sets, least))
+
+
+def _apart(crowded: DataFrame, links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Rows of the large bands whose texts ``links`` leave in several classes: ``band``, ``value``, ``h``, ``root``, ``block``.
+
+    ``owner`` is the class of a block that has no other, else empty; ``kind`` the logarithm of the number of shingles.
+    """
+    inside = crowded.select("h").distinct()
+    own = links.join(inside.withColumnRenamed("h", "src"), "src", "left_semi").join(inside.withColumnRenamed("h", "dst"), "dst", "left_semi")
+    classes = crowded.join(connected_components(own).withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    classes = materialize(classes, "classes")
+    mixed = classes.groupBy("band", "value").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("band", "value")
+    weight = F.greatest(F.size("x"), F.lit(TEXT_LEAST)).cast("long").alias("weight")
+    kind = F.floor(F.log(F.size("x")) / float(-np.log(least)) + F.lit(1e-9)).cast("int").alias("kind")
+    rest = classes.join(mixed, ["band", "value"], "left_semi").join(sets.select("h", weight, kind), "h")
+    rest = materialize(rest, "classes-apart")
+    keys = ["band", "value", "kind"]
+    sums = rest.groupBy(*keys, "root").agg(F.sum("weight").alias("b"))
+    small = sums.where(F.col("b") < BLOCK).groupBy(*keys).agg(F.sum("b").alias("small"))
+    parts = lambda x: F.ceil(F.col(x) / BLOCK)
+    alone = F.col("b") >= BLOCK
+    dealt = rest.join(sums, [*keys, "root"]).join(small, keys, "left")
+    dealt = dealt.withColumn("owner", F.when(alone, F.col("root")).otherwise(F.lit("")))
+    block = F.when(alone, F.pmod(F.xxhash64("h"), parts("b"))).otherwise(F.pmod(F.xxhash64("root"), parts("small")))
+    return materialize(dealt.select(*keys, "h", "root", "owner", block.alias("block")), "blocks")
+
+
+def _block_links(rest: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Links between classes of ``rest``, found by comparing each two blocks of a band that can have any."""
+    own = ["kind", "owner", "block"]
+    name = F.struct(*own)
+    blocks = materialize(rest.select("band", "value", name.alias("one")).distinct(), "block-names")
+    other = blocks.withColumnRenamed("one", "two")
+    able = (F.col("two.kind") - F.col("one.kind") <= 1) & ((F.col("one.owner") != F.col("two.owner")) | (F.col("one.owner") == ""))
+    meetings = blocks.join(other, ["band", "value"]).where((F.col("one") <= F.col("two")) & able)
+    meetings = meetings.withColumn("meeting", F.xxhash64("band", "value", "one", "two"))
+    side = lambda x, i: meetings.select("band", "value", "meeting", f"{x}.*", F.lit(i).alias("side"))
+    sides = side("one", 0).unionByName(side("two", 1).join(meetings.where("one = two").select("meeting"), "meeting", "left_anti"))
+    dealt = rest.join(materialize(sides, "meetings"), ["band", "value", *own]).join(sets, "h").select("meeting", "side", "h", "root", "x")
+
+    def run(table: pa.Table) -> pa.Table:
+        h, root = (table[c].to_pylist() for c in ("h", "root"))
+        i, j = _class_links([np.asarray(v) for v in table["x"].to_numpy(zero_copy_only=False)], np.unique(root, return_inverse=True)[1], table["side"].to_numpy(), least)
+        give_back()
+        return pa.table({"src": pa.array([h[k] for k in i], pa.string()), "dst": pa.array([h[k] for k in j], pa.string())})
+
+    found = dealt.groupBy("meeting").applyInArrow(run, "src string, dst string")
+    return materialize(found.distinct(), "class-links")
+
+
+def _class_links(sets: list[np.ndarray], classes: np.ndarray, side: np.ndarray, least: float) -> tuple[list[int], list[int]]:
+    """(i, j) of similar sets that join ``classes`` as all similar sets of the two sides (of one, if there is one) do."""
+    one, two = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
+    sizes = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    _, value, times = np.unique(flat, return_inverse=True, return_counts=True)
+    again = times > 1
+    column = (np.cumsum(again) - 1)[value]
+    keep = again[value]
+    column, owner = column[keep], owner[keep]
+    by = np.argsort(column, kind="stable")
+    column, owner = column[by], owner[by]
+    shared = np.zeros((len(one), len(two)), dtype=np.float32)
+    for at in range(0, int(again.sum()), 4096):
+        a, b = np.searchsorted(column, (at, at + 4096))
+        has = np.zeros((len(sets), 4096), dtype=np.float32)
+        has[owner[a:b], column[a:b] - at] = 1
+        shared += has[one] @ has[two].T
+    near = shared >= least * (sizes[one][:, None] + sizes[two][None, :] - shared.astype(np.float64))
+    i, j = np.nonzero(near & (classes[one][:, None] != classes[two][None, :]))
+    i, j, label = one[i], two[j], classes
+    src, dst = [], []
+    while len(i):
+        low, high = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+        _, first = np.unique(high, return_index=True)  # each class links to one that is smaller, so there is no circle
+        src += i[first].tolist()
+        dst += j[first].tolist()
+        label = _roots(int(label.max()) + 1, iter([(low[first], high[first])]))[label]
+        apart = label[i] != label[j]
+        i, j = i[apart], j[apart]
+    return src, dst
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, similar: DataFrame | None = None) -> DataFrame:

@@ -233,3 +233,37 @@ def _components(links):
         joined = [g for g in groups if a in g or b in g]
         groups = [g for g in groups if g not in joined] + [set().union({a, b}, *joined)]
     return groups
+
+
+def test_similar_links_in_the_middle_of_large_bands(spark, monkeypatch):
+    """Texts that share two thirds of their shingles fill large bands; near copies among them are linked, whatever their hashes."""
+    import hashlib
+    from collections import defaultdict
+
+    r = random.Random(5)
+    texts = []
+    for f in range(6):
+        common = [f"f{f}w{k}" for k in range(150)]
+        for i in range(30):
+            own = [*common, *(f"f{f}o{i}w{k}" for k in range(36))]
+            texts.append(" ".join(own))
+            if i % 3 == 0:
+                own[160 + r.randrange(20)] = "changed"
+                texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    by = {hashlib.md5(t.encode()).hexdigest(): t for t in texts}
+    bands = {t: {(b, v) for b, v in enumerate(simhash.band_values(simhash.shingle_hashes(t, 5)).tolist())} for t in texts}
+    want = {p for p in all_similar(texts, 5, 0.8) if not set.isdisjoint(*(bands[t] for t in p))}
+    groups = defaultdict(set)
+    for t in texts:
+        for b in bands[t]:
+            groups[b].add(t)
+    assert len(want) >= 60 and sum(len(g) > simhash.FEW for g in groups.values()) > 20
+    theirs = {x: min(g) for g in _components(want) for x in g}
+    for block, least in ((simhash.BLOCK, simhash.TEXT_LEAST), (600, 1)):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        monkeypatch.setattr(simhash, "TEXT_LEAST", least)
+        got = {frozenset((by[x["src"]], by[x["dst"]])) for x in simhash.similar_links(df, 5, 0.8).collect()}
+        assert got <= all_similar(texts, 5, 0.8)
+        mine = {x: min(g) for g in _components(got) for x in g}
+        assert all(mine.get(x) == y for x, y in theirs.items())
