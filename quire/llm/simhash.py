@@ -65,7 +65,7 @@ BANDS, BAND_ROWS = 20, 5
 #: Texts of a band that are all compared with one another.
 FEW = 8
 #: Shingles of a block of a larger band, and those that a text counts for at least.
-BLOCK, TEXT_LEAST = 1 << 17, 256
+BLOCK, TEXT_LEAST = 1 << 16, 256
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
