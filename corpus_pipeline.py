@@ -48,9 +48,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the bytes of repeated passages; a document of which no word is left goes, a null, empty or blank text too."""
-    cut = suffix.remove_repeats(docs, keep=("lang", "source"), words=PASSAGE_WORDS)
-    text = suffix.kept_text("kept")
-    return cut.select("doc_id", text.alias("text"), "lang", "source").where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cut = suffix.remove_repeats(docs, keep=("lang", "source"), words=PASSAGE_WORDS, as_text=True)
+    return cut.withColumnRenamed("kept", "text").where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,13 @@ def test_passages_of_51_words_go_and_clean_texts_stay(spark, folder):
     docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     cut = {r["doc_id"]: r["text"] for r in cp.repeated_passage_stage(spark, docs, folder).collect()}
     assert cut == {1: f"{words('a', 30)} {words('b', 9)}", 2: words("c", 40), 3: rows[2][1], 4: rows[3][1], 6: rows[5][1]}
+
+
+def test_passage_stage_takes_one_python_worker_a_task(spark, folder):
+    passage = "é" * 210  # over 400 bytes; the characters ahead of it share their last byte, which goes
+    rows = [(1, "one éx" + passage), (2, "two ũx" + passage), (3, "ab界" * 60 + "x"), (4, "cd界" * 60 + "y"), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    cut = cp.repeated_passage_stage(spark, docs, folder)
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in cut.collect()} == {1: ("one ", 4), 2: ("two ", 4), 3: (rows[2][1], 181), 4: (rows[3][1], 181)}
+    plan = cut._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
