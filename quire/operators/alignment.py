@@ -7,6 +7,8 @@ replace.  Word times have the key columns, ``pos``, ``s`` and ``e``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -223,16 +225,16 @@ def direction_outliers(segments: DataFrame, keys: list[str], narrated: float = 0
     return shares.where((F.col("a2e") < narrated) & (F.col("e2a") > covered))
 
 
-def difference_spans(segments: DataFrame, keys: list[str], most: int = SHOWN_WORDS) -> DataFrame:
+def difference_spans(segments: DataFrame, keys: list[str], most: int = SHOWN_WORDS, form: Callable[[Column], Column] = tx.compare_form) -> DataFrame:
     """Segments as they are shown (ALN14): keys, es, ts, kind, a_words, b_words, a_text, b_text, start_sec.
 
     ``segments`` also has ``a`` and ``b``, the words of either side, and
     ``start_sec`` and ``end_sec``.  Replaced words that read the same in
-    comparable form are aligned; text is given only where the sides differ; a
-    difference without a time of its own has that of the end of the last timed
-    segment before it.
+    comparable form (``form`` of the joined words) are aligned; text is given
+    only where the sides differ; a difference without a time of its own has that
+    of the end of the last timed segment before it.
     """
-    same = (F.col("kind") == "replace") & (tx.compare_form(F.array_join("a", " ")) == tx.compare_form(F.array_join("b", " ")))
+    same = (F.col("kind") == "replace") & (form(F.array_join("a", " ")) == form(F.array_join("b", " ")))
     kind = F.when(same, "aligned").otherwise(F.col("kind"))
     w = Window.partitionBy(*keys).orderBy("es", "ts").rowsBetween(Window.unboundedPreceding, -1)
     timed = lambda c: F.when(F.col(c) > 0, F.col(c))
