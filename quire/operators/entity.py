@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -53,22 +53,33 @@ PLACE_FACTOR, NAME_FACTOR = 0.02, 1.4
 
 
 def name_tokens(df: DataFrame, work: str, doc: str, text: str = "text") -> DataFrame:
-    """Words of texts with what tells a name (AGG24): low, surface, title (capitalised), shout (all capitals), inner (not at the start of a sentence), and the title in front.
+    """Words of texts with what tells a name (AGG24): low, surface, title (capitalised), shout (all capitals), inner (not at the start of a sentence), the title in front, and behind a capitalised word the next one if that is one too.
 
-    Each document is looked at by itself, so no word has a neighbour in another one.
+    Each document is looked at by itself, so no word has a neighbour in another
+    one, and in its own row, so no word is dealt to find its neighbours.
     """
-    t = df.select(work, doc, F.posexplode(F.regexp_extract_all(text, F.lit(r"\p{L}[\p{L}'\-]*|[.!?]+"), 0)).alias("pos", "tok"))
-    w = Window.partitionBy(work, doc).orderBy("pos")
-    mark = F.col("tok").rlike("^[.!?]")
-    low = F.regexp_replace(F.lower("tok"), "'s$", "")
-    t = t.withColumn("low", low).withColumn("honorific", ~mark & low.isin(*HONORIFICS))
+    mark = lambda x: F.left(x, F.lit(1)).isin(".", "!", "?")
+    lower = lambda x: F.when(F.endswith(F.lower(x), F.lit("'s")), F.left(F.lower(x), F.length(F.lower(x)) - 2)).otherwise(F.lower(x))
+    honorific = lambda x: lower(x).isin(*HONORIFICS)
+    capital = lambda x: x.rlike(r"^\p{Lu}")
+    shout = lambda x: x.rlike(r"^\p{Lu}[\p{Lu}'\-]+$")
+    t = df.select(work, doc, F.regexp_extract_all(text, F.lit(r"\p{L}[\p{L}'\-]*|[.!?]+"), 0).alias("all"))
     # A single dot after a title is no end of a sentence; it falls away before neighbours are looked at.
-    t = t.withColumn("after_title", F.coalesce(F.lag("honorific").over(w), F.lit(False))).where(~(F.col("after_title") & (F.col("tok") == "."))).withColumn("mark", F.col("tok").rlike("^[.!?]"))
-    shout = F.col("tok").rlike(r"^\p{Lu}[\p{Lu}'\-]+$")
-    t = t.withColumn("shout", ~F.col("mark") & shout).withColumn("title", ~F.col("mark") & ~shout & F.col("tok").rlike(r"^\p{Lu}"))
-    t = t.withColumn("inner", ~F.coalesce(F.lag("mark").over(w), F.lit(True)))
-    t = t.withColumn("prefix", F.when(F.lag("honorific").over(w), F.lag("tok").over(w))).withColumn("next_low", F.when(F.lead("title").over(w), F.lead("low").over(w))).withColumn("next_tok", F.lead("tok").over(w))
-    return t.where(~F.col("mark"))
+    t = t.select(work, doc, F.filter("all", lambda x, i: (x != ".") | ~F.coalesce(honorific(F.get("all", i - 1)), F.lit(False))).alias("kept"))
+    beside = F.transform("kept", lambda x, i: F.struct(x.alias("tok"), F.get("kept", i - 1).alias("prev"), F.get("kept", i + 1).alias("next_tok")))
+    t = t.select(work, doc, F.posexplode(beside).alias("pos", "x")).select(work, doc, "pos", "x.tok", "x.prev", "x.next_tok").where(~mark(F.col("tok")))
+    tok, prev, after = F.col("tok"), F.col("prev"), F.col("next_tok")
+    t = t.withColumn("low", lower(tok)).withColumn("shout", capital(tok) & shout(tok)).withColumn("title", capital(tok) & ~shout(tok))
+    t = t.withColumn("inner", ~F.coalesce(mark(prev), F.lit(True))).withColumn("prefix", F.when(honorific(prev), prev))
+    return t.withColumn("next_low", F.when(F.col("title") & capital(after) & ~shout(after), lower(after))).drop("prev")
+
+
+def place(df: DataFrame, doc: str) -> Column:
+    """Documents and places in them in one value that can be ordered: a number where documents have whole numbers, so that the least of a group is found by hash."""
+    if dict(df.dtypes)[doc] not in ("tinyint", "smallint", "int", "bigint"):
+        return F.struct(doc, "pos")
+    # A document without a number comes first.
+    return F.coalesce(F.col(doc).cast("decimal(20,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("pos")
 
 
 def cast_names(df: DataFrame, work: str, doc: str, text: str = "text", least: int = 3, most: int = 30, noise: tuple[str, ...] = (), places: tuple[str, ...] = ()) -> DataFrame:
@@ -78,21 +89,34 @@ def cast_names(df: DataFrame, work: str, doc: str, text: str = "text", least: in
     both; words mostly in capitals are headings.  Words that the texts also
     write in lower case at least as often as within sentences in upper case
     count as dictionary words; the others weigh more, and places very little.
+
+    Words are counted once, where they lie; what can be a name, or part of one,
+    has ``least`` capitalised places, and only such words go on.
     """
     t = name_tokens(df, work, doc, text)
     unwanted = lambda c: F.col(c).isin(*HONORIFICS, *noise)
-    shown = F.when(F.col("title"), F.struct(F.col(doc).alias("d"), "pos", F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(". "), "tok")).otherwise(F.col("tok")).alias("name")))
-    n = t.groupBy(work, "low").agg(F.count_if(F.col("title") & F.col("inner")).alias("mid"), F.count_if("title").alias("caps"), F.count("*").alias("total"), F.count_if("shout").alias("shouts"), F.min(shown)["name"].alias("name"))
+    shown = F.when(F.col("title"), F.when(F.col("prefix").isNotNull(), F.concat("prefix", F.lit(". "), "tok")).otherwise(F.col("tok")))
+    n = t.groupBy(work, "low", shown.alias("name")).agg(F.count_if(F.col("title") & F.col("inner")).alias("mid"), F.count_if("title").alias("caps"), F.count("*").alias("total"), F.count_if("shout").alias("shouts"), F.min(F.when(F.col("title"), place(t, doc))).alias("at"))
+    name = F.min(F.when(F.col("name").isNotNull(), F.struct("at", "name")))["name"].alias("name")
+    n = n.groupBy(work, "low").agg(*[F.sum(c).alias(c) for c in ("mid", "caps", "total", "shouts")], name).where(F.col("caps") >= least)
+
     two = t.where(F.col("title") & F.col("next_low").isNotNull() & ~unwanted("low") & ~unwanted("next_low"))
     first = F.min(F.struct(F.col(doc).alias("d"), "pos", F.concat_ws(" ", "tok", "next_tok").alias("name")))
     two = two.groupBy(work, "low", "next_low").agg(F.count("*").alias("both"), first["name"].alias("pair")).where(F.col("both") >= least)
-    side = lambda x, key: n.select(work, F.col("low").alias(key), F.col("mid").alias(f"{x}_mid"), F.col("caps").alias(f"{x}_caps"), F.col("total").alias(f"{x}_total"))
-    j = two.join(side("a", "low"), [work, "low"]).join(side("b", "next_low"), [work, "next_low"]).where("2 * both >= a_caps and 2 * both >= b_caps")
-    pairs = j.select(work, F.col("pair").alias("name"), F.greatest("both", "a_mid", "b_mid").alias("mentions"), (F.col("a_total") + F.col("b_total")).alias("total"), F.lit(False).alias("in_dictionary"), (F.col("low").isin(*places) | F.col("next_low").isin(*places)).alias("place"))
-    used = j.select(work, F.explode(F.array("low", "next_low")).alias("low")).distinct()
-    lone = n.join(used, [work, "low"], "left_anti").where((F.length("low") >= 2) & (F.col("mid") >= least) & ~unwanted("low") & (2 * F.col("shouts") <= F.col("total")))
+    # Either word of a pair meets its counts; a pair is one name where both words say so, and a word of such a pair is none by itself.
+    sides = two.select(work, F.col("low").alias("a"), F.col("next_low").alias("b"), "both", "pair", F.explode(F.array(F.struct("low", F.lit(0).alias("side")), F.struct(F.col("next_low").alias("low"), F.lit(1).alias("side")))).alias("x"))
+    sides = sides.select(work, "x.low", "x.side", "a", "b", "both", "pair")
+    j = n.join(sides, [work, "low"], "left").withColumn("a", F.coalesce("a", "low"))
+    fits = F.coalesce(2 * F.col("both") >= F.col("caps"), F.lit(False))
+    j = j.withColumn("taken", F.min(fits).over(Window.partitionBy(work, "a", "b"))).withColumn("used", F.max("taken").over(Window.partitionBy(work, "low")))
     lower = F.col("total") - F.col("caps") - F.col("shouts")
-    lone = lone.select(work, "name", F.col("mid").alias("mentions"), "total", (lower >= F.col("mid")).alias("in_dictionary"), F.col("low").isin(*places).alias("place"))
+    alone = (F.length("low") >= 2) & (F.col("mid") >= least) & ~unwanted("low") & (2 * F.col("shouts") <= F.col("total"))
+    lone = F.struct(F.col("low").alias("a"), F.lit(None).cast("string").alias("b"), "name", F.col("mid").alias("mentions"), "total", (lower >= F.col("mid")).alias("in_dictionary"), F.col("low").isin(*places).alias("place"))
+    half = F.struct("a", "b", F.col("pair").alias("name"), F.greatest("both", "mid").alias("mentions"), "total", F.lit(False).alias("in_dictionary"), F.col("low").isin(*places).alias("place"))
+    each = j.select(work, F.when(F.col("taken"), half).when(~F.col("used") & alone, lone).alias("x")).where("x is not null").select(work, "x.*")
+    # A word that stands in several pairs of which none is taken is there several times with the same counts.
+    total = F.when(F.col("b").isNull(), F.max("total")).otherwise(F.sum("total"))
+    found = each.groupBy(work, "a", "b").agg(F.max("name").alias("name"), F.max("mentions").alias("mentions"), total.alias("total"), F.max("in_dictionary").alias("in_dictionary"), F.max("place").alias("place"))
     score = F.col("mentions") * F.when(F.col("in_dictionary"), 1.0).otherwise(NAME_FACTOR) * F.when(F.col("place"), PLACE_FACTOR).otherwise(1.0)
-    scored = pairs.unionByName(lone).withColumn("score", F.round(score, 4))
+    scored = found.select(work, "name", "mentions", "total", "in_dictionary", "place", F.round(score, 4).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(work).orderBy(F.desc("score"), "name"))).where(F.col("rank") <= most)
