@@ -62,15 +62,20 @@ def track(words: DataFrame, keys: list[str]) -> DataFrame:
     return t.select(*keys, "p0", spread("s").alias("s"), spread("e").alias("e"))
 
 
+def tracked(words: DataFrame, keys: list[str]) -> DataFrame:
+    """``words`` if it is a ``track`` already, else their track, to be joined by merging: its lists are far larger than its estimated size, by which it would be broadcast."""
+    return (words if "p0" in words.columns else track(words, keys)).hint("merge")
+
+
 def word_at(times: str, pos: Column) -> Column:
     """The time of the word at a place of a ``track``."""
-    return F.when(pos >= F.col("p0"), F.get(times, pos - F.col("p0")))
+    return F.get(times, pos - F.col("p0"))
 
 
 def baked(segments: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
     """Segments with ``start_sec`` and ``end_sec``, which only aligned ones have (ALN6): when their first and last transcript words are spoken."""
     aligned = F.col("kind") == "aligned"
-    timed = segments.join(track(words, keys), keys, "left")
+    timed = segments.join(tracked(words, keys), keys, "left")
     return timed.select(*segments.columns, F.when(aligned, word_at("s", F.col("ts"))).alias("start_sec"), F.when(aligned, word_at("e", F.col("te") - 1)).alias("end_sec"))
 
 
@@ -81,7 +86,7 @@ def word_seconds(segments: DataFrame, words: DataFrame, keys: list[str], spans:
     start: segments meet chapters and transcript first, so that words are only
     counted out at the end.
     """
-    e = segments.where("kind = 'aligned' and ee > es and te > ts").select(*keys, "es", "ts", "ee", "te").join(track(words, keys).drop("e"), keys)
+    e = segments.where("kind = 'aligned' and ee > es and te > ts").select(*keys, "es", "ts", "ee", "te").join(tracked(words, keys).drop("e"), keys)
     own = [] if spans is None else [chapter, "start"]
     a, b = F.col("es"), F.col("ee")
     if spans is not None:
@@ -118,11 +123,79 @@ def word_sync(words: DataFrame, keys: list[str]) -> DataFrame:
     return rated.where((F.col("n") < RATE_WORDS) | (F.col("span") > 0) & (F.col("n") <= RATE_MOST * F.col("span"))).select(*keys, "w", "s", "e")
 
 
-def sync_mode(chapters: DataFrame, timed: DataFrame, followed: DataFrame, keys: list[str]) -> DataFrame:
-    """How closely each chapter can be followed (ALN15): word by word, by paragraph, or not at all."""
-    mark = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
-    j = chapters.join(mark(timed, "by_word"), keys, "left").join(mark(followed, "by_paragraph"), keys, "left")
-    return j.select(*keys, F.when(F.col("by_word"), "word").when(F.col("by_paragraph"), "paragraph").otherwise("none").alias("mode"))
+def met_chapters(segments: DataFrame, words: DataFrame, keys: list[str], spans: DataFrame, chapter: str, how: str = "inner") -> DataFrame:
+    """Chapters with the aligned segments that meet them: keys, chapter, start, len, es, ts, ee, te, end_sec and the transcript's p0 and s; by ``left`` those that none meets too."""
+    own = segments.where("kind = 'aligned'").select(*keys, "es", "ts", "ee", "te").join(tracked(words, keys), keys)
+    own = own.select(*[F.col(k).alias(f"__{k}") for k in keys], "es", "ts", "ee", "te", "p0", "s", word_at("e", F.col("te") - 1).alias("end_sec"))
+    same = [F.col(k) == F.col(f"__{k}") for k in keys]
+    met = [F.col("es") < F.col("start") + F.col("len"), F.col("ee") > F.col("start")]
+    return spans.select(*keys, chapter, "start", "len").join(own.hint("merge"), [*same, *met], how).drop(*[f"__{k}" for k in keys])
+
+
+def _spoken_at(w: Column) -> Column:
+    """When an ebook word of a segment is spoken: both sides advance together, in whole tokens."""
+    return word_at("s", F.col("ts") + F.floor((w - F.col("es")) * length("ts", "te") / length("es", "ee")).cast("int"))
+
+
+def _readable(n: Column, span: Column) -> Column:
+    """Whether a chapter has few words, or is not read at over eight words a second."""
+    return (n < RATE_WORDS) | (span > 0) & (n <= RATE_MOST * span)
+
+
+def synced_words(segments: DataFrame, words: DataFrame, keys: list[str], spans: DataFrame, chapter: str = "chapter") -> DataFrame:
+    """Words of chapters with start and end, as ``word_sync`` times them (ALN16): keys, chapter, w, s, e.
+
+    ``spans``: keys, chapter, start, len.  A chapter's times are one list, and
+    words are counted out at the end only; where segments overlap, the earliest
+    time of a word counts.
+    """
+    a, b = F.greatest("es", "start"), F.least(F.col("ee"), F.col("start") + F.col("len"))
+    m = met_chapters(segments, words, keys, spans, chapter).where("ee > es and te > ts and len > 0")
+    # Sides of one length advance word by word: such times are a part of the track as they stand.
+    shift = F.col("ts") - F.col("es") - F.col("p0")
+    even = (length("es", "ee") == length("ts", "te")) & (shift + a >= 0) & (shift + b <= F.size("s"))
+    secs = F.when(even, F.slice("s", shift + a + 1, b - a)).otherwise(F.transform(F.sequence(a, b - 1), _spoken_at))
+    own = [*keys, chapter, "start", "len"]
+    c = m.select(*own, F.struct((a - F.col("start")).alias("off"), secs.alias("secs")).alias("__x")).groupBy(*own).agg(F.array_sort(F.collect_list("__x")).alias("__p"))
+    stop = lambda x: x["off"] + F.size(x["secs"])
+    at = lambda i: F.get("__p", i)
+    plain = F.forall(F.transform("__p", lambda x, i: F.coalesce(x["off"] >= stop(at(i - 1)), F.lit(True)) & ~F.exists(x["secs"], lambda t: t.isNull())), lambda x: x)
+    # A time holds up to the next known word, the first one from the start.
+    ahead = lambda x, i: F.array_repeat(F.get(x["secs"], F.lit(0)), F.when(i == 0, x["off"]).otherwise(0))
+    held = lambda x, i: F.array_repeat(F.try_element_at(x["secs"], F.lit(-1)), F.coalesce(at(i + 1)["off"], F.col("len")) - stop(x))
+    by_piece = F.flatten(F.transform("__p", lambda x, i: F.concat(ahead(x, i), x["secs"], held(x, i))))
+    # Where words lack times or segments overlap, each word is looked at.
+    each = F.flatten(F.transform("__p", lambda x: F.transform(x["secs"], lambda t, i: F.struct((x["off"] + i).alias("w"), t.alias("sec")))))
+    known = F.when(~F.col("__plain"), F.array_sort(F.filter(each, lambda x: x["sec"].isNotNull())))
+    c = c.select(*own, "__p", plain.alias("__plain")).select(*own, "__p", "__plain", known.alias("__k"))
+    once = F.filter("__k", lambda x, i: (i == 0) | (x["w"] != F.get("__k", i - 1)["w"]))
+    c = c.select(*own, "__p", "__plain", once.alias("__k")).where(F.col("__plain") | (F.size("__k") > 0))
+    until = lambda i: F.coalesce(F.get("__k", i + 1)["w"], F.col("len"))
+    by_word = F.flatten(F.transform("__k", lambda x, i: F.array_repeat(x["sec"], until(i) - F.when(i == 0, 0).otherwise(x["w"]))))
+    c = c.select(*own, F.when(F.col("__plain"), by_piece).otherwise(by_word).alias("__t"))
+    c = c.where(_readable(F.col("len"), F.try_element_at("__t", F.lit(-1)) - F.get("__t", F.lit(0))))
+    after = F.get("__t", F.col("__i") + 1)
+    timed = c.select(*keys, chapter, "start", "__t", F.posexplode("__t").alias("__i", "s"))
+    return timed.select(*keys, chapter, (F.col("start") + F.col("__i")).alias("w"), "s", F.when(after > F.col("s"), after).otherwise(F.col("s") + LAST_WORD).alias("e"))
+
+
+def sync_modes(segments: DataFrame, words: DataFrame, keys: list[str], spans: DataFrame, chapter: str = "chapter") -> DataFrame:
+    """How closely each chapter can be followed (ALN15): keys, chapter, mode: word, if ``synced_words`` has it, paragraph, if it has two anchors, or none.
+
+    No word is counted out: a chapter's rate follows from its first and its last
+    known word, and each timed segment that meets it gives two anchors.
+    """
+    a, b = F.greatest("es", "start"), F.least(F.col("ee"), F.col("start") + F.col("len")) - 1
+    m = met_chapters(segments, words, keys, spans, chapter, "left")
+    worded = (F.col("ee") > F.col("es")) & (F.col("te") > F.col("ts")) & (F.col("len") > 0)
+    # Nearly always the outermost word has a time; only where it has none, those beside it are looked at.
+    known = F.filter(F.transform(F.sequence(a, b), lambda w: F.struct(w.alias("w"), _spoken_at(w).alias("sec"))), lambda x: x["sec"].isNotNull())
+    at = lambda w, other: F.when(worded, F.when(_spoken_at(w).isNotNull(), F.struct(w.alias("w"), _spoken_at(w).alias("sec"))).otherwise(other))
+    m = m.select(*keys, chapter, "len", (F.col("end_sec") > 0).alias("anchor"), at(a, F.get(known, F.lit(0))).alias("__x"), at(b, F.try_element_at(known, F.lit(-1))).alias("__y"))
+    last = F.when(F.col("__y").isNotNull(), F.struct((-F.col("__y.w")).alias("w"), "__y.sec"))
+    c = m.groupBy(*keys, chapter, "len").agg(F.min("__x")["sec"].alias("first"), F.min(last)["sec"].alias("last"), F.max("anchor").alias("by_paragraph"))
+    by_word = F.col("first").isNotNull() & _readable(F.col("len"), F.col("last") - F.col("first"))
+    return c.select(*keys, chapter, F.when(by_word, "word").when(F.col("by_paragraph"), "paragraph").otherwise("none").alias("mode"))
 
 
 def fraction_anchors(segments: DataFrame, spans: DataFrame, keys: list[str], chapter: str) -> DataFrame:
